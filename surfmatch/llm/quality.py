@@ -26,7 +26,7 @@ from surfmatch.llm.common import BLANKS, let, materialize, pick, words_of
 SYMBOLS = "#*$%&|<>"
 STATS = ("x_word", "x_symbol", "x_line", "x_repeat")
 #: The smallest standard deviations used, in the units of STATS.
-FLOORS = (0.08, 0.06, 0.06, 0.05)
+FLOORS = (0.08, 0.06, 0.1, 0.1)
 #: Share of rows that a concentration step keeps, and the factor that makes the scatter of that share consistent for a normal vector of four.
 H, CONSISTENCY = 0.75, 1.49
 #: Squared distance beyond which a row is an outlier.

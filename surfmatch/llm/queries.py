@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surfmatch.llm import html_extract, quality, secrets, url_filter
+from surfmatch.llm import html_extract, minhash_dedup, packing, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,21 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+def vocabulary() -> str:
+    """Where the public vocabulary of the packing query lies."""
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -33,6 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_secret_scan": op2_secret_scan,
+        "op4_minhash_dedup": op4_minhash_dedup,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filter": op7_url_filter,
         "op10_quality_rules": op10_quality_rules,
     }
