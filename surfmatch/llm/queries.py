@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surfmatch.llm import html_extract, minhash_dedup, packing, quality, secrets, url_filter
+from surfmatch.llm import html_extract, langid, minhash_dedup, packing, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filter": op7_url_filter,
+        "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
 
