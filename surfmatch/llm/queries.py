@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surfmatch.llm import html_extract, langid, minhash_dedup, packing, quality, secrets, url_filter
+from surfmatch.llm import html_extract, langid, minhash_dedup, packing, quality, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_secret_scan": op2_secret_scan,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filter": op7_url_filter,
