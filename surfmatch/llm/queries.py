@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surfmatch.llm import html_extract, langid, minhash_dedup, packing, quality, secrets, suffix_dedup, url_filter
+from surfmatch.llm import decontaminate, html_extract, langid, minhash_dedup, packing, paragraph_dedup, quality, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.remove_paragraphs(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary() -> str:
     """Where the public vocabulary of the packing query lies."""
     from public_tokenizers import path
@@ -58,8 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_paragraph_dedup": op5_paragraph_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filter": op7_url_filter,
+        "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
