@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surfmatch.functions.columns import bad_lr
+from surfmatch.functions.reuse import reused
 from surfmatch.operators import calibration, metrics
 from surfmatch.operators.pairs import sampling_order
 
@@ -77,8 +78,9 @@ def frozen(pairs: DataFrame, folds: DataFrame) -> DataFrame:
 
 def fold_metrics(rows: DataFrame) -> DataFrame:
     """cllr, cllr_min and auc of rows(fold, lr, label) for each fold that has both classes; the score is log10 lr."""
-    both = rows.groupBy("fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_pairs")).where("lo = 0 and hi = 1").select("fold", "n_pairs")
-    scored = rows.join(F.broadcast(both.select("fold")), "fold", "left_semi").withColumn("score", F.log10("lr"))
+    counts = reused(rows.groupBy("fold", "lr", "label").agg(F.count("*").alias("n")).withColumn("score", F.log10("lr")))
+    both = counts.groupBy("fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n_pairs")).where("lo = 0 and hi = 1").select("fold", "n_pairs")
+    scored = counts.join(F.broadcast(both.select("fold")), "fold", "left_semi")
     out = both
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc):
         out = out.join(part(scored, ("fold",)), "fold")
@@ -95,7 +97,7 @@ def summarize(per_fold: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def score_submission(pairs: DataFrame, folds: DataFrame) -> DataFrame:
     """Summary over frozen folds, and pooled metrics, of pairs with an lr."""
     tests = frozen(pairs, folds).where("side = 'test'")
-    pooled = pairs.withColumn("score", F.log10("lr"))
+    pooled = reused(pairs.groupBy("lr", "label").agg(F.count("*").alias("n")).withColumn("score", F.log10("lr")))
     out = summarize(fold_metrics(tests))
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc, metrics.ece):
         one = part(pooled)
@@ -105,10 +107,10 @@ def score_submission(pairs: DataFrame, folds: DataFrame) -> DataFrame:
 
 def disjoint_validation(pairs: DataFrame, folds: DataFrame) -> DataFrame:
     """Per fold: fit on the train sources, score the held-out ones."""
-    members = frozen(pairs, folds)
-    models = calibration.fit_logistic(members.where("side = 'train'"), ("fold",))
-    tested = calibration.apply_logistic(members.where("side = 'test'"), models, ("fold",))
-    out = tested.groupBy("fold").agg(F.count("*").alias("n_pairs"))
+    counts = reused(frozen(pairs, folds).groupBy("fold", "side", "score", "label").agg(F.count("*").alias("n")))
+    models = reused(calibration.fit_counts(counts.where("side = 'train'").drop("side"), ("fold",)))
+    tested = calibration.apply_logistic(counts.where("side = 'test'"), models, ("fold",))
+    out = tested.groupBy("fold").agg(F.sum("n").alias("n_pairs"))
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc):
         out = out.join(part(tested, ("fold",)), "fold")
     return out
@@ -119,9 +121,10 @@ def lever_table(pairs: DataFrame, folds: DataFrame, levers: tuple[str, ...]) ->
     stack = F.explode(F.array(*[F.struct(F.lit(x).alias("lever"), F.col(x).cast("double").alias("score")) for x in levers]))
     rows = frozen(pairs, folds).withColumn("x", stack).select("fold", "side", "label", "x.*")
     by = ("lever", "fold")
-    models = calibration.fit_logistic(rows.where("side = 'train'"), by)
-    tested = calibration.apply_logistic(rows.where("side = 'test'"), models, by)
-    out = metrics.margin(tested, by)
+    counts = reused(rows.groupBy(*by, "side", "score", "label").agg(F.count("*").alias("n")))
+    models = reused(calibration.fit_counts(counts.where("side = 'train'").drop("side"), by))
+    tested = calibration.apply_logistic(counts.where("side = 'test'"), models, by)
+    out = metrics.margin(rows.where("side = 'test'"), by)
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc):
         out = out.join(part(tested, by), list(by))
     return out

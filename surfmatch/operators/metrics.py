@@ -1,7 +1,8 @@
 """Measures of scores and likelihood ratios, each for every group of ``by`` in one plan.
 
-Inputs hold label (1 same source, 0 different) and score or lr. Scores are counted
-per distinct value first, so running sums meet distinct scores, not pairs.
+Inputs hold label (1 same source, 0 different) and score or lr; a column n, where
+there is one, says how many pairs a row stands for (cllr, auc, cllr_min, ece). Scores
+are counted per distinct value first, so running sums meet distinct scores, not pairs.
 """
 
 from __future__ import annotations
@@ -20,19 +21,25 @@ def of_class(label: int, value: Column) -> Column:
     return F.when(F.col("label") == label, value)
 
 
-def cllr_columns() -> list[Column]:
-    cost = 0.5 * (F.avg(of_class(1, F.log2(1 + 1 / F.col("lr")))) + F.avg(of_class(0, F.log2(1 + F.col("lr")))))
-    return [cost.alias("cllr")]
+def count_of(df: DataFrame) -> Column:
+    """How many pairs a row stands for."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
+
+
+def cllr_columns(n: Column) -> list[Column]:
+    mean = lambda y, cost: F.try_divide(F.sum(of_class(y, cost * n)), F.sum(of_class(y, n)))
+    return [(0.5 * (mean(1, F.log2(1 + 1 / F.col("lr"))) + mean(0, F.log2(1 + F.col("lr"))))).alias("cllr")]
 
 
 def cllr(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Log-likelihood-ratio cost."""
-    return df.groupBy(*by).agg(*cllr_columns())
+    return df.groupBy(*by).agg(*cllr_columns(count_of(df)))
 
 
 def histogram_by_score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """pos and neg counts of each distinct score."""
-    return df.groupBy(*by, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    n = count_of(df)
+    return df.groupBy(*by, "score").agg(F.sum(F.col("label") * n).cast("long").alias("pos"), F.sum((1 - F.col("label")) * n).cast("long").alias("neg"))
 
 
 def with_running(hist: DataFrame, by: tuple[str, ...] = (), cuts: int = 64) -> DataFrame:
@@ -83,8 +90,8 @@ def calibration_bins(df: DataFrame, by: tuple[str, ...] = (), bins: int = 10) ->
     """Mean posterior and same-source share of equal bins of the posterior at even odds, the last one closed."""
     edges = F.array(*[F.lit(float(e)) for e in np.linspace(0, 1, bins + 1)[1:-1]])
     p = F.col("lr") / (1 + F.col("lr"))
-    rows = df.select(*by, "label", p.alias("p")).withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col("p"))))
-    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("label").alias("share"))
+    rows = df.select(*by, "label", p.alias("p"), count_of(df).alias("n")).withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col("p"))))
+    return rows.groupBy(*by, "bin").agg(F.sum("n").cast("long").alias("n"), (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_p"), (F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("share"))
 
 
 def ece(df: DataFrame, by: tuple[str, ...] = (), bins: int = 10) -> DataFrame:
@@ -127,7 +134,7 @@ def misleading_rates(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts, cllr, shares of misleading evidence and of LRs at their bound."""
     share = lambda y, test: F.avg(of_class(y, test.cast("double")))
     return df.groupBy(*by).agg(
-        F.sum("label").alias("n_km"), F.sum(1 - F.col("label")).alias("n_knm"), *cllr_columns(),
+        F.sum("label").alias("n_km"), F.sum(1 - F.col("label")).alias("n_knm"), *cllr_columns(count_of(df)),
         share(1, F.col("lr") < 1).alias("rmed"), share(0, F.col("lr") > 1).alias("rmep"), F.avg(F.col("bound_hit").cast("double")).alias("bound_limited"),
     )
 

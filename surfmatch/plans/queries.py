@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfmatch.functions import columns as C
+from surfmatch.functions.reuse import reused
 from surfmatch.operators import bootstrap, calibration, catalog, consensus, folds, matrices, metrics, pairs
 from surfmatch.plans import views as V
 from surfmatch.plans.views import rounded, table
@@ -55,7 +56,7 @@ r AS (SELECT score AS threshold, cq / n0 AS fpr, cp / n1 AS tpr FROM c WHERE k =
       UNION ALL SELECT 'infinity'::DOUBLE, 0.0, 0.0)"""
 
 
-@query("metric_roc_points", f"{SQL_ROC} SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM r WHERE threshold < 1e9")
+@query("metric_roc_points", f"{SQL_ROC} SELECT round(threshold, 6) + 0.0 AS threshold, round(fpr, 6) + 0.0 AS fpr, round(tpr, 6) + 0.0 AS tpr FROM r WHERE threshold < 1e9")
 def metric_roc_points(spark, sf):
     return rounded(metrics.roc_points(V.scored_pairs(spark, sf)).where("threshold < 1e9"))
 
@@ -386,7 +387,7 @@ best AS (SELECT pair_id, max(k) FILTER (r = 1) AS best, max(mean) FILTER (r = 1)
     FROM d JOIN best USING (pair_id) GROUP BY pair_id""",
 )
 def land_matrix_features(spark, sf):
-    return rounded(matrices.features(V.cells(spark, sf)).withColumn("offset", F.col("offset").cast("long")))
+    return rounded(matrices.features(V.cells(spark, sf)).withColumn("offset", F.col("offset").cast("long")), 6)
 
 
 @query("diagonal_evidence", f"{SQL_DIAGONAL} SELECT pair_id, round(sum(ccf - 0.5), 6) AS fused, count(*) AS n_lands FROM d JOIN best USING (pair_id) WHERE k = best GROUP BY pair_id")
@@ -447,11 +448,11 @@ def faceted_scans(spark, sf):
     return rounded(found.select("o_orderkey", "o_orderstatus", "o_totalprice"), 2)
 
 
-@query("browsed_parts", "SELECT p_partkey, p_name, CASE WHEN p_size IS NOT NULL AND p_size > 25 THEN 'large' ELSE 'small' END AS class FROM part WHERE p_name ILIKE '%1%' AND p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 7)")
+@query("browsed_parts", "SELECT p_partkey, p_name, CASE WHEN p_size IS NOT NULL AND p_size > 25 THEN 'large' ELSE 'small' END AS class FROM part WHERE p_name ILIKE '%IN%' AND p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 7)")
 def browsed_parts(spark, sf):
     part = table(spark, sf, "part")
     brands = part.where("p_size = 7").select("p_brand").distinct()
-    return part.where(F.col("p_name").ilike("%1%")).join(brands, "p_brand", "left_semi").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, "large").otherwise("small").alias("class"))
+    return part.where(F.col("p_name").ilike("%IN%")).join(brands, "p_brand", "left_semi").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, "large").otherwise("small").alias("class"))
 
 
 @query("intake_status", "SELECT CASE WHEN regexp_extract(url, '/(en|de|fr)/([0-9]+)', 2) = '' THEN 'unparsed' WHEN url IN (SELECT url FROM pages WHERE page_id % 4 <> 0) THEN 'present' ELSE 'ingest' END AS status, count(*) AS n FROM pages GROUP BY 1")
@@ -621,7 +622,7 @@ def reference_provenance(spark, sf):
 
 @query(
     "parsed_names",
-    """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 10 END AS barrel, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS bullet,
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN -1 ELSE s_suppkey % 10 END AS barrel, CASE WHEN s_suppkey % 4 = 0 THEN -1 ELSE s_nationkey END AS bullet,
       'TW0' || (s_suppkey % 9) AS source, 'TW0' || (s_suppkey % 9) || '-0' || s_nationkey AS item, 'VBU1' AS kit, 'S' || s_nationkey AS set_id, 'K' || (s_suppkey % 3) AS kit_item,
       CASE s_suppkey % 3 WHEN 0 THEN 'breech_face' WHEN 1 THEN 'ejector' ELSE 'full_headstamp' END AS mark_type, s_suppkey % 3 = 2 AS enhanced, 'T' || lpad(s_nationkey::VARCHAR, 2, '0') AS tool, 'A' AS side FROM supplier""",
 )
@@ -634,7 +635,7 @@ def parsed_names(spark, sf):
     lea, cart = C.land_name(land), C.cartridge_source(F.concat(slide, F.lit("/"), slide, F.lit("-0"), n, F.lit(".x3p")))
     tool = C.tool_name(F.concat(F.lit("T"), F.lpad(n, 2, "0"), F.lit("LA-F60-01")))
     return table(spark, sf, "supplier").select(
-        "s_suppkey", lea["barrel"].cast("long").alias("barrel"), lea["bullet"].alias("bullet"), cart["source"].alias("source"), cart["item"].alias("item"), kit["kit"].alias("kit"), kit["set_id"].alias("set_id"),
+        "s_suppkey", F.coalesce(lea["barrel"], F.lit(-1)).cast("long").alias("barrel"), F.coalesce(lea["bullet"], F.lit(-1)).alias("bullet"), cart["source"].alias("source"), cart["item"].alias("item"), kit["kit"].alias("kit"), kit["set_id"].alias("set_id"),
         kit["item"].alias("kit_item"), kit["mark_type"].alias("mark_type"), kit["enhanced"].alias("enhanced"), tool["tool"].alias("tool"), tool["side"].alias("side"),
     )
 
@@ -645,7 +646,8 @@ def parsed_names(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of marks, scored, calibrated leave-sources-out, and measured: one row."""
     scored = calibration.leave_sources_out_lrs(V.scored_pairs(spark, sf, 2)).where("lr is not null")
-    out = scored.agg(F.sum("label").alias("n_km"), F.sum(1 - F.col("label")).alias("n_knm"))
+    scored = reused(scored.groupBy("score", "lr", "label").agg(F.count("*").alias("n")))
+    out = scored.agg(F.sum(F.col("n") * F.col("label")).alias("n_km"), F.sum(F.col("n") * (1 - F.col("label"))).alias("n_knm"))
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc, metrics.ece):
         out = out.join(F.broadcast(part(scored)))
     return rounded(out)

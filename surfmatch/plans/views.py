@@ -59,7 +59,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     lands = table(spark, sf, "lineitem").select("l_orderkey", (F.row_number().over(place) - 1).alias("at"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"))
     a, b = lands.toDF("a", "i", "pa", "qa"), lands.toDF("b", "j", "pb", "qb")
     rows = orders.join(a, "a").join(b, "b")
-    return rows.select(F.col("a").alias("pair_id"), "i", "j", F.round(((F.col("pa") * F.col("pb")) % 997) / 997, 4).alias("ccf"), ((F.col("qa") - F.col("qb")) % 50).cast("double").alias("lag"))
+    return rows.select(F.col("a").alias("pair_id"), "i", "j", (((F.col("pa") * F.col("pb")) % 997) / 997).alias("ccf"), ((F.col("qa") - F.col("qb")) % 50).cast("double").alias("lag"))
 
 
 SQL_MARKS = "m AS (SELECT vec_id AS mark, label AS source, embedding::DOUBLE[] AS sig FROM embeddings)"
@@ -90,7 +90,7 @@ SQL_VOTES = """votes AS (SELECT l_orderkey AS pair_id, row_number() OVER (PARTIT
 
 SQL_CELLS = """ord AS (SELECT * FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL),
 lands AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS k, l_extendedprice AS price, l_partkey AS part FROM lineitem),
-cells AS (SELECT o.a AS pair_id, x.k AS i, y.k AS j, round(((x.price * y.price) % 997) / 997, 4) AS ccf, ((x.part - y.part) % 50)::DOUBLE AS lag
+cells AS (SELECT o.a AS pair_id, x.k AS i, y.k AS j, ((x.price * y.price) % 997) / 997 AS ccf, ((x.part - y.part) % 50)::DOUBLE AS lag
   FROM ord o JOIN lands x ON x.l_orderkey = o.a JOIN lands y ON y.l_orderkey = o.b)"""
 
 
