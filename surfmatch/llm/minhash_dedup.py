@@ -10,12 +10,10 @@ and concentrate as independent ones do.
 Bands of ``rows`` coordinates make buckets. Similarity is then verified exactly, on
 the words themselves:
 
-1. In every bucket each member meets the bucket's first member only (a star), so a
-   group of thousands of copies costs thousands of pairs. Links give components.
-2. A bucket whose members still lie in several components holds pairs that the star
-   has not tested. Those members meet through an exact prefix filter (with n
-   shingles in order of rarity, a pair of similarity s shares one of the first
-   n - ceil(s n) + 1), across components only, and are verified likewise.
+1. In every bucket each member meets the bucket's hub only (a star), so a group of
+   thousands of copies costs thousands of pairs. Links give components.
+2. Members of one hub that are still in different components meet if they differ
+   from the hub alike (difference_pairs, an exact filter), and are verified too.
 
 So within a bucket no link is lost, and no pair of it needs to be written out. With
 the default 42 bands of 6 a pair of similarity 0.8 shares no bucket with
@@ -117,28 +115,73 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def residual_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs across components that may be similar, of members(key, mid) whose bucket lies in several components."""
-    tagged = members.join(labels.toDF("mid", "component"), "mid", "left").withColumn("component", F.coalesce("component", "mid"))
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = materialize(tagged.join(mixed, "key", "left_semi").select("mid", "component").distinct(), "left")
-    tokens = left.join(texts, "mid").select("mid", "component", F.explode(shingle_strings(F.col("text"), k)).alias("token"))
-    tokens = materialize(tokens.select("mid", "component", F.xxhash64("token").alias("token")), "tokens")
-    seen = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    by_rarity = Window.partitionBy("mid").orderBy("df", "token")
-    ranked = tokens.join(seen, "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumns(
-        {"rank": F.row_number().over(by_rarity), "n": F.count("*").over(Window.partitionBy("mid"))}
-    )
-    first = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1).where("df > 1")
-    first = materialize(first.select("token", "mid", "component", "n"), "first")
-    shared = first.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    first = first.join(shared, "token", "left_semi")
-    a, b = (first.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("mid", "component", "n")]) for s in "ab")
-    near = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    met = a.join(b, "token").where((F.col("component_a") < F.col("component_b")) & near)
+def star_pairs(placed: DataFrame) -> DataFrame:
+    """hub, mid and their sizes for every bucket of placed(key, mid, n_shingles) that holds several.
+
+    A bucket's hub is its member that shares most buckets with most others: of a text
+    and its edited copies, the text, with which the copies agree more than with each other.
+    """
+    counts = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(placed.join(counts, "key"), "members")
+    known = members.groupBy("mid").agg(F.sum("n").alias("met"))
+    members_met = members.join(known, "mid")
+    hubs = members_met.groupBy("key").agg(F.max(F.struct("met", (-F.col("mid")).alias("order"), "mid", "n_shingles")).alias("hub")).select("key", F.col("hub.mid").alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
+    star = materialize(members.join(hubs, "key").where("mid <> hub").select("hub", "mid", "hub_size", "n_shingles").distinct(), "star")
+    drop_table(members)
+    return star
+
+
+def near_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def difference_pairs(star: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a hub and may be similar.
+
+    Let D(x) be the shingles in which x and the hub differ. The difference of x and y
+    is that of D(x) and D(y), so if x is not similar to the hub, x and y can only be
+    similar if D(x) and D(y) overlap in all but (1 - s) / s of x's size: they share
+    one of the first (1 - s) / s |x| + 1 shingles of D(x), rarest first, and the same
+    holds for y. Copies edited apart share none.
+    """
+    component = labels.toDF("mid", "component")
+    tagged = star.join(component, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
+    of_hub = component.toDF("hub", "hub_component")
+    tagged = tagged.join(of_hub, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
+    tagged = materialize(tagged.select("hub", "mid", "n_shingles", "component", "hub_component"), "tagged")
+    # a hub with one member apart has no pair to test
+    apart = tagged.groupBy("hub").agg(F.max((F.col("component") != F.col("hub_component")).cast("int")).alias("apart"), F.count("*").alias("n")).where("apart = 1 and n > 1").select("hub")
+    todo = tagged.join(apart, "hub", "left_semi").select("hub", "mid", "n_shingles", "component")
+    sets = texts.select("mid", shingle_strings(F.col("text"), k).alias("s"))
+    both = todo.join(sets.toDF("mid", "sx"), "mid").join(sets.toDF("hub", "sh"), "hub")
+    more, less = (F.transform(F.array_except(x, y), lambda t: F.xxhash64(t, F.lit(side))) for side, x, y in ((1, "sx", "sh"), (0, "sh", "sx")))
+    differing = both.select("hub", "mid", "n_shingles", "component", F.concat(more, less).alias("d")).select("hub", "mid", "n_shingles", "component", F.size("d").alias("n_d"), F.explode("d").alias("token"))
+    differing = materialize(differing, "differing")
+    shared = differing.groupBy("hub", "token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    seen = differing.join(shared, ["hub", "token"])
+    own = Window.partitionBy("hub", "mid")
+    seen = seen.withColumns({"n_seen": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "token"))})
+    room = F.floor(F.col("n_shingles") * ((100 - percent) / percent) + 1e-9) + 1 - (F.col("n_d") - F.col("n_seen"))
+    first = materialize(seen.where((F.col("rank") <= room) & (F.col("lo") != F.col("hi"))).select("hub", "token", "mid", "component", "n_shingles"), "first")
+    drop_table(differing)
+    a, b = (first.select("hub", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("mid", "component", "n_shingles")]) for x in "ab")
+    met = a.join(b, ["hub", "token"]).where((F.col("component_a") < F.col("component_b")) & near_sizes("n_shingles_a", "n_shingles_b", percent))
     return met.select(F.col("mid_a").alias("a"), F.col("mid_b").alias("b")).distinct()
 
 
+def components_of(star: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, component of the rows that some verified link holds."""
+    tested = star.where(near_sizes("hub_size", "n_shingles", percent)).select(F.col("hub").alias("a"), F.col("mid").alias("b"))
+    links = materialize(linked(tested, texts, k, percent), "links")
+    labels = materialize(connected_components(links), "labels")
+    more = materialize(difference_pairs(star, labels, texts, k, percent), "pairs")
+    if more.isEmpty():
+        return labels
+    links = links.union(materialize(linked(more, texts, k, percent), "links"))
+    return materialize(connected_components(links), "labels")
+
+
 def cluster(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """mid, doc_id, digest, n_shingles and component (smallest mid of the component) of every row of docs(doc_id, text)."""
     table = materialize(sketched(docs, k, bands, rows), "sketch")
@@ -146,22 +189,14 @@ def cluster(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
     classes = materialize(table.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("mid", "doc_id")).alias("first")).select("digest", F.col("first.mid").alias("rep"), F.col("first.doc_id").alias("rep_id")), "classes")
     reps = table.join(classes.select(F.col("rep").alias("mid")), "mid", "left_semi")
     placed = reps.select("mid", "n_shingles", F.explode("keys").alias("key"))
-    hubs = placed.groupBy("key").agg(F.min(F.struct("mid", "n_shingles")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    members = materialize(placed.join(hubs, "key").select("key", "mid", F.col("hub.mid").alias("hub"), "n_shingles", F.col("hub.n_shingles").alias("hub_size")), "members")
-    near = (100 * F.col("n_shingles") >= percent * F.col("hub_size")) & (100 * F.col("hub_size") >= percent * F.col("n_shingles"))
-    star = materialize(members.where((F.col("mid") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("mid").alias("b")).distinct(), "star")
+    star = star_pairs(placed)
     # the texts of all rows that share a bucket, one row for each class
-    wanted = members.select(F.col("mid").alias("rep")).distinct().join(classes, "rep")
+    wanted = star.select(F.col("mid").alias("rep")).union(star.select("hub")).distinct().join(classes, "rep")
     hashed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     matched = hashed.join(wanted.select("rep", "rep_id", F.col("digest").alias("d")), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     texts = materialize(matched.select(F.col("rep").alias("mid"), "text").dropDuplicates(["mid"]), "texts")
-    links = materialize(linked(star, texts, k, percent), "links")
-    labels = materialize(connected_components(links), "labels")
-    more = materialize(residual_pairs(members.select("key", "mid"), labels, texts, k, percent), "pairs")
-    if not more.isEmpty():
-        links = links.union(materialize(linked(more, texts, k, percent), "links"))
-        labels = materialize(connected_components(links), "labels")
-    for used in (members, texts, star):
+    labels = components_of(star, texts, k, percent)
+    for used in (texts, star):
         drop_table(used)
     of_class = classes.join(labels.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = table.select("mid", "doc_id", "digest", "n_shingles").join(of_class, "digest", "left")

@@ -4,9 +4,8 @@ A paragraph is a line of at least ``min_words`` words. Equal paragraphs (same wo
 A-Z in lower case) are one class. Classes are sketched (minhash_dedup.sketch) on
 their distinct word shingles of five and banded for high recall: the default nine
 bands of three coordinates miss a pair of similarity 0.8 once in 600 times, one of
-0.9 once in 100,000. In each bucket every class meets the first one, and members
-still apart afterwards meet through the exact prefix filter of operator 4; pairs
-are verified by exact Jaccard similarity on the words themselves. Of each component
+0.9 once in 100,000. Buckets are searched and pairs verified as in operator 4, by
+exact Jaccard similarity on the words themselves. Of each component
 the occurrence with the smallest (doc_id, place) stays, all others are removed.
 
 Cases: null and empty texts have no paragraphs. Repeated rows repeat their
@@ -26,8 +25,7 @@ from pyspark.sql import functions as F
 
 from surfmatch.llm.bytehash import LOWER, U, batches_of_bytes, mix, prefix, shingles, span, words
 from surfmatch.llm.common import drop_table, materialize, pick, small_batches
-from surfmatch.llm.components import connected_components
-from surfmatch.llm.minhash_dedup import band_keys, linked, residual_pairs, sketch
+from surfmatch.llm.minhash_dedup import band_keys, components_of, sketch, star_pairs
 from surfmatch.llm.suffix_dedup import beside
 
 SHINGLE, BANDS, ROWS = 5, 9, 3
@@ -94,20 +92,14 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, b
         found.groupBy("digest").agg(F.min(F.struct("ref", "idx")).alias("at"), F.count("*").alias("c"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes"
     )
     placed = classes.select(F.col("digest").alias("mid"), F.col("n").alias("n_shingles"), F.explode("keys").alias("key"))
-    hubs = placed.groupBy("key").agg(F.min(F.struct("mid", "n_shingles")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    members = materialize(placed.join(hubs, "key").select("key", "mid", "n_shingles", F.col("hub.mid").alias("hub"), F.col("hub.n_shingles").alias("hub_size")), "members")
-    near = (100 * F.col("n_shingles") >= percent * F.col("hub_size")) & (100 * F.col("hub_size") >= percent * F.col("n_shingles"))
-    star = materialize(members.where((F.col("mid") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("mid").alias("b")).distinct(), "star")
-    wanted = members.select(F.col("mid").alias("digest")).distinct().join(classes, "digest").groupBy("at.ref").agg(F.collect_list(F.struct("at.idx", "digest")).alias("items"))
+    star = star_pairs(placed)
+    wanted = star.select(F.col("mid").alias("digest")).union(star.select("hub")).distinct().join(classes, "digest").groupBy("at.ref").agg(F.collect_list(F.struct("at.idx", "digest")).alias("items"))
     wanted = materialize(wanted, "wanted")
     read = beside(docs.select("ref", "text"), wanted, "inner", most_rows, most_items).select(F.split("text", "\n").alias("lines"), F.explode("items").alias("x"))
     texts = materialize(read.select(F.col("x.digest").alias("mid"), F.element_at("lines", F.col("x.idx") + 1).alias("text")).dropDuplicates(["mid"]), "texts")
-    links = materialize(linked(star, texts, k, percent), "links")
-    labels = materialize(connected_components(links), "labels")
-    more = materialize(residual_pairs(members.select("key", "mid"), labels, texts, k, percent), "pairs")
-    if not more.isEmpty():
-        labels = materialize(connected_components(links.union(linked(more, texts, k, percent))), "labels")
-    drop_table(members)
+    labels = components_of(star, texts, k, percent)
+    for used in (texts, star):
+        drop_table(used)
     of_class = classes.select("digest", "c").join(labels.toDF("digest", "component"), "digest", "left")
     # classes that occur once and are linked with nothing keep their paragraph
     of_class = of_class.where((F.col("c") > 1) | F.col("component").isNotNull()).select("digest", F.coalesce("component", "digest").alias("component"))
