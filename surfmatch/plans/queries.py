@@ -654,3 +654,50 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+
+
+# ---------------------------------------------------------------- signals
+
+
+@query(
+    "profile_alignment",
+    f"""WITH {V.SQL_MARKS}, p AS (SELECT mark, source, list_transform(sig, lambda x: x - list_avg(sig)) AS v FROM m),
+    n AS (SELECT mark, source, v, sqrt(list_dot_product(v, v)) AS size FROM p), s AS (SELECT mark, lead(mark) OVER (PARTITION BY source ORDER BY mark) AS other FROM n),
+    c AS (SELECT a.mark AS mark_a, b.mark AS mark_b, lag, list_dot_product(a.v[greatest(1, 1 + lag):least(64, 64 + lag)], b.v[greatest(1, 1 - lag):least(64, 64 - lag)]) / (a.size * b.size) AS ccf
+          FROM s JOIN n a ON a.mark = s.mark JOIN n b ON b.mark = s.other, (SELECT unnest(range(-63, 64)) AS lag))
+    SELECT mark_a, mark_b, lag, round(ccf, 6) AS ccf FROM (SELECT *, row_number() OVER (PARTITION BY mark_a, mark_b ORDER BY round(ccf, 12) DESC, lag) AS k FROM c) WHERE k = 1""",
+)
+def profile_alignment(spark, sf):
+    """Every mark against the next one of its source: best lag and its correlation."""
+    from pyspark.sql.window import Window
+
+    from surfmatch.operators import signals
+
+    m = V.marks(spark, sf)
+    nxt = m.select(F.col("mark").alias("mark_a"), F.lead("mark").over(Window.partitionBy("source").orderBy("mark")).alias("mark_b")).where("mark_b is not null")
+    return rounded(signals.align_pairs(nxt, m).select("mark_a", "mark_b", "lag", "ccf"))
+
+
+@query("window_consensus")
+def window_consensus(spark, sf):
+    """Every mark against the next one of its source: windows that agree on a lag, and how many do."""
+    from pyspark.sql.window import Window
+
+    from surfmatch.operators import signals
+
+    m = V.marks(spark, sf)
+    nxt = m.select(F.col("mark").alias("mark_a"), F.lead("mark").over(Window.partitionBy("source").orderBy("mark")).alias("mark_b")).where("mark_b is not null")
+    votes = signals.vote_pairs(nxt, m, 16, 8).withColumn("pair_id", F.concat_ws("-", "mark_a", "mark_b"))
+    every = nxt.select(F.concat_ws("-", "mark_a", "mark_b").alias("pair_id"))
+    return consensus.cmr_scores(every, votes, 0.3, {"lag": 6.0})
+
+
+@query("profile_signatures")
+def profile_signatures(spark, sf):
+    """Orders' line items as profiles, polynomial and waviness removed; their energy."""
+    from surfmatch.operators import signals
+
+    rows = table(spark, sf, "lineitem").withColumn("seq", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    profiles = readers.profiles(rows, "l_orderkey", "seq", "l_quantity").select(F.col("tid").alias("mark"), "profile")
+    found = signals.profile_signatures(profiles, 1, 2.0)
+    return rounded(found.select("mark", F.size("signature").alias("n"), F.aggregate("signature", F.lit(0.0), lambda a, v: a + v * v).alias("energy")))
