@@ -41,6 +41,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write one small file to the shared folder; its path."""
+    path = f"{shared_dir(spark)}/{name}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() made and that is no longer read."""
     jvm = df.sparkSession._jvm

@@ -8,8 +8,8 @@ bands of three coordinates miss a pair of similarity 0.8 once in 600 times, one
 exact Jaccard similarity on the words themselves. Of each component
 the occurrence with the smallest (doc_id, place) stays, all others are removed.
 
-Cases: null and empty texts have no paragraphs. Repeated rows repeat their
-paragraphs; among equal places one row stays, by hash of the row. Lines shorter than
+Cases: null and empty texts have no paragraphs. Rows that agree in doc_id and text
+are one document: they keep and lose the same places. Lines shorter than
 ``min_words`` are never removed. A null doc_id sorts last. An empty table gives an
 empty result.
 """
@@ -115,7 +115,6 @@ def remove_paragraphs(
     docs: DataFrame, min_words: int = 10, k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rows: int = 200_000, most_items: int = 1_000_000
 ) -> DataFrame:
     """doc_id, n_paragraphs (lines), n_removed, removed (places), kept_text and kept_sha256; one row per input row."""
-    # a row is known by its id, its text and, where both repeat, by its place in the scan
     docs = pick(docs, "doc_id", "text")
     known = docs.withColumn("ref", F.xxhash64("doc_id", "text"))
     gone = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "gone")

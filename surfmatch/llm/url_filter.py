@@ -13,8 +13,6 @@ the first stays. Rows are independent.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -24,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfmatch.llm.common import lower_ascii, pick
+from surfmatch.llm.common import lower_ascii, pick, write_bytes
 
 #: (verdict, rule as host + path)
 RULES = (
@@ -37,7 +35,7 @@ RULES = (
 
 
 def write_index(spark: SparkSession, rules) -> str:
-    """Build the digest file on the driver and ship it; the name under which workers find it."""
+    """Write the digest file to the shared folder and ship it; the name under which workers find it."""
     rows = {}
     for verdict, rule in rules:
         rows.setdefault(rule, verdict)
@@ -45,12 +43,8 @@ def write_index(spark: SparkSession, rules) -> str:
     blob = "\0".join(f"{r}\t{v}" for _, r, v in keyed).encode()
     ends = np.cumsum([0] + [len(f"{r}\t{v}".encode()) + 1 for _, r, v in keyed]).astype("<u8")
     name = f"url-rules-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with open(path, "wb") as out:
-        out.write(np.array([len(keyed)], "<u8").tobytes())
-        out.write(np.array([k for k, _, _ in keyed], "<u8").tobytes())
-        out.write(ends.tobytes())
-        out.write(blob)
+    keys = np.array([k for k, _, _ in keyed], "<u8")
+    path = write_bytes(spark, name, np.array([len(keyed)], "<u8").tobytes() + keys.tobytes() + ends.tobytes() + blob)
     spark.sparkContext.addFile(path)
     return name
 
