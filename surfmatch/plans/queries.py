@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surfmatch.functions import columns as C
 from surfmatch.functions.reuse import reused
-from surfmatch.operators import bootstrap, calibration, catalog, consensus, folds, matrices, metrics, pairs
+from surfmatch.operators import bootstrap, calibration, catalog, consensus, folds, matrices, metrics, pairs, reports
 from surfmatch.plans import views as V
 from surfmatch.plans.views import rounded, table
 from surfmatch.sources import readers
@@ -640,6 +640,57 @@ def parsed_names(spark, sf):
     )
 
 
+# ---------------------------------------------------------------- reports
+
+
+@query("config_status", f"SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN 'unverified' WHEN n_nationkey % 3 = 0 THEN 'verified' ELSE 'refused' END AS status FROM nation")
+def config_status(spark, sf):
+    running = reports.config_hash()
+    n = F.col("n_nationkey") % 3
+    refs = table(spark, sf, "nation").select("n_nationkey", F.when(n == 0, running).when(n == 1, F.sha2("n_name", 256)).alias("config_hash"))
+    return reports.config_status(refs, running).select("n_nationkey", "status")
+
+
+@query("content_handles", """SELECT o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || round(o_totalprice, 6) || '}') AS handle FROM orders""")
+def content_handles(spark, sf):
+    return reports.content_handles(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_totalprice"]).select("o_orderkey", "handle")
+
+
+PROTOCOL_SQL = f"""{PAIRS_LR}, r AS (SELECT vec_id AS mark, vec_id AS seq, CASE WHEN vec_id % 50 <> 0 THEN label END AS source, sha256((CASE WHEN vec_id % 40 = 7 THEN vec_id - 1 ELSE vec_id END)::VARCHAR) AS h,
+      vec_id % 61 <> 0 AS parse_ok, vec_id % 23 <> 0 AS scope_ok, vec_id % 97 <> 0 AS signature_ok FROM embeddings),
+    c AS (SELECT h, count(DISTINCT source) AS n FROM r GROUP BY h), e AS (SELECT r.*, parse_ok AND source IS NOT NULL AND n = 1 AS ok FROM r JOIN c USING (h)), f AS (SELECT *, min(CASE WHEN ok THEN seq END) OVER (PARTITION BY h) AS first FROM e),
+    kept AS (SELECT mark FROM f WHERE ok AND seq = first AND scope_ok AND signature_ok), u AS (SELECT * FROM l WHERE mark_a IN (SELECT mark FROM kept) AND mark_b IN (SELECT mark FROM kept)), {V.sql_levels('u')},
+    b AS (SELECT len(list_filter([0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]::DOUBLE[], lambda x: x <= lr / (1 + lr))) AS bin, lr / (1 + lr) AS p, label FROM u),
+    g AS (SELECT bin, count(*) AS n, avg(p) AS mean_p, avg(label) AS share FROM b GROUP BY bin)"""
+
+
+@query(
+    "external_protocol",
+    f"""{PROTOCOL_SQL} SELECT sum(label)::BIGINT AS n_km, sum(1 - label)::BIGINT AS n_knm, round(avg((lr < 1)::INT) FILTER (label = 1), 6) AS rmed, round(avg((lr > 1)::INT) FILTER (label = 0), 6) AS rmep, round(avg(bound_hit::INT), 6) AS bound_limited,
+    round({CLLR}, 6) AS cllr, round((SELECT cllr_min FROM {V.sql_cllr_min('u')}), 6) AS cllr_min, round((SELECT auc FROM {V.sql_auc('u')}), 6) AS auc, round((SELECT sum(abs(mean_p - share) * n) / sum(n) FROM g), 6) AS ece,
+    (SELECT count(*) FROM r) AS n_records, (SELECT count(*) FROM kept) AS n_scans, true AS evaluable, CASE WHEN {CLLR} <= 0.3 THEN 'transferred' WHEN {CLLR} < 1 THEN 'informative but degraded' ELSE 'failed to transfer' END AS verdict FROM u""",
+)
+def external_protocol(spark, sf):
+    v = F.col("mark")
+    records = V.marks(spark, sf).select(
+        "mark", v.alias("seq"), F.when(v % 50 != 0, F.col("source")).alias("source"), F.sha2(F.when(v % 40 == 7, v - 1).otherwise(v).cast("string"), 256).alias("content_hash"),
+        (v % 61 != 0).alias("parse_ok"), (v % 23 != 0).alias("scope_ok"), (v % 97 != 0).alias("signature_ok"),
+    )
+    return rounded(reports.external_protocol(records, lr_pairs(spark, sf), records.count()))
+
+
+@query(
+    "head_to_head",
+    f"""{PAIRS}, x AS (SELECT source_a % 3 AS study, 'score' AS scorer, label, score FROM pairs UNION ALL SELECT source_a % 3, 'plain', label, round(score - 0.3 * label, 3) FROM pairs), y AS (SELECT study || ':' || scorer AS g, * FROM x),
+    a AS (SELECT g, any_value(study) AS study, any_value(scorer) AS scorer, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0, var_samp(score) FILTER (label = 1) AS v1, var_samp(score) FILTER (label = 0) AS v0,
+      avg(score) FILTER (label = 1) AS m1, avg(score) FILTER (label = 0) AS m0, quantile_cont(score, 0.05) FILTER (label = 1) AS q1, quantile_cont(score, 0.95) FILTER (label = 0) AS q0 FROM y GROUP BY g)
+    SELECT study, scorer, round(auc, 6) AS auc, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS cohens_d, round(q1 - q0, 6) AS pct_gap, n1 AS n_km, n0 AS n_knm FROM a JOIN {V.sql_auc('y', 'g')} USING (g)""",
+)
+def head_to_head(spark, sf):
+    rows = V.scored_pairs(spark, sf).withColumns({"study": F.col("source_a") % 3, "plain": F.round(F.col("score") - V.SHIFT * F.col("label"), 3)})
+    return rounded(reports.head_to_head(rows, "study", ("score", "plain")))
+
+
 # ---------------------------------------------------------------- flagship
 
 
