@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,3 +74,19 @@ def numpy_draws(sources: list[str], replicates: int, seed: int) -> list[tuple[in
         own, n = np.unique(rng.integers(0, len(sources), size=len(sources)), return_counts=True)
         rows += [(r, sources[i], int(c)) for i, c in zip(own, n)]
     return rows
+
+
+def ensemble_key(pairs: DataFrame, replicates: int, seed: int) -> str:
+    """Identity of an ensemble: what its reference holds, in any row order, and its parameters."""
+    content = pairs.groupBy("cluster_id", "score", "label").agg(F.count("*").alias("n")).agg(F.count("*"), F.bit_xor(F.xxhash64("cluster_id", "score", "label", "n")), F.sum(F.pmod(F.xxhash64("n", "label", "score", "cluster_id"), F.lit(1 << 40)))).first()
+    return hashlib.sha256(repr((tuple(content), replicates, seed)).encode()).hexdigest()
+
+
+def cached_ensemble(pairs: DataFrame, path: str, replicates: int, seed: int = 0) -> DataFrame:
+    """The ensemble stored under its key below path; fitted and stored first where it is not there."""
+    spark = pairs.sparkSession
+    place = f"{path.rstrip('/')}/key={ensemble_key(pairs, replicates, seed)}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        calibration_ensemble(pairs, replicates, seed).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)

@@ -159,3 +159,15 @@ def split_hash(pairs: DataFrame, tests: DataFrame) -> str:
         digest.update((row[0] if first else "\n" + row[0]).encode())
         first = False
     return digest.hexdigest()
+
+
+def lock_mismatches(pairs: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row of counts that must all be 0 before scores of a reference stand for frozen pairs: ids on one side only, labels and clusters that differ."""
+    a, b = (df.select("pair_id", F.col("label").alias(f"label_{s}"), F.col("cluster_id").alias(f"cluster_{s}"), F.lit(True).alias(f"in_{s}")) for df, s in ((pairs, "a"), (reference, "b")))
+    rows = a.join(b, "pair_id", "full_outer")
+    both = F.col("in_a") & F.col("in_b")
+    n = lambda test: F.coalesce(F.sum(F.coalesce(test, F.lit(False)).cast("long")), F.lit(0))
+    return rows.agg(
+        n(F.col("in_b").isNull()).alias("n_missing"), n(F.col("in_a").isNull()).alias("n_unknown"),
+        n(both & ~F.col("label_a").eqNullSafe(F.col("label_b"))).alias("n_label"), n(both & ~F.col("cluster_a").eqNullSafe(F.col("cluster_b"))).alias("n_cluster"),
+    )

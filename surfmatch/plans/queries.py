@@ -548,6 +548,13 @@ def coverage_check(spark, sf):
     return folds.coverage(ids.where("pair_id % 7 <> 0"), ids.where("pair_id % 10 <> 0"))
 
 
+@query("reference_lock", "SELECT count(*) FILTER (event_id % 7 = 0 AND event_id % 10 <> 0) AS n_missing, count(*) FILTER (event_id % 7 <> 0 AND event_id % 10 = 0) AS n_unknown, count(*) FILTER (event_id % 7 <> 0 AND event_id % 10 <> 0 AND event_id % 11 = 0) AS n_label, 0::BIGINT AS n_cluster FROM events")
+def reference_lock(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("pair_id"), (F.col("event_id") % 2).cast("int").alias("label"), F.col("event_type").alias("cluster_id"))
+    other = rows.withColumn("label", F.when(F.col("pair_id") % 11 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    return folds.lock_mismatches(rows.where("pair_id % 10 <> 0"), other.where("pair_id % 7 <> 0"))
+
+
 @query("source_universe", f"{PAIRS} SELECT DISTINCT s AS source FROM (SELECT source_a AS s FROM pairs UNION ALL SELECT source_b FROM pairs)")
 def source_universe(spark, sf):
     return folds.sources_of(V.scored_pairs(spark, sf))

@@ -181,3 +181,60 @@ def test_intake_stream_is_idempotent(spark, tmp_path):
     for k in range(2):
         intake.start_intake(spark.readStream.schema(schema).parquet(source), target, ("source_ref",), f"{tmp_path}/cp{k}").awaitTermination()
     assert sorted(r.source_ref for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+def test_template_peak_equals_direct_search():
+    rng = np.random.default_rng(8)
+    target = rng.normal(size=(17, 21))
+    cell = target[5:10, 8:14] + 0.01 * rng.normal(size=(5, 6))
+    corr, y, x = kernels.template_peak(target, cell)
+    padded, best = np.pad(target, ((5, 5), (6, 6))), (-2.0, 0, 0)
+    for i in range(17):
+        for j in range(21):
+            window = padded[i + 5 - 2 : i + 5 + 3, j + 6 - 2 : j + 6 + 4]
+            c = np.corrcoef(window.ravel(), cell.ravel())[0, 1] if window.std() > 0 else 0.0
+            best = max(best, (c, i, j))
+    assert (y, x) == best[1:] == (7, 10) and corr == pytest.approx(best[0])
+
+
+def test_cells_of_a_shifted_map_agree(spark):
+    rng = np.random.default_rng(9)
+    big = kernels.smooth(kernels.smooth(rng.normal(size=(90, 90)), 2, 0), 2, 1)
+    a, b = big[10:80, 10:80], big[6:76, 13:83]
+    maps = spark.createDataFrame([(1, 70, a.tobytes()), (2, 70, np.ascontiguousarray(b).tobytes())], "mark long, side int, heights binary")
+    votes = signals.cell_vote_pairs(spark.createDataFrame([(1, 2)], "mark_a long, mark_b long"), maps, grid=5)
+    votes = votes.withColumn("pair_id", F.lit("p"))
+    best = consensus.cmr_scores(spark.createDataFrame([("p",)], "pair_id string"), votes, 0.3, {"dy": 3.0, "dx": 3.0, "theta": 6.0}).first()
+    assert best["cmr"] >= 18
+    member = consensus.members(votes, 0.3, {"dy": 3.0, "dx": 3.0, "theta": 6.0}).agg(F.percentile("dy", F.lit(0.5)), F.percentile("dx", F.lit(0.5))).first()
+    assert abs(member[0] - 4) <= 1 and abs(member[1] + 3) <= 1
+
+
+def test_previews_and_images():
+    z = np.arange(100.0).reshape(10, 10)
+    z[:2] = np.nan
+    p = kernels.preview(z, 5)
+    assert p.shape == (5, 5) and np.isnan(p[0]).all() and np.nanmin(p) == 0 and np.nanmax(p) == 1
+    image = kernels.land_image(z, 8)
+    assert image.shape == (2, 8, 8) and image[1].all() and abs(image[0].mean()) < 1e-9
+    assert not kernels.land_image(np.full((3, 3), np.nan)).any()
+
+
+def test_profile_hash_is_of_float_bytes(spark):
+    v = [0.1, -2.0, 3.5]
+    df = spark.createDataFrame([(v,), ([],)], "p array<double>").select(C.profile_hash(F.col("p")).alias("h"))
+    assert [r.h for r in df.collect()] == [hashlib.sha256(np.array(x, "<f8").tobytes()).hexdigest() for x in (v, [])]
+
+
+def test_ensembles_are_fitted_once(spark, tmp_path):
+    from surfmatch.operators import bootstrap
+
+    rng = np.random.default_rng(3)
+    rows = [(f"c{i % 16}", float(round(rng.normal(3 * (i % 4 == 0)), 1)), int(i % 4 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "cluster_id string, score double, label int")
+    first = bootstrap.cached_ensemble(df, f"file://{tmp_path}", 6)
+    again = bootstrap.cached_ensemble(df.repartition(5), f"file://{tmp_path}", 6)
+    assert first.inputFiles() == again.inputFiles() and 1 <= first.count() <= 6
+    asked = spark.createDataFrame([("q", 2.0)], "query_id string, score double")
+    got = bootstrap.lr_intervals(asked, first).first()
+    assert got["lo"] <= got["hi"]
