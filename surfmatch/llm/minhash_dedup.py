@@ -139,34 +139,48 @@ def near_sizes(a: str, b: str, percent: int) -> Column:
 def difference_pairs(star: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a hub and may be similar.
 
-    Let D(x) be the shingles in which x and the hub differ. The difference of x and y
-    is that of D(x) and D(y), so if x is not similar to the hub, x and y can only be
-    similar if D(x) and D(y) overlap in all but (1 - s) / s of x's size: they share
-    one of the first (1 - s) / s |x| + 1 shingles of D(x), rarest first, and the same
-    holds for y. Copies edited apart share none.
+    Let A(x) be the shingles of x that the hub lacks, R(x) those of the hub that x
+    lacks, D(x) both. The difference of x and y is that of D(x) and D(y), so if x is not
+    similar to the hub, x and y can only be similar if D(x) and D(y) overlap in all but
+    (1 - s) / s of x's size: in any order of shingles they share one of the first
+    (1 - s) / s |x| + 1 of D(x), and the same holds for y. Here added shingles come
+    before removed ones, rarest first. If the first that x and y share is a removed
+    one, A(x) and A(y) have nothing in common; then x and y share |hub| less the union
+    of R(x) and R(y), which bounds from below how much of R(x) and R(y) must be the
+    same. Copies edited apart meet neither condition.
     """
     component = labels.toDF("mid", "component")
     tagged = star.join(component, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
     of_hub = component.toDF("hub", "hub_component")
     tagged = tagged.join(of_hub, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
-    tagged = materialize(tagged.select("hub", "mid", "n_shingles", "component", "hub_component"), "tagged")
+    tagged = materialize(tagged.select("hub", "mid", "hub_size", "n_shingles", "component", "hub_component"), "tagged")
     # a hub with one member apart has no pair to test
     apart = tagged.groupBy("hub").agg(F.max((F.col("component") != F.col("hub_component")).cast("int")).alias("apart"), F.count("*").alias("n")).where("apart = 1 and n > 1").select("hub")
-    todo = tagged.join(apart, "hub", "left_semi").select("hub", "mid", "n_shingles", "component")
+    todo = tagged.join(apart, "hub", "left_semi").select("hub", "mid", "hub_size", "n_shingles", "component")
     sets = texts.select("mid", shingle_strings(F.col("text"), k).alias("s"))
     both = todo.join(sets.toDF("mid", "sx"), "mid").join(sets.toDF("hub", "sh"), "hub")
-    more, less = (F.transform(F.array_except(x, y), lambda t: F.xxhash64(t, F.lit(side))) for side, x, y in ((1, "sx", "sh"), (0, "sh", "sx")))
-    differing = both.select("hub", "mid", "n_shingles", "component", F.concat(more, less).alias("d")).select("hub", "mid", "n_shingles", "component", F.size("d").alias("n_d"), F.explode("d").alias("token"))
-    differing = materialize(differing, "differing")
-    shared = differing.groupBy("hub", "token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
-    seen = differing.join(shared, ["hub", "token"])
-    own = Window.partitionBy("hub", "mid")
-    seen = seen.withColumns({"n_seen": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "token"))})
-    room = F.floor(F.col("n_shingles") * ((100 - percent) / percent) + 1e-9) + 1 - (F.col("n_d") - F.col("n_seen"))
-    first = materialize(seen.where((F.col("rank") <= room) & (F.col("lo") != F.col("hi"))).select("hub", "token", "mid", "component", "n_shingles"), "first")
+    tokens = lambda x, y, removed: F.transform(F.array_except(x, y), lambda t: F.struct(F.lit(removed).alias("removed"), F.xxhash64(t).alias("token")))
+    own = ["hub", "mid", "hub_size", "n_shingles", "component"]
+    differing = both.select(*own, tokens("sx", "sh", False).alias("more"), tokens("sh", "sx", True).alias("less"))
+    differing = differing.select(*own, F.size("more").alias("n_added"), F.size("less").alias("n_removed"), F.explode(F.concat("more", "less")).alias("d"))
+    differing = materialize(differing.select(*own, "n_added", "n_removed", "d.*"), "differing")
+    key = ["hub", "removed", "token"]
+    shared = differing.groupBy(*key).agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    seen = differing.join(shared, key)
+    of = Window.partitionBy("hub", "mid", "removed")
+    seen = seen.withColumns({"n_seen": F.count("*").over(of), "rank": F.row_number().over(of.orderBy("df", "token"))})
+    # shingles that no other member shares stand first among their kind
+    place = F.when(F.col("removed"), F.col("n_added") + F.col("n_removed") - F.col("n_seen") + F.col("rank")).otherwise(F.col("n_added") - F.col("n_seen") + F.col("rank"))
+    room = F.floor(F.col("n_shingles") * ((100 - percent) / percent) + 1e-9) + 1
+    first = materialize(seen.where((place <= room) & (F.col("lo") != F.col("hi"))).select(*own, "n_added", "n_removed", "removed", "token"), "first")
     drop_table(differing)
-    a, b = (first.select("hub", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("mid", "component", "n_shingles")]) for x in "ab")
-    met = a.join(b, ["hub", "token"]).where((F.col("component_a") < F.col("component_b")) & near_sizes("n_shingles_a", "n_shingles_b", percent))
+    a, b = (first.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("mid", "hub_size", "component", "n_shingles", "n_added", "n_removed")]) for x in "ab")
+    total = F.col("n_shingles_a") + F.col("n_shingles_b")
+    differ_a, differ_b = (F.col(f"n_added_{x}") + F.col(f"n_removed_{x}") for x in "ab")
+    # twice the overlap that D(x) and D(y) must have, and the overlap of R(x) and R(y) if the added ones are disjoint
+    enough = (100 + percent) * (differ_a + differ_b) - (100 - percent) * total <= 2 * (100 + percent) * F.least(differ_a, differ_b)
+    fits = (100 + percent) * (F.col("n_removed_a") + F.col("n_removed_b") - F.col("hub_size_a")) + percent * total <= (100 + percent) * F.least("n_removed_a", "n_removed_b")
+    met = a.join(b, key).where((F.col("component_a") < F.col("component_b")) & near_sizes("n_shingles_a", "n_shingles_b", percent) & enough & (~F.col("removed") | fits))
     return met.select(F.col("mid_a").alias("a"), F.col("mid_b").alias("b")).distinct()
 
 
