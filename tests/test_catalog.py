@@ -23,8 +23,8 @@ def one(spark, value, function):
 @pytest.mark.parametrize(
     "name, function, want",
     [
-        ("Barrel1_Bullet2_Land3.x3p", C.land_name, (1, 2, 3)), ("barrel 10 - bullet_4 land-06", C.land_name, (10, 4, 6)), ("Fadul 1-1.x3p", C.land_name, None),
-        ("Fadul 1-2.x3p", C.cartridge_source, ("Slide1", "Slide1-Case2")), ("Fadul A.x3p", C.cartridge_source, None), ("TW01/TW01-01.x3p", C.cartridge_source, ("TW01", "TW01-01")),
+        ("Barrel1_Bullet2_Land3.x3p", C.land_name, (1, 2, 3)), ("barrel 10 - bullet_4 land-06", C.land_name, (10, 4, 6)), ("Case 1-1.x3p", C.land_name, None),
+        ("Case 1-2.x3p", C.cartridge_source, ("Slide1", "Slide1-Case2")), ("Case A.x3p", C.cartridge_source, None), ("TW01/TW01-01.x3p", C.cartridge_source, ("TW01", "TW01-01")),
         ("a/b/c.x3p", C.cartridge_source, None), ("/c.x3p", C.cartridge_source, None),
         ("VBU1-S4-Qu-Enh_fixed.x3p", C.kit_name, ("VBU1", "S4", "Qu", None, True, "full_headstamp")), ("VCC1-S2-K1_fixed-bf.x3p", C.kit_name, ("VCC1", "S2", "K1", "BF", False, "breech_face")),
         ("VCC1-S2.x3p", C.kit_name, None), ("VCC1-S2-Z9.x3p", C.kit_name, None), ("T01LA-F60-01", C.tool_name, ("T01", "T01LA", "A")), ("X1LA-F60", C.tool_name, None),
