@@ -137,6 +137,49 @@ def test_language_accuracy_and_cases(spark):
     assert 2000 not in kept and {r[0] for r in rows[:300]} <= kept
 
 
+def test_language_with_few_documents_is_learned_beside_a_large_one(spark):
+    import random
+
+    rng = random.Random(5)
+    # over a million different strings in one language, a dozen in the other
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(30_000)), "large", "s") for i in range(52)]
+    small = [i for i in range(100, 110) if zlib.crc32(str(i).encode()) % 4 != 2][:1]
+    rows += [(i, "żółć gęś jaźń", "small", "s") for i in small] + [(1000, "jaźń żółć", None, None)]
+    model = langid.train(pick(cases.frame(spark, rows), "doc_id", "text", "lang"))
+    assert model["langs"] == ["large", "small"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(pick(cases.frame(spark, rows[-2:]), "doc_id", "text"), model, "doc_id").collect()}
+    assert got == {small[0]: "small", 1000: "small"}
+
+
+def test_language_bits_match_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("abcdé" if lang == "p" else "cdefg", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12))), lang, "s") for i in range(60) for lang in "pq"[i % 2]]
+    rows += [(200, "abc xyz gfe", None, None)]
+    grams = lambda t: [("   " + t)[j : j + 4] for j in range(len(t))]
+    counts = {lang: [Counter(g for i, t, x, _ in rows if x == lang and zlib.crc32(str(i).encode()) % 4 != 2 for g in grams(t))] for lang in "pq"}
+    for own in counts.values():
+        for k in (3, 2, 1):
+            own.insert(0, Counter(g[-k:] for g in own[0]))
+    alphabet = len({g for own in counts.values() for g in own[0]}) + 1
+
+    def p(own, g):
+        if not g:
+            return 1 / alphabet
+        c = own[len(g) - 1]
+        n = [list(c.values()).count(x) for x in (1, 2)]
+        d = n[0] / (n[0] + 2 * n[1]) if all(n) else 0.5
+        after = [v for x, v in c.items() if x[:-1] == g[:-1]]
+        return (max(c[g] - d, 0) + d * len(after) * p(own, g[1:])) / sum(after) if after else p(own, g[1:])
+
+    want = {i: min(sum(-math.log2(p(own, g)) for g in grams(t)) / len(grams(t)) for own in counts.values()) for i, t, _, _ in rows}
+    for shard_rows in (20, 200_000):
+        got = {r.doc_id: r.bits for r in langid.identify(cases.frame(spark, rows), shard_rows=shard_rows).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_leaks_are_found_in_any_order(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (5, "rho " * 12)], "item_id long, text string")
