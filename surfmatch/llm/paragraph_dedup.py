@@ -8,6 +8,15 @@ bands of three coordinates miss a pair of similarity 0.8 once in 600 times, one
 exact Jaccard similarity on the words themselves. Of each component
 the occurrence with the smallest (doc_id, place) stays, all others are removed.
 
+In the lines that stay, repeated passages are cut, wherever they lie in them: a word
+goes if it is in a run of ``passage`` words (A-Z in lower case) that stands in an
+earlier place too, by (doc_id, line, word). Runs in one line count if they do not
+overlap. Each line is sampled at content-defined places: of every ``passage // 2 + 1``
+neighbouring windows of ``passage - passage // 2`` words the one of least hash is kept,
+so two lines that share a run of ``passage`` words share a window. All runs of the lines
+that do are then compared by 64-bit hashes. Passages that differ in a word are found
+only where they share such a run.
+
 Cases: null and empty texts have no paragraphs. Rows that agree in doc_id and text
 are one document: they keep and lose the same places. Lines shorter than
 ``min_words`` are never removed. A null doc_id sorts last. An empty table gives an
@@ -17,18 +26,20 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfmatch.llm.bytehash import LOWER, U, batches_of_bytes, mix, prefix, shingles, span, words
+from surfmatch.llm.bytehash import BASE, INVERSE, LOWER, U, batches_of_bytes, mix, powers, prefix, shingles, span, words
 from surfmatch.llm.common import drop_table, materialize, pick, small_batches
 from surfmatch.llm.minhash_dedup import band_keys, components_of, sketch, star_pairs
 from surfmatch.llm.suffix_dedup import beside
 
-SHINGLE, BANDS, ROWS = 5, 9, 3
+SHINGLE, BANDS, ROWS, PASSAGE = 5, 9, 3, 50
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,22 +122,128 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, b
     return gone.groupBy("ref").agg(F.array_sort(F.collect_set("idx")).alias("removed"))
 
 
+def word_runs(word: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every run of n words of one line."""
+    sums = np.concatenate([[U(0)], np.cumsum(word * powers(BASE, len(word))[: len(word)])])
+    at = np.arange(max(0, len(word) - n + 1))
+    at = at[line[at] == line[at + n - 1]]
+    return at, mix((sums[at + n] - sums[at]) * powers(INVERSE, len(word))[at]) | U(1)
+
+
+def sampled(value: np.ndarray, line: np.ndarray, w: int) -> np.ndarray:
+    """Whether each value is the least of some w neighbours of one line."""
+    n = len(value)
+    if n < w:
+        return np.zeros(n, bool)
+    starts = n - w + 1
+    least = np.lib.stride_tricks.sliding_window_view(value, w).min(1)
+    least = np.where(line[:starts] == line[w - 1 :], least, U(0))
+    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
+    return np.lib.stride_tricks.sliding_window_view(padded, w).max(1) == value
+
+
+def passage_rows(lines: DataFrame, n: int, sample: int | None) -> DataFrame:
+    """ref, place (of the line), word and hash of runs of n words of lines(ref, text, places, inside): all, or the least of every ``sample``
+    neighbours; of the lines whose place is in places (inside) or is not."""
+    small_batches(lines.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ref, places, inside = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, j, data, offsets in batches_of_bytes(batch.column(1)):
+                cut, row, place = line_offsets(data, offsets)
+                low = LOWER[data]
+                start, end, line = words(low, cut)
+                first = np.searchsorted(line, np.arange(len(row)))
+                word = mix(span(prefix(low), start, end) + (end - start).astype(U))
+                at, value = word_runs(word, line, n)
+                begin = np.searchsorted(row, np.arange(j - i + 1))
+                wanted = np.zeros(len(row), bool)
+                for r in range(j - i):
+                    own = np.zeros(begin[r + 1] - begin[r], bool)
+                    own[[p for p in places[i + r] or () if p < len(own)]] = True
+                    wanted[begin[r] : begin[r + 1]] = own == inside[i + r]
+                keep = wanted[line[at]]
+                at, value = at[keep], value[keep]
+                if sample:
+                    keep = sampled(value, line[at], sample)
+                    at, value = at[keep], value[keep]
+                own = line[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ref[i + row[own]]), pa.array(place[own].astype(np.int32)), pa.array((at - first[own]).astype(np.int32)), pa.array(value.view(np.int64))], ["ref", "place", "word", "hash"]
+                )
+
+    return lines.select("ref", "text", "places", "inside").mapInArrow(run, "ref long, place int, word int, hash long")
+
+
+def repeated_passages(known: DataFrame, gone: DataFrame, passage: int, most_rows: int, most_items: int) -> DataFrame:
+    """ref and runs (place of the line, first word) of ``passage`` words to cut, of known(ref, doc_id, text), outside the removed lines."""
+    once = known.dropDuplicates(["ref"])
+    ids = once.select("ref", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("by"))
+    left = beside(known.select("ref", "text"), gone, "left", most_rows, most_items).select("ref", "text", F.col("removed").alias("places"), F.lit(False).alias("inside"))
+    found = passage_rows(left, passage - passage // 2, passage // 2 + 1)
+    found = materialize(found.select("ref", "place", "word", "hash"), "sampled")
+    places = found.join(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"), "hash").groupBy("ref").agg(F.collect_set("place").alias("places"))
+    wanted = materialize(places, "places")
+    drop_table(found)
+    lines = beside(known.select("ref", "text"), wanted, "inner", most_rows, most_items).withColumn("inside", F.lit(True))
+    every = materialize(passage_rows(lines, passage, None).distinct(), "runs")
+    placed = every.join(ids.join(wanted.select("ref"), "ref", "left_semi"), "ref")
+    first = placed.groupBy("hash").agg(F.min(F.struct("by", "ref", "place", "word")).alias("first"), F.count("*").alias("c")).where("c > 1").select("hash", "first")
+    same = (F.col("ref") == F.col("first.ref")) & (F.col("place") == F.col("first.place"))
+    again = every.join(first, "hash").where(~same | (F.col("word") >= F.col("first.word") + passage))
+    return again.groupBy("ref").agg(F.collect_set(F.struct("place", "word")).alias("runs"))
+
+
+def cut_passages(lines: list[str], runs: list, passage: int) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The lines without the words of the runs, and what was cut: line, first word, number of words."""
+    covered: dict[int, set[int]] = {}
+    for place, word in runs:
+        covered.setdefault(place, set()).update(range(word, word + passage))
+    lines, cut = list(lines), []
+    for place in sorted(covered):
+        text, own, out, at = lines[place], covered[place], [], 0
+        spans = [m.span() for m in WORD.finditer(text)]
+        for i in sorted(own):
+            if i - 1 in own:
+                continue
+            end = i
+            while end in own:
+                end += 1
+            out.append(text[at : spans[i][0]])
+            at = spans[end][0] if end < len(spans) else spans[-1][1]
+            cut.append((place, i, end - i))
+        lines[place] = "".join([*out, text[at:]])
+    return lines, cut
+
+
 def remove_paragraphs(
-    docs: DataFrame, min_words: int = 10, k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rows: int = 200_000, most_items: int = 1_000_000
+    docs: DataFrame, min_words: int = 10, k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rows: int = 200_000, most_items: int = 1_000_000, passage: int = PASSAGE
 ) -> DataFrame:
-    """doc_id, n_paragraphs (lines), n_removed, removed (places), kept_text and kept_sha256; one row per input row."""
+    """doc_id, n_paragraphs (lines), n_removed, removed (places), n_passages, passages (line, first word, words), kept_text and kept_sha256; one row per input row."""
     docs = pick(docs, "doc_id", "text")
     known = docs.withColumn("ref", F.xxhash64("doc_id", "text"))
     gone = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "gone")
-    joined = beside(known, gone, "left", most_rows, most_items)
-    lines = F.split(F.col("text"), "\n")
+    runs = materialize(repeated_passages(known, gone, passage, most_rows, most_items), "runs")
+    joined = beside(beside(known, gone, "left", most_rows, most_items), runs, "left", most_rows, most_items)
+    split = F.split(F.col("text"), "\n")
+
+    @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>>")
+    def cut(lines, runs):
+        return runs and cut_passages(lines, runs, passage)
+
+    # only texts with passages are sent to Python
+    joined = joined.withColumn("cut", cut(F.when(F.col("runs").isNotNull(), split), "runs"))
+    lines = F.coalesce("cut.lines", split)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
     kept = F.coalesce(left, F.lit(""))
     return joined.select(
         "doc_id",
-        F.coalesce(F.size(F.filter(lines, lambda x: x != "")), F.lit(0)).cast("long").alias("n_paragraphs"),
+        F.coalesce(F.size(F.filter(split, lambda x: x != "")), F.lit(0)).cast("long").alias("n_paragraphs"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.col("removed"), F.array().cast("array<int>")).alias("removed"),
+        F.coalesce(F.size("cut.cut"), F.lit(0)).cast("long").alias("n_passages"),
+        F.coalesce(F.col("cut.cut"), F.array().cast("array<struct<line: int, first: int, words: int>>")).alias("passages"),
         kept.alias("kept_text"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )

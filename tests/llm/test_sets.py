@@ -125,6 +125,34 @@ def test_long_repeats_match_brute_force(spark):
     assert suffix_dedup.remove_repeats(cases.empty(spark)).count() == 0
 
 
+def test_repeated_passages_inside_lines_match_brute_force(spark):
+    rng = random.Random(17)
+    line = lambda n: " ".join(rng.choice(cases.WORDS) for _ in range(n))
+    shared = line(60)
+    rows = [(i, line(12) + "\n" + line(30 + i) + " " + (shared.upper() if i % 2 else shared) + "  " + line(30 - i), "xx", "s") for i in range(8)]
+    rows += [(20, shared[: len(shared) // 2] + " " + line(70), None, None), (21, line(5) + " " + "ka " * 140, None, None), (22, line(20) + " " + shared, None, None)]
+    seen, want = set(), {}
+    for d, t, _, _ in rows:
+        for i, x in enumerate(t.split("\n")):
+            w, first = words(x), {}
+            for j in range(len(w) - 49):
+                run = tuple(w[j : j + 50])
+                if run in seen or j >= first.setdefault(run, j) + 50:
+                    want.setdefault((d, i), set()).update(range(j, j + 50))
+            seen |= set(first)
+    got = {r.doc_id: r for r in paragraph_dedup.remove_paragraphs(cases.frame(spark, rows + rows[3:4])).collect()}
+    assert set(want) == {*((i, 1) for i in range(1, 8)), (21, 0), (22, 0)} and min(map(len, want.values())) >= 60
+    assert not any(r.removed for r in got.values())
+    cut: dict = {}
+    for d, r in got.items():
+        for x in r.passages:
+            cut.setdefault((d, x.line), set()).update(range(x.first, x.first + x.words))
+    assert cut == want
+    for d, t, _, _ in rows:
+        left = [" ".join(y for j, y in enumerate(words(x)) if j not in want.get((d, i), ())) for i, x in enumerate(t.split("\n"))]
+        assert [" ".join(words(x)) for x in got[d].kept_text.split("\n")] == left
+
+
 def test_repeated_paragraphs_match_brute_force(spark):
     rng = random.Random(13)
     line = lambda n: " ".join(rng.choice(cases.WORDS) for _ in range(n))
