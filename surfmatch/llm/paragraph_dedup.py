@@ -2,9 +2,9 @@
 
 A paragraph is a line of at least ``min_words`` words. Equal paragraphs (same words,
 A-Z in lower case) are one class. Classes are sketched (minhash_dedup.sketch) on
-their distinct word shingles of five and banded for high recall: the default nine
-bands of three coordinates miss a pair of similarity 0.8 once in 600 times, one of
-0.9 once in 100,000. Buckets are searched and pairs verified as in operator 4, by
+their distinct word shingles of five and banded for high recall: with the default 13
+bands of two coordinates a pair of similarity 0.8 shares no bucket with probability
+2e-6. Buckets are searched and pairs verified as in operator 4, by
 exact Jaccard similarity on the words themselves. Of each component
 the occurrence with the smallest (doc_id, place) stays, all others are removed.
 
@@ -38,7 +38,7 @@ from surfmatch.llm.common import drop_table, materialize, pick, small_batches
 from surfmatch.llm.minhash_dedup import band_keys, components_of, sketch, star_pairs
 from surfmatch.llm.suffix_dedup import beside
 
-SHINGLE, BANDS, ROWS, PASSAGE = 5, 9, 3, 50
+SHINGLE, BANDS, ROWS, PASSAGE = 5, 13, 2, 50
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -153,6 +153,16 @@ def test_repeated_passages_inside_lines_match_brute_force(spark):
         assert [" ".join(words(x)) for x in got[d].kept_text.split("\n")] == left
 
 
+def test_paragraph_bands_lose_no_borderline_pair():
+    rng = np.random.default_rng(19)
+    n, common, own = 4000, 80, 10  # sets of 90 of which 80 are shared: similarity 0.8
+    sets = rng.integers(1, 2**63, (n, common + 2 * own), dtype=np.uint64)
+    rows = np.repeat(np.arange(n), common + own)
+    b, r = paragraph_dedup.BANDS, paragraph_dedup.ROWS
+    sides = [minhash_dedup.band_keys(minhash_dedup.sketch(rows, s.ravel(), n, b * r), b, r) for s in (sets[:, : common + own], np.delete(sets, np.s_[common : common + own], 1))]
+    assert (sides[0] == sides[1]).any(1).all()
+
+
 def test_repeated_paragraphs_match_brute_force(spark):
     rng = random.Random(13)
     line = lambda n: " ".join(rng.choice(cases.WORDS) for _ in range(n))
