@@ -4,8 +4,8 @@ Base spans are the three fixed patterns. The lexer then reads name-literal pairs
 out of source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``,
 ``name := x``, ``name => x``), remembers what each name was bound to, follows
 names used as values and ``+`` chains of them, and scores each literal by how
-sensitive the name is that it reaches. Literals that score enough and touch no
-base span are added with kind ``lexed``.
+sensitive the name is that it reaches. Literals that score enough and lie inside no
+base span are added with kind ``lexed``; they may overlap base spans.
 
 Cases: null or empty text gives no spans. Rows are independent, so repeated rows,
 null ids and empty tables need no rule. Long texts cost time in proportion.
@@ -120,7 +120,7 @@ def lexed_spans(text: str, base: list[tuple[int, int, int]], least: float) -> li
             continue  # an unquoted word of prose or a plain number
         if worth + literal_score(whole) * bool(literal_score(whole)) < least or not literal_score(whole):
             continue
-        added |= {(s, 3, e) for _, s, e in literals if e > s and not any(s < b and a < e for a, b in taken)}
+        added |= {(s, 3, e) for _, s, e in literals if e > s and not any(a <= s and e <= b for a, b in taken)}
     return sorted(added)
 
 

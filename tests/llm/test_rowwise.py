@@ -73,6 +73,13 @@ def test_secrets_lexing(text, found):
     assert [text[s:e] for s, _, e in added] == found
 
 
+def test_secret_longer_than_its_base_span_is_found_whole():
+    text = 'password = "Tr0ub4dor&3xyz!"\ntoken = "hunter2hunter2"'
+    _, added = secrets.scan(text)
+    assert [text[s:e] for s, _, e in added] == ["Tr0ub4dor&3xyz!"]
+    assert secrets.redact_text(text) == '[REDACTED]"\n[REDACTED]"'
+
+
 def test_secrets_redaction(spark):
     df = cases.frame(spark, [(1, "x password=hunter22 y", "xx", "s"), (2, None, None, None)])
     rows = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
