@@ -7,8 +7,10 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from surfmatch.functions.columns import logistic_lr
+from surfmatch.functions.reuse import reused
 from surfmatch.operators.calibration import fit_counts
 
 
@@ -18,11 +20,18 @@ def drawn(units: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     units(unit) is a list of sources or clusters. Draws are seeded by digests of
     (seed, replicate, draw), so they are the same however data are partitioned.
     """
-    listed = units.distinct().agg(F.array_sort(F.collect_set("unit")).alias("units"))
-    reps = units.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    rows = reps.join(F.broadcast(listed)).select("replicate", "units", F.explode(F.sequence(F.lit(1), F.size("units"))).alias("draw"))
+    parts = units.where(F.col("unit").isNotNull()).distinct().repartitionByRange("unit").withColumn("part", F.spark_partition_id())
+    # the ranges are sampled, so they are drawn once for numbers and sizes
+    parts = reused(parts.select("unit", "part"))
+    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("unit")))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
+    n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = parts.join(F.broadcast(before), "part").select("unit", (F.col("before") + F.col("rank")).cast("long").alias("place"))
+    rows = units.sparkSession.range(replicates * n).select(F.expr(f"cast(id div {max(n, 1)} as int)").alias("replicate"), (F.col("id") % max(n, 1) + 1).alias("draw"))
     number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("long")
-    return rows.select("replicate", F.element_at("units", (F.pmod(number, F.size("units")) + 1).cast("int")).alias("unit")).groupBy("replicate", "unit").agg(F.count("*").alias("w"))
+    places = rows.select("replicate", (F.pmod(number, F.lit(max(n, 1))) + 1).alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("w"))
+    return places.join(numbered, "place").select("replicate", "unit", "w")
 
 
 def source_sums(pairs: DataFrame) -> DataFrame:

@@ -141,6 +141,19 @@ def test_split_hash_reacts_to_labels_and_folds(spark):
     assert base != folds.split_hash(df, tests.limit(3)) and base != folds.split_hash(df.withColumn("label", 1 - F.col("label")), tests)
 
 
+def test_draws_number_units_without_one_array(spark):
+    import hashlib
+    from collections import Counter
+
+    names = sorted(f"u{i * 7919 % 1000}" for i in range(500))
+    draws = bootstrap.drawn(spark.createDataFrame([(x,) for x in names + names[:9]] + [(None,)], "unit string"), 4, seed=2)
+    plan = draws._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    want = Counter((r, names[int(hashlib.sha256(f"2|{r}|{d}".encode()).hexdigest()[:8], 16) % 500]) for r in range(4) for d in range(1, 501))
+    assert {(r.replicate, r.unit): r.w for r in draws.collect()} == want
+    assert bootstrap.drawn(spark.createDataFrame([], "unit string"), 4).count() == 0
+
+
 def test_source_bootstrap_equals_enumeration(spark):
     df, rows = synthetic_pairs(spark, sources=4, marks=3)
     df = df.withColumn("lr", F.pow(F.lit(10.0), F.col("score") - 0.5))
