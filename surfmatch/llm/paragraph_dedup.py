@@ -8,14 +8,15 @@ bands of two coordinates a pair of similarity 0.8 shares no bucket with probabil
 exact Jaccard similarity on the words themselves. Of each component
 the occurrence with the smallest (doc_id, place) stays, all others are removed.
 
-In the lines that stay, repeated passages are cut, wherever they lie in them: a word
-goes if it is in a run of ``passage`` words (A-Z in lower case) that stands in an
-earlier place too, by (doc_id, line, word). Runs in one line count if they do not
-overlap. Each line is sampled at content-defined places: of every ``passage // 2 + 1``
-neighbouring windows of ``passage - passage // 2`` words the one of least hash is kept,
-so two lines that share a run of ``passage`` words share a window. All runs of the lines
-that do are then compared by 64-bit hashes. Passages that differ in a word are found
-only where they share such a run.
+Passages that repeat without being a paragraph are cut too, wherever they lie, over line
+ends as well: a word goes if it is in a run of ``passage`` words (A-Z in lower case) that
+also stands where it is kept: at its first place by (doc_id, word), places in removed
+lines last. Runs that reach into a removed line are cut no further. Runs of one text count if they do not overlap the first. Each text is sampled
+at content-defined places: of every ``passage // 2 + 1`` neighbouring windows of
+``passage - passage // 2`` words the one of least hash is kept, so two texts that share
+a run of ``passage`` words share a window. All runs around such windows are then
+compared by 64-bit hashes. Passages that differ in a word are found only where they
+share such a run.
 
 Cases: null and empty texts have no paragraphs. Rows that agree in doc_id and text
 are one document: they keep and lose the same places. Lines shorter than
@@ -97,7 +98,7 @@ def paragraph_rows(docs: DataFrame, min_words: int, k: int, bands: int, rows: in
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, bands: int, rows: int, most_rows: int, most_items: int) -> DataFrame:
-    """ref and the places of the paragraphs to remove, of docs(ref, doc_id, text)."""
+    """ref and its repeated paragraphs: place, component, doc_id that keeps the component's copy, and whether it is this place; of docs(ref, doc_id, text)."""
     found = materialize(paragraph_rows(docs, min_words, k, bands, rows), "paragraphs")
     classes = materialize(
         found.groupBy("digest").agg(F.min(F.struct("ref", "idx")).alias("at"), F.count("*").alias("c"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes"
@@ -116,119 +117,156 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, b
     of_class = of_class.where((F.col("c") > 1) | F.col("component").isNotNull()).select("digest", F.coalesce("component", "digest").alias("component"))
     marked = materialize(found.select("ref", "idx", "digest").join(of_class, "digest").select("ref", "idx", "component"), "marked")
     ids = docs.select("ref", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("by"))
-    placed_ids = marked.join(ids.dropDuplicates(["ref"]), "ref")
-    stays = placed_ids.groupBy("component").agg(F.min(F.struct("by", "idx", "ref")).alias("stays"))
-    gone = placed_ids.join(stays, "component").where(~((F.col("ref") == F.col("stays.ref")) & (F.col("idx") == F.col("stays.idx"))))
-    return gone.groupBy("ref").agg(F.array_sort(F.collect_set("idx")).alias("removed"))
+    placed_ids = materialize(marked.join(ids.dropDuplicates(["ref"]), "ref"), "placed")
+    # a table of its own: a join with a large component can then be split
+    stays = materialize(placed_ids.groupBy("component").agg(F.min(F.struct("by", "idx", "ref")).alias("stays")), "stays")
+    item = F.struct("idx", "component", F.nullif(F.col("stays.by"), F.lit((1 << 63) - 1)).alias("stays_in"), ((F.col("ref") == F.col("stays.ref")) & (F.col("idx") == F.col("stays.idx"))).alias("stays"))
+    return placed_ids.join(stays, "component").groupBy("ref").agg(F.array_sort(F.collect_set(item)).alias("repeated"))
 
 
-def word_runs(word: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of every run of n words of one line."""
-    sums = np.concatenate([[U(0)], np.cumsum(word * powers(BASE, len(word))[: len(word)])])
-    at = np.arange(max(0, len(word) - n + 1))
-    at = at[line[at] == line[at + n - 1]]
-    return at, mix((sums[at + n] - sums[at]) * powers(INVERSE, len(word))[at]) | U(1)
-
-
-def sampled(value: np.ndarray, line: np.ndarray, w: int) -> np.ndarray:
-    """Whether each value is the least of some w neighbours of one line."""
+def sampled(value: np.ndarray, row: np.ndarray, w: int) -> np.ndarray:
+    """Whether each value is the least of some w neighbours of one text."""
     n = len(value)
     if n < w:
         return np.zeros(n, bool)
     starts = n - w + 1
     least = np.lib.stride_tricks.sliding_window_view(value, w).min(1)
-    least = np.where(line[:starts] == line[w - 1 :], least, U(0))
+    least = np.where(row[:starts] == row[w - 1 :], least, U(0))
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     return np.lib.stride_tricks.sliding_window_view(padded, w).max(1) == value
 
 
-def passage_rows(lines: DataFrame, n: int, sample: int | None) -> DataFrame:
-    """ref, place (of the line), word and hash of runs of n words of lines(ref, text, places, inside): all, or the least of every ``sample``
-    neighbours; of the lines whose place is in places (inside) or is not."""
-    small_batches(lines.sparkSession)
+def runs_of_words(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word (in its text) and hash of every run of n words, whatever lines they stand in."""
+    low = LOWER[data]
+    start, end, row = words(low, offsets)
+    at = np.arange(max(0, len(start) - n + 1))
+    at = at[row[at] == row[at + n - 1]]
+    word = mix(span(prefix(low), start, end) + (end - start).astype(U))
+    sums = np.concatenate([[U(0)], np.cumsum(word * powers(BASE, len(word))[: len(word)])])
+    value = mix((sums[at + n] - sums[at]) * powers(INVERSE, len(word))[at]) | U(1)
+    return row[at], at - np.searchsorted(row, row[at]), value
+
+
+def run_batch(ref: np.ndarray, word: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ref), pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["ref", "word", "hash"])
+
+
+def sampled_runs(texts: DataFrame, n: int, w: int) -> DataFrame:
+    """ref, word and hash of the runs of n words of texts(ref, text) that are the least of some w neighbours."""
+    small_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ref, places, inside = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ref = batch.column(0).to_numpy()
+            for i, _, data, offsets in batches_of_bytes(batch.column(1)):
+                row, word, value = runs_of_words(data, offsets, n)
+                keep = sampled(value, row, w)
+                yield run_batch(ref[i + row[keep]], word[keep], value[keep])
+
+    return texts.select("ref", "text").mapInArrow(run, "ref long, word int, hash long")
+
+
+def runs_around(texts: DataFrame, n: int, inner: int) -> DataFrame:
+    """ref, word and hash of the runs of n words of texts(ref, text, starts) that hold a run of ``inner`` words begun at one of starts."""
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ref, starts = batch.column(0).to_numpy(), batch.column(2)
             for i, j, data, offsets in batches_of_bytes(batch.column(1)):
-                cut, row, place = line_offsets(data, offsets)
-                low = LOWER[data]
-                start, end, line = words(low, cut)
-                first = np.searchsorted(line, np.arange(len(row)))
-                word = mix(span(prefix(low), start, end) + (end - start).astype(U))
-                at, value = word_runs(word, line, n)
+                row, word, value = runs_of_words(data, offsets, n)
                 begin = np.searchsorted(row, np.arange(j - i + 1))
-                wanted = np.zeros(len(row), bool)
+                keep = np.zeros(len(row), bool)
                 for r in range(j - i):
-                    own = np.zeros(begin[r + 1] - begin[r], bool)
-                    own[[p for p in places[i + r] or () if p < len(own)]] = True
-                    wanted[begin[r] : begin[r + 1]] = own == inside[i + r]
-                keep = wanted[line[at]]
-                at, value = at[keep], value[keep]
-                if sample:
-                    keep = sampled(value, line[at], sample)
-                    at, value = at[keep], value[keep]
-                own = line[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ref[i + row[own]]), pa.array(place[own].astype(np.int32)), pa.array((at - first[own]).astype(np.int32)), pa.array(value.view(np.int64))], ["ref", "place", "word", "hash"]
-                )
+                    own = np.sort(starts[i + r].values.to_numpy())
+                    mine = word[begin[r] : begin[r + 1]]
+                    keep[begin[r] : begin[r + 1]] = np.searchsorted(own, mine) < np.searchsorted(own, mine + (n - inner), "right")
+                yield run_batch(ref[i + row[keep]], word[keep], value[keep])
 
-    return lines.select("ref", "text", "places", "inside").mapInArrow(run, "ref long, place int, word int, hash long")
+    return texts.select("ref", "text", "starts").mapInArrow(run, "ref long, word int, hash long")
 
 
 def repeated_passages(known: DataFrame, gone: DataFrame, passage: int, most_rows: int, most_items: int) -> DataFrame:
-    """ref and runs (place of the line, first word) of ``passage`` words to cut, of known(ref, doc_id, text), outside the removed lines."""
-    once = known.dropDuplicates(["ref"])
-    ids = once.select("ref", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("by"))
-    left = beside(known.select("ref", "text"), gone, "left", most_rows, most_items).select("ref", "text", F.col("removed").alias("places"), F.lit(False).alias("inside"))
-    found = passage_rows(left, passage - passage // 2, passage // 2 + 1)
-    found = materialize(found.select("ref", "place", "word", "hash"), "sampled")
-    places = found.join(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"), "hash").groupBy("ref").agg(F.collect_set("place").alias("places"))
-    wanted = materialize(places, "places")
+    """ref and runs (first word, cut) of ``passage`` words that stand in several places, of known(ref, doc_id, text).
+
+    One place of each stays: the first by (doc_id, word) of those outside the removed
+    lines, which are gone anyhow; a run that reaches into them is cut no further.
+    """
+    inner = passage - passage // 2
+    found = materialize(sampled_runs(known, inner, passage // 2 + 1).distinct(), "sampled")
+    several = materialize(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "several")
+    wanted = materialize(found.join(several, "hash").groupBy("ref").agg(F.collect_set("word").alias("starts")), "starts")
     drop_table(found)
-    lines = beside(known.select("ref", "text"), wanted, "inner", most_rows, most_items).withColumn("inside", F.lit(True))
-    every = materialize(passage_rows(lines, passage, None).distinct(), "runs")
-    placed = every.join(ids.join(wanted.select("ref"), "ref", "left_semi"), "ref")
-    first = placed.groupBy("hash").agg(F.min(F.struct("by", "ref", "place", "word")).alias("first"), F.count("*").alias("c")).where("c > 1").select("hash", "first")
-    same = (F.col("ref") == F.col("first.ref")) & (F.col("place") == F.col("first.place"))
-    again = every.join(first, "hash").where(~same | (F.col("word") >= F.col("first.word") + passage))
-    return again.groupBy("ref").agg(F.collect_set(F.struct("place", "word")).alias("runs"))
-
-
-def cut_passages(lines: list[str], runs: list, passage: int) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The lines without the words of the runs, and what was cut: line, first word, number of words."""
-    covered: dict[int, set[int]] = {}
-    for place, word in runs:
-        covered.setdefault(place, set()).update(range(word, word + passage))
+    drop_table(several)
+    every = materialize(runs_around(beside(known.select("ref", "text"), wanted, "inner", most_rows, most_items), passage, inner).distinct(), "runs")
+    ids = known.dropDuplicates(["ref"]).join(wanted.select("ref"), "ref", "left_semi").select("ref", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("by"), "text")
+    ids = beside(ids, gone, "left", most_rows, most_items)
+
+    # the words of removed lines, as their first and end
+    def removed_words(lines, places):
+        if places is None:
+            return None
+        sizes = [len(WORD.findall(x)) for x in lines]
+        ends = np.cumsum(sizes)
+        return [(int(ends[p] - sizes[p]), int(ends[p])) for p in places]
+
+    as_words = F.udf(removed_words, "array<struct<s: int, e: int>>")
+    ids = materialize(ids.select("ref", "by", as_words(F.when(F.col("removed").isNotNull(), F.split("text", "\n")), "removed").alias("out")), "ids")
+    drop_table(wanted)
+    lost = F.coalesce(F.exists("out", lambda x: (x["s"] < F.col("word") + passage) & (x["e"] > F.col("word"))), F.lit(False))
+    placed = every.join(ids, "ref").select("ref", "word", "hash", F.struct(lost.alias("lost"), "by", "ref", "word").alias("place"))
+    first = materialize(placed.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("hash", "first"), "first")
+    again = placed.join(first, "hash")
+    # a run beside the first place is repeated only if it does not overlap it
+    apart = (F.col("ref") != F.col("first.ref")) | (F.abs(F.col("word") - F.col("first.word")) >= passage)
+    alone = again.groupBy("hash").agg(F.max(apart).alias("some")).where("some").select("hash")
+    found = again.join(alone, "hash").select("ref", F.struct("word", (apart & ~F.col("place.lost")).alias("cut")).alias("run"))
+    return found.groupBy("ref").agg(F.collect_set("run").alias("runs"))
+
+
+def stretches(covered: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
+
+
+def cut_passages(lines: list[str], runs: list, passage: int) -> tuple[list[str], list[tuple[int, int, int]], int]:
+    """The lines without the words of the runs to cut, what was cut (line, first word, number of words), and the repeated stretches that the text held."""
+    spans = [[m.span() for m in WORD.finditer(x)] for x in lines]
+    begin = np.cumsum([0, *map(len, spans)])
+    held, own = np.zeros(begin[-1], bool), np.zeros(begin[-1], bool)
+    for word, cut in runs:
+        held[word : word + passage] = True
+        if cut:
+            own[word : word + passage] = True
     lines, cut = list(lines), []
-    for place in sorted(covered):
-        text, own, out, at = lines[place], covered[place], [], 0
-        spans = [m.span() for m in WORD.finditer(text)]
-        for i in sorted(own):
-            if i - 1 in own:
-                continue
-            end = i
-            while end in own:
-                end += 1
-            out.append(text[at : spans[i][0]])
-            at = spans[end][0] if end < len(spans) else spans[-1][1]
-            cut.append((place, i, end - i))
+    for place in np.unique(np.searchsorted(begin, np.flatnonzero(own), "right") - 1):
+        text, out, at = lines[place], [], 0
+        for a, b in stretches(own[begin[place] : begin[place + 1]]):
+            out.append(text[at : spans[place][a][0]])
+            at = spans[place][b][0] if b < len(spans[place]) else spans[place][-1][1]
+            cut.append((int(place), a, b - a))
         lines[place] = "".join([*out, text[at:]])
-    return lines, cut
+    return lines, cut, len(stretches(held))
 
 
 def remove_paragraphs(
     docs: DataFrame, min_words: int = 10, k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rows: int = 200_000, most_items: int = 1_000_000, passage: int = PASSAGE
 ) -> DataFrame:
-    """doc_id, n_paragraphs (lines), n_removed, removed (places), n_passages, passages (line, first word, words), kept_text and kept_sha256; one row per input row."""
+    """doc_id, n_shared (stretches of ``passage`` words or more that stand in several places, kept copies included), n_paragraphs
+    (lines), n_removed, removed (places), repeated (paragraphs with their component and the doc_id that keeps it), n_passages,
+    passages (line, first word, words cut), kept_text and kept_sha256; one row per input row."""
     docs = pick(docs, "doc_id", "text")
     known = docs.withColumn("ref", F.xxhash64("doc_id", "text"))
-    gone = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "gone")
+    repeated = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "repeated")
+    places = F.transform(F.filter("repeated", lambda x: ~x["stays"]), lambda x: x["idx"])
+    gone = repeated.select("ref", places.alias("removed")).where(F.size("removed") > 0)
     runs = materialize(repeated_passages(known, gone, passage, most_rows, most_items), "runs")
-    joined = beside(beside(known, gone, "left", most_rows, most_items), runs, "left", most_rows, most_items)
+    joined = beside(beside(known, repeated, "left", most_rows, most_items), runs, "left", most_rows, most_items).withColumn("removed", places)
     split = F.split(F.col("text"), "\n")
 
-    @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>>")
+    @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>, shared: int>")
     def cut(lines, runs):
         return runs and cut_passages(lines, runs, passage)
 
@@ -239,9 +277,11 @@ def remove_paragraphs(
     kept = F.coalesce(left, F.lit(""))
     return joined.select(
         "doc_id",
+        F.coalesce(F.col("cut.shared"), F.lit(0)).cast("long").alias("n_shared"),
         F.coalesce(F.size(F.filter(split, lambda x: x != "")), F.lit(0)).cast("long").alias("n_paragraphs"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.col("removed"), F.array().cast("array<int>")).alias("removed"),
+        F.coalesce("repeated", F.array().cast("array<struct<idx: int, component: long, stays_in: long, stays: boolean>>")).alias("repeated"),
         F.coalesce(F.size("cut.cut"), F.lit(0)).cast("long").alias("n_passages"),
         F.coalesce(F.col("cut.cut"), F.array().cast("array<struct<line: int, first: int, words: int>>")).alias("passages"),
         kept.alias("kept_text"),
