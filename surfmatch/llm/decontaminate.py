@@ -3,10 +3,10 @@
 Benchmark items are indexed by the rolling hashes of their strings of ``least``
 words (an item of fewer words by its whole self). A document's strings of that
 length meet the index by binary search; items that share one are candidates. For a
-candidate the longest common strings of unmarked words, grown from those seeds, are
-marked again and again, so that tiles never overlap on either side. An item whose
-words are covered to ``percent`` or more has leaked, in whatever order its pieces
-stand.
+candidate whose shared strings could cover enough of it, the longest common strings of
+unmarked words are marked again and again, so that tiles never overlap on either
+side. An item whose words are covered to ``percent`` or more has leaked, in whatever
+order its pieces stand. Hashes choose candidates only; tiles compare the words.
 
 The index is sent to the executors in blocks of bounded size, one after the other,
 each against all documents; no document is shuffled. Words are the texts' words,
@@ -14,7 +14,12 @@ A-Z in lower case.
 
 Cases: null and empty texts and items match nothing. Repeated items each count; a
 null item_id is reported as null. An empty benchmark flags nothing, an empty
-documents table gives an empty result. Long texts are read whole.
+documents table gives an empty result. Long texts are read whole. Memory follows the
+text and the item, not how often their words repeat; of tiles of one length the one
+first in the item, then in the text, is marked first.
+
+There is no oracle SQL: tiling is a loop whose every step depends on the one before.
+Tests hold it against a plain tiling of words.
 """
 
 from __future__ import annotations
@@ -49,11 +54,21 @@ def rolling(word: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Texts:
+    """Texts of a column from some row on, made strings only where one is asked for."""
+
+    def __init__(self, column: pa.Array, first: int):
+        self.column, self.first = column, first
+
+    def __getitem__(self, i: int) -> str | None:
+        return self.column[self.first + i].as_py()
+
+
 class ItemIndex:
     """Words of the items of one block, and the sorted hashes of their strings, by string length."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], least: int):
-        self.ids, self.items = ids, []
+        self.ids, self.texts, self.items = ids, texts, []
         for _, word, at in word_hashes(pa.array(texts, pa.string())):
             self.items += [word[a:b] for a, b in zip(at, at[1:])]
         self.seeds = {}
@@ -68,7 +83,7 @@ class ItemIndex:
                 self.seeds[n] = (seed[order], item[order], place[order])
 
     def meetings(self, word: np.ndarray, at: np.ndarray):
-        """(row, item, place in the row's words, place in the item, string length) of equal strings within rows."""
+        """(row, item, string length, places in the item) of the items that share strings with a row, however often the row holds them."""
         for n, (seed, item, place) in self.seeds.items():
             own = rolling(word, n)
             lo = np.searchsorted(seed, own, "left")
@@ -76,51 +91,69 @@ class ItemIndex:
             row = np.searchsorted(at, hit, "right") - 1
             whole = hit + n <= at[row + 1]
             hit, row = hit[whole], row[whole]
-            if not len(hit):
+            for r in np.unique(row):
+                s, e = np.searchsorted(row, [r, r + 1])
+                first = np.unique(lo[hit[s:e]])  # a string once, though the row repeats it
+                count = np.searchsorted(seed, seed[first], "right") - first
+                post = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                post = post[np.argsort(item[post], kind="stable")]
+                new = np.flatnonzero(np.diff(item[post], prepend=-1))
+                for x, y in zip(new, np.append(new[1:], len(post))):
+                    yield int(r), int(item[post[x]]), n, place[post[x:y]]
+
+
+def numbered(text: str, item: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text and of an item as numbers, equal for equal words only; words that the item lacks are -1."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    return np.array([number.get(w, -1) for w in plain_words(text)]), np.array([number[w] for w in item])
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words with A-Z in lower case: bytes.lower() changes nothing else."""
+    return (text or "").encode().lower().split()
+
+
+def tiles_cover(text: np.ndarray, item: np.ndarray, n: int) -> int:
+    """Words of an item that tiles of n words or more cover: the longest first, of equals the one first in the item, then in the text.
+
+    Common strings are found as running lengths along both sequences, one place of the
+    item at a time, so memory follows the text whatever repeats in it.
+    """
+    text_free, item_free = text >= 0, np.ones(len(item), bool)
+
+    def lengths():
+        run = np.zeros(len(text) + 1, np.int32)
+        for p in range(len(item)):
+            if item_free[p]:
+                run[1:] = np.where((text == item[p]) & text_free, run[:-1] + 1, 0)
+            else:
+                run[:] = 0
+            yield p, run[1:]
+
+    while (longest := max(int(run.max()) for _, run in lengths())) >= n:
+        for p, run in lengths():
+            if not item_free[p - longest + 1 : p + 1].all():
                 continue
-            lo = lo[hit]
-            count = np.searchsorted(seed, own[hit], "right") - lo
-            each = np.repeat(np.arange(len(hit)), count)
-            post = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            yield row[each], item[post], hit[each] - at[row[each]], place[post], n
-
-
-def tiles_cover(doc_at: np.ndarray, item_at: np.ndarray, n: int, size: int) -> int:
-    """Words of an item of some size that tiles cover, from the places of common strings of n words."""
-    alive = np.ones(len(doc_at), bool)
-    doc_free, item_free = np.ones(int(doc_at.max()) + n, bool), np.ones(size, bool)
-    order = np.lexsort((item_at, doc_at - item_at))
-    doc_at, item_at = doc_at[order], item_at[order]
-    while alive.any():
-        d, p = doc_at[alive], item_at[alive]
-        joined = np.zeros(len(d), bool)  # goes on from the string before, on the same diagonal
-        joined[1:] = (d[1:] - p[1:] == d[:-1] - p[:-1]) & (p[1:] == p[:-1] + 1)
-        first = np.flatnonzero(~joined)
-        length = np.diff(np.append(first, len(d))) + n - 1
-        longest = length.max()
-        for i in first[length == longest]:
-            if item_free[p[i] : p[i] + longest].all() and doc_free[d[i] : d[i] + longest].all():
-                item_free[p[i] : p[i] + longest] = False
-                doc_free[d[i] : d[i] + longest] = False
-        # strings that a tile touches are no seeds any more
-        item_open = np.convolve(~item_free, np.ones(n, int))[n - 1 :][: size] == 0
-        doc_open = np.convolve(~doc_free, np.ones(n, int))[n - 1 :][: len(doc_free)] == 0
-        alive &= item_open[item_at] & doc_open[doc_at]
+            for d in np.flatnonzero(run == longest):
+                if text_free[d - longest + 1 : d + 1].all():
+                    text_free[d - longest + 1 : d + 1] = item_free[p - longest + 1 : p + 1] = False
+                    break
     return int((~item_free).sum())
 
 
-def leaks(index: ItemIndex, word: np.ndarray, at: np.ndarray, percent: int) -> dict[int, list[tuple[int | None, float]]]:
-    """Items that leaked into each row, with their coverage."""
+def leaks(index: ItemIndex, texts: Texts, word: np.ndarray, at: np.ndarray, percent: int) -> dict[int, list[tuple[int | None, float]]]:
+    """Items that leaked into each row, with their coverage; hashes only choose what to look at, words decide."""
     out: dict[int, list[tuple[int | None, float]]] = {}
-    for row, item, d, p, n in index.meetings(word, at):
-        order = np.lexsort((item, row))
-        row, item, d, p = row[order], item[order], d[order], p[order]
-        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
-        for a, b in zip(new, np.append(new[1:], len(row))):
-            size = len(index.items[item[a]])
-            reach = len(np.unique(p[a:b, None] + np.arange(n)))  # more than tiles can cover
-            if 100 * reach >= percent * size and 100 * (covered := tiles_cover(d[a:b], p[a:b], n, size)) >= percent * size:
-                out.setdefault(int(row[a]), []).append((index.ids[item[a]], covered / size))
+    for row, item, n, places in index.meetings(word, at):
+        size = len(index.items[item])
+        reach = np.zeros(size + 1, int)  # more than tiles can cover
+        reach[places] += 1
+        np.subtract.at(reach, np.minimum(places + n, size), 1)
+        if 100 * (np.cumsum(reach[:size]) > 0).sum() < percent * size:
+            continue
+        covered = tiles_cover(*numbered(texts[row], plain_words(index.texts[item])), n)
+        if 100 * covered >= percent * size:
+            out.setdefault(row, []).append((index.ids[item], covered / size))
     return out
 
 
@@ -142,7 +175,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percen
             for batch in batches:
                 found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 for i, word, at in word_hashes(batch.column(text_at)):
-                    for row, hits in leaks(index.value, word, at, percent).items():
+                    texts = Texts(batch.column(text_at), i)
+                    for row, hits in leaks(index.value, texts, word, at, percent).items():
                         found[i + row] = [{"item_id": x, "coverage": c} for x, c in hits]
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names)
