@@ -12,17 +12,17 @@ def signature(tree: DataFrame) -> tuple:
     return tuple(tree.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "parent"))).first())
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges(a, b); longs; loops and repeats are harmless.
 
-    Each round halves the depth of every tree or better; a component that is a chain
-    of 2**rounds nodes would be needed to outlast the default.
+    Rounds go on until nothing moves: parents only ever get smaller, so that ends. Each
+    round halves the depth of every tree or better.
     """
     tree = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent")).distinct(), "cc"
     )
     last = signature(tree)
-    for _ in range(rounds):
+    while True:
         # large star: every node's larger neighbours, and itself, move to its smallest neighbour
         both = tree.union(tree.select("parent", "node")).toDF("node", "other")
         least = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("m"))

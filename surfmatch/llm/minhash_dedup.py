@@ -220,7 +220,8 @@ def cluster(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component) and kept; one row per input row."""
     found = materialize(cluster(pick(docs, "doc_id", "text"), k, percent, bands, rows), "found")
-    ids = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # tables of their own, here and below: Spark can then split what a large component or a hub of many brings
+    ids = materialize(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ids")
     out = found.join(ids, "component").select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -229,7 +230,7 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 4
     """The documents that stay: of each component the row of smallest doc_id, first in the table where ids repeat."""
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     found = materialize(cluster(docs, k, percent, bands, rows), "found")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mid")).alias("best"))
+    best = materialize(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mid")).alias("best")), "best")
     stays = materialize(found.join(best, "component").where("mid = best.mid").select("doc_id", "digest"), "stays")
     digest = F.md5(F.coalesce("text", F.lit("")))
     left, right = docs.withColumn("digest", digest), stays.select(F.col("doc_id").alias("i"), F.col("digest").alias("d")).distinct()

@@ -80,6 +80,49 @@ def test_secret_longer_than_its_base_span_is_found_whole():
     assert secrets.redact_text(text) == '[REDACTED]"\n[REDACTED]"'
 
 
+def test_secrets_chains_take_little_memory():
+    import tracemalloc
+
+    chain = 'k = "Zx9$kL2q"\n' + "k = k + k\n" * 40 + "db_password = k\n"
+    longer = 'a0 = "Zx9$kL2q"\n' + "".join(f'a{i + 1} = a{i} + "{i}"\n' for i in range(20_000)) + "passphrase = a20000\n"
+    tracemalloc.start()
+    assert [chain[s:e] for s, _, e in secrets.scan(chain)[1]] == ["Zx9$kL2q"]
+    assert len(secrets.scan(longer)[1]) == 20_001
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("n", [27, 207, 20_000])
+def test_secrets_names_of_any_length(n):
+    text = "x" * n + "_passphrase = 'k9$Lm2!qZx8@'"
+    assert [text[s:e] for s, _, e in secrets.scan(text)[1]] == ["k9$Lm2!qZx8@"]
+
+
+def test_secrets_long_single_lines_are_read_once():
+    import time
+
+    began = time.time()
+    text = "; ".join(f"v{i} = 'word{i}'" for i in range(60_000)) + " " * 100_000 + "9" * 200_000 + ' x="' * 50_000
+    secrets.scan(text)
+    assert time.time() - began < 20
+
+
+#: Lines of source and configuration, and the secrets in them.
+PLANTED = (
+    ("DB_PASSPHRASE = 'v8#Qp!2zLm'", ["v8#Qp!2zLm"]), ('{"clientCredential": "8fK2-xPq9-77Zt"}', ["8fK2-xPq9-77Zt"]), ("signing_key: Zm9vYmFyMTIz", ["Zm9vYmFyMTIz"]), ("authKey := \"p0Kx!92mQ\"", ["p0Kx!92mQ"]),
+    ("conf['bearer'] => 'eyJhbGciOi.K3z9'", ["eyJhbGciOi.K3z9"]), ("part = 'Ab3$dE6&'\npwd = part + 'Gh9!jK2@'", ["Ab3$dE6&", "Gh9!jK2@"]), ("x = 'Qw8*er5%'\ny = x\nmaster_passphrase = y", ["Qw8*er5%"]),
+    ("encryption_key = 'c2VjcmV0Ym94'", ["c2VjcmV0Ym94"]), ("export PRIVATE_KEY=MIIEpAIBAAKCAQEA7", ["MIIEpAIBAAKCAQEA7"]), ("dsn = 'postgres://u:p9@h/db1'", ["postgres://u:p9@h/db1"]),
+    ("color = '#a8F3k2'", []), ("passphrase: ${VAULT_PASS}", []), ("auth = 'none'", []), ("pwd = os.environ['PWD']", []), ("keyboard = 'qwertz-1'", []), ("the key: a word", []), ("credential = 'your-credential-here'", []),
+    ("title = 'A Tale of 2 Cities'", []), ("path: /usr/lib/x86_64", []), ("pass = 1", []), ("version = '1.22.333-beta'", []), ("compass = 'north-42-Xy'", []),
+)
+
+
+def test_secrets_lexing_precision_and_recall():
+    found = [{t[s:e] for s, _, e in secrets.scan(t)[1]} for t, _ in PLANTED]
+    right = sum(len(f & set(w)) for f, (_, w) in zip(found, PLANTED))
+    assert right / sum(len(w) for _, w in PLANTED) >= 0.95 and right / max(1, sum(map(len, found))) >= 0.95
+
+
 def test_secrets_redaction(spark):
     df = cases.frame(spark, [(1, "x password=hunter22 y", "xx", "s"), (2, None, None, None)])
     rows = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
@@ -121,6 +164,44 @@ def test_quality_counts_match_brute_force(spark):
     assert quality.judge_quality(cases.empty(spark)).count() == 0
 
 
+def test_quality_verdict_matches_a_plain_robust_estimate(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    mean, scale = np.array([1.2, 0.3, 0.4, 0.2]), np.array([0.2, 0.15, 0.25, 0.3])
+    mix = np.array([[1, 0, 0, 0], [0.6, 0.8, 0, 0], [0, 0.3, 0.95, 0], [-0.4, 0, 0.2, 0.9]])
+    x = np.round(mean + rng.normal(size=(600, 4)) @ mix.T * scale, 4)
+    x[:150] = np.round(np.array([3.0, 2.0, 1.0, 2.5]) + rng.normal(size=(150, 4)) * 0.05, 4)  # a quarter lies elsewhere, close together
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x_word double, x_symbol double, x_line double, x_repeat double").repartition(3)
+    got = quality.estimate(df).first()
+    centre = np.array([got[f"m_{i}"] for i in range(4)])
+    low = np.array([[got[f"l_{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    floors = np.diag(np.square(quality.FLOORS))
+
+    def step(m, c):
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        own = x[d <= np.quantile(d, quality.H)]
+        return own.mean(0), np.cov(own.T, bias=True) * quality.CONSISTENCY + floors
+
+    best = None
+    for seed in range(200):  # far more starts, from random subsets
+        own = x[np.random.default_rng(seed).choice(600, 8, replace=False)]
+        m, c = own.mean(0), np.cov(own.T, bias=True) + floors
+        for _ in range(30):
+            m, c = step(m, c)
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c
+    assert np.linalg.det(low @ low.T) <= best[0] * 1.02
+    assert np.allclose(centre, best[1], atol=0.02) and np.allclose(low @ low.T, best[2], rtol=0.1, atol=0.005)
+    d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(low @ low.T), x - centre)
+    assert (d[:150] > quality.CUTOFF).all() and (d[150:] <= quality.CUTOFF).all()
+
+
+def test_chi_square_quantiles():
+    assert quality.chi_square_quantile(0.05, 4) == pytest.approx(9.487729, abs=1e-5)
+    assert quality.CONSISTENCY == pytest.approx(1.486, abs=2e-3) and 35 < quality.CUTOFF < 37
+
+
 def test_language_accuracy_and_cases(spark):
     import random
 
@@ -187,6 +268,59 @@ def test_language_bits_match_brute_force(spark):
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def plain_tiling(text, item, least):
+    """Words of item that greedy string tiles cover, by trying everything."""
+    used_t, used_i = set(), set()
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for d in range(len(text)):
+                n = 0
+                while p + n < len(item) and d + n < len(text) and item[p + n] == text[d + n] and p + n not in used_i and d + n not in used_t:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, d)
+        n, p, d = best
+        if n < least:
+            return len(used_i)
+        used_i |= set(range(p, p + n))
+        used_t |= set(range(d, d + n))
+
+
+def test_tiling_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["ab", "cd", "ef", "gh"]
+    items = [(i, " ".join(rng.choices(vocabulary[: 2 + i % 3], k=rng.randint(1, 25)))) for i in range(12)]
+    rows = []
+    for j in range(40):
+        parts = [rng.choice(items)[1].split(" ") for _ in range(2)]
+        parts = [p[a:] + p[:a] for p in parts for a in [rng.randrange(len(p))]]
+        rows.append((j, " ".join(parts[0] + rng.choices(vocabulary, k=rng.randint(0, 10)) + parts[1]).upper(), "l", "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(pick(cases.frame(spark, rows), "doc_id", "text"), bench).collect()
+    got = {r.doc_id: {x.item_id: round(x.coverage, 9) for x in r.leaked} for r in found}
+    want = {}
+    for j, t, _, _ in rows:
+        own = {i: plain_tiling(t.lower().split(), x.split(), min(5, len(x.split()))) / len(x.split()) for i, x in items}
+        want[j] = {i: round(c, 9) for i, c in own.items() if c >= 0.8}
+    assert got == want and any(want.values())
+
+
+def test_tiling_of_equal_words_takes_little_memory():
+    import tracemalloc
+
+    text, item = "rho " * 200_000, "rho " * 1000
+    index = decontaminate.ItemIndex([1], [item], 5)
+    column = decontaminate.pa.array([text])
+    tracemalloc.start()
+    for i, word, at in decontaminate.word_hashes(column):
+        assert decontaminate.leaks(index, decontaminate.Texts(column, i), word, at, 80) == {0: [(1, 1.0)]}
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_leaks_are_found_in_any_order(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (5, "rho " * 12)], "item_id long, text string")

@@ -153,6 +153,38 @@ def test_repeated_passages_inside_lines_match_brute_force(spark):
         assert [" ".join(words(x)) for x in got[d].kept_text.split("\n")] == left
 
 
+def test_passages_over_line_ends_match_brute_force(spark):
+    rng = random.Random(23)
+    line = lambda n: " ".join(rng.choice(cases.WORDS) for _ in range(n))
+    shared = line(58).split(" ")
+    rows = []
+    for i in range(8):  # the same words, broken into lines of their own way
+        cuts = sorted(rng.sample(range(1, 58), 5))
+        body = "\n".join(" ".join(shared[a:b]) for a, b in zip([0, *cuts], [*cuts, 58]))
+        rows.append((i, line(20) + "\n" + body + "\n" + line(15), "xx", "s"))
+    rows += [(20, " ".join(shared[:49]) + "\n" + line(30), None, None), (21, None, None, None), (22, "\n\n", None, None), (23, line(200), None, None)]
+    got = {r.doc_id: r for r in paragraph_dedup.remove_paragraphs(cases.frame(spark, rows), min_words=60).collect()}
+    runs = defaultdict(list)
+    for d, t, _, _ in rows:
+        w = words(t)
+        for j in range(len(w) - 49):
+            runs[tuple(w[j : j + 50])].append((d, j))
+    for d, t, _, _ in rows:
+        w = words(t)
+        gone = {k for at in runs.values() for x, j in at[1:] if x == d for k in range(j, j + 50)}  # the first stays
+        assert words(got[d].kept_text) == [x for k, x in enumerate(w) if k not in gone]
+        assert got[d].n_shared == (d < 8) and (got[d].n_passages > 0) == bool(gone) == (0 < d < 8)
+
+
+def test_paragraphs_tell_where_their_copy_stays(spark):
+    rng = random.Random(29)
+    line = " ".join(rng.choice(cases.WORDS) for _ in range(30))
+    rows = [(5, line + "\nown", "xx", "s"), (3, "x\n" + line.upper(), "xx", "s"), (None, line, "xx", "s"), (7, "another", None, None)]
+    got = {r.doc_id: r for r in paragraph_dedup.remove_paragraphs(cases.frame(spark, rows)).collect()}
+    assert {d: [(x.idx, x.stays_in, x.stays) for x in r.repeated] for d, r in got.items()} == {3: [(1, 3, True)], 5: [(0, 3, False)], None: [(0, 3, False)], 7: []}
+    assert len({x.component for r in got.values() for x in r.repeated}) == 1
+
+
 def test_paragraph_bands_lose_no_borderline_pair():
     rng = np.random.default_rng(19)
     n, common, own = 4000, 80, 10  # sets of 90 of which 80 are shared: similarity 0.8
