@@ -32,8 +32,40 @@ def test_html_keeps_the_article_and_drops_the_rest(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+#: Templates that the labelled pages do not include: page, and the blocks to keep. P are paragraphs of their own words.
+P = [" ".join(f"{w}{i}" for w in cases.WORDS[: 20 + 6 * i]) for i in range(5)]
+PAGES = (
+    (f"<header><b>Site</b></header><article><header><h1>Big news</h1><p>by someone</p></header><p>{P[0]}<p>{P[1]}</article>", ["Big news", "by someone", P[0], P[1]]),
+    (f"<article><div class=post-header><h2>Head line here</h2></div><div class=notice><p>{P[0]}</p></div><div class=side-story><p>{P[1]}</p></div></article>", ["Head line here", P[0], P[1]]),
+    (f"<div><a>Home</a></div><div><a>News</a></div><div><a>Sport</a></div><h1>A title</h1><div>{P[2]}</div><div>Subscribe to our mailing list today</div><div>{P[3]}</div>", ["A title", P[2], P[3]]),
+    (f"<table><tr><td><a>One</a> <a>Two</a></td><td>{P[0]}</td><td><a>Three four</a></td></tr><tr><td>{P[1]}</td></tr></table>", [P[0], P[1]]),
+    (f"<div class='wrap'><ul class='nav-list'><li><a>A</a></li><li><a>B</a></li></ul><div class='story'><p>{P[0]}</p><p>Yes.</p><p>{P[1]}</p></div><div class='footer'>{P[4]}</div></div>", [P[0], "Yes.", P[1]]),
+    (f"<main><h1>Guide</h1><p>{P[0]}</p><ul><li>first step</li><li>second step</li></ul><pre>x = 1</pre></main><aside>{P[1]}</aside>", ["Guide", P[0], "first step", "second step", "x = 1"]),
+    (f"<div role=main class=post><p>{P[0]}</p><div class=comments><p>{P[1]}</p></div></div><div id=disqus>{P[2]}</div>", [P[0]]),
+    (f"<section class=teasers><div><a>One long teaser title</a> more</div><div><a>Another long teaser title</a> more</div></section><section><p>{P[0]}</p><p>{P[1]}</p></section>", [P[0], P[1]]),
+    (f"<div class='cookie-banner'>We use cookies on this page</div><div class=body-text><p>{P[0]}</p></div><form>Name <input></form>", [P[0]]),
+    (f"<article><p>{P[0]} <a>a link</a> and on</p><div class=share>Share <a>x</a></div><nav><a>Next</a></nav><p>{P[1]}</p></article>", [P[0] + " a link and on", P[1]]),
+    (f"<div hidden>{P[0]}</div><p>{P[1]}</p><div style='display: none'>{P[2]}</div><p>{P[3]}</p>", [P[1], P[3]]),
+    (f"<div id=top-menu><a>x</a></div><dl><dt>Term one</dt><dd>{P[0]}</dd></dl><p>{P[1]}</p><div class=site-footer>© Someone</div>", ["Term one", P[0], P[1]]),
+)
+
+
+def test_html_of_other_templates():
+    tree = html_extract.grow(html_extract.labelled_rows())
+    wrong = [(html_extract.main_text(page, tree).split("\n"), want) for page, want in PAGES if html_extract.main_text(page, tree).split("\n") != want]
+    assert not wrong
+
+
+def test_html_tree_uses_neighbours():
+    def used(tree):
+        return {html_extract.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    found = used(html_extract.grow(html_extract.labelled_rows()))
+    assert {"link_density", "words"} < found and found & {"previous_link_density", "next_link_density"} and found & {"previous_words", "next_words"}
+
+
 def test_html_long_page_and_nesting():
-    tree = html_extract.grow(html_extract.LABELLED)
+    tree = html_extract.grow(html_extract.labelled_rows())
     page = "<div>" * 3000 + "<p>" + "word " * 50_000 + "</p>" + "</div>" * 4000
     assert html_extract.main_text(page, tree) == ("word " * 50_000).strip()
 
