@@ -168,61 +168,58 @@ def sampled_runs(texts: DataFrame, n: int, w: int) -> DataFrame:
 
 
 def runs_around(texts: DataFrame, n: int, inner: int) -> DataFrame:
-    """ref, word and hash of the runs of n words of texts(ref, text, starts) that hold a run of ``inner`` words begun at one of starts."""
+    """ref, word and hash of the runs of n words of texts(ref, text, starts, removed) that hold a run of ``inner`` words begun at one of
+    starts and reach into no line whose place is in removed."""
     small_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ref, starts = batch.column(0).to_numpy(), batch.column(2)
+            ref, starts, removed = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
             for i, j, data, offsets in batches_of_bytes(batch.column(1)):
                 row, word, value = runs_of_words(data, offsets, n)
+                cut, line_row, place = line_offsets(data, offsets)
+                _, _, line = words(data, cut)
                 begin = np.searchsorted(row, np.arange(j - i + 1))
+                own_words = np.searchsorted(line_row[line], np.arange(j - i + 1))
                 keep = np.zeros(len(row), bool)
                 for r in range(j - i):
-                    own = np.sort(starts[i + r].values.to_numpy())
                     mine = word[begin[r] : begin[r + 1]]
-                    keep[begin[r] : begin[r + 1]] = np.searchsorted(own, mine) < np.searchsorted(own, mine + (n - inner), "right")
+                    own = np.sort(starts[i + r].values.to_numpy())
+                    near = np.searchsorted(own, mine) < np.searchsorted(own, mine + (n - inner), "right")
+                    if removed[i + r].is_valid:
+                        gone = np.isin(place[line[own_words[r] : own_words[r + 1]]], removed[i + r].values.to_numpy())
+                        lost = np.concatenate([[0], np.cumsum(gone)])
+                        near &= lost[mine + n] == lost[mine]
+                    keep[begin[r] : begin[r + 1]] = near
                 yield run_batch(ref[i + row[keep]], word[keep], value[keep])
 
-    return texts.select("ref", "text", "starts").mapInArrow(run, "ref long, word int, hash long")
+    return texts.select("ref", "text", "starts", "removed").mapInArrow(run, "ref long, word int, hash long")
 
 
-def repeated_passages(known: DataFrame, gone: DataFrame, passage: int, most_rows: int, most_items: int) -> DataFrame:
-    """ref and runs (first word, cut) of ``passage`` words that stand in several places, of known(ref, doc_id, text).
-
-    One place of each stays: the first by (doc_id, word) of those outside the removed
-    lines, which are gone anyhow; a run that reaches into them is cut no further.
-    """
-    inner = passage - passage // 2
-    found = materialize(sampled_runs(known, inner, passage // 2 + 1).distinct(), "sampled")
-    several = materialize(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "several")
-    wanted = materialize(found.join(several, "hash").groupBy("ref").agg(F.collect_set("word").alias("starts")), "starts")
+def shared_windows(known: DataFrame, passage: int) -> DataFrame:
+    """ref and starts: first words of its sampled windows of ``passage - passage // 2`` words that also stand in another place, of known(ref, text);
+    across: those that stand in another document."""
+    found = materialize(sampled_runs(known, passage - passage // 2, passage // 2 + 1), "sampled")
+    at = F.struct("ref", "word")
+    several = materialize(found.groupBy("hash").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("hash", (F.col("lo.ref") != F.col("hi.ref")).alias("across")), "several")
+    across = F.when(F.col("across"), F.col("word"))
+    out = materialize(found.join(several, "hash").groupBy("ref").agg(F.collect_set("word").alias("starts"), F.array_sort(F.collect_set(across)).alias("across")), "starts")
     drop_table(found)
     drop_table(several)
-    every = materialize(runs_around(beside(known.select("ref", "text"), wanted, "inner", most_rows, most_items), passage, inner).distinct(), "runs")
-    ids = known.dropDuplicates(["ref"]).join(wanted.select("ref"), "ref", "left_semi").select("ref", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("by"), "text")
-    ids = beside(ids, gone, "left", most_rows, most_items)
-
-    # the words of removed lines, as their first and end
-    def removed_words(lines, places):
-        if places is None:
-            return None
-        sizes = [len(WORD.findall(x)) for x in lines]
-        ends = np.cumsum(sizes)
-        return [(int(ends[p] - sizes[p]), int(ends[p])) for p in places]
-
-    as_words = F.udf(removed_words, "array<struct<s: int, e: int>>")
-    ids = materialize(ids.select("ref", "by", as_words(F.when(F.col("removed").isNotNull(), F.split("text", "\n")), "removed").alias("out")), "ids")
-    drop_table(wanted)
-    lost = F.coalesce(F.exists("out", lambda x: (x["s"] < F.col("word") + passage) & (x["e"] > F.col("word"))), F.lit(False))
-    placed = every.join(ids, "ref").select("ref", "word", "hash", F.struct(lost.alias("lost"), "by", "ref", "word").alias("place"))
-    first = materialize(placed.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("hash", "first"), "first")
-    again = placed.join(first, "hash")
-    # a run beside the first place is repeated only if it does not overlap it
-    apart = (F.col("ref") != F.col("first.ref")) | (F.abs(F.col("word") - F.col("first.word")) >= passage)
-    alone = again.groupBy("hash").agg(F.max(apart).alias("some")).where("some").select("hash")
-    found = again.join(alone, "hash").select("ref", F.struct("word", (apart & ~F.col("place.lost")).alias("cut")).alias("run"))
-    return found.groupBy("ref").agg(F.collect_set("run").alias("runs"))
+    return out
+
+
+def repeated_passages(known: DataFrame, gone: DataFrame, shared: DataFrame, passage: int, most_rows: int, most_items: int) -> DataFrame:
+    """ref and runs (first words) of ``passage`` words to cut, of known(ref, doc_id, text): outside the removed lines, all but the first place of each by (doc_id, word)."""
+    lists = materialize(shared.select("ref", "starts").join(gone, "ref", "left"), "lists")
+    lines = beside(known.select("ref", "text"), lists, "inner", most_rows, most_items)
+    every = materialize(runs_around(lines, passage, passage - passage // 2).distinct(), "every")
+    ids = known.select("ref", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("by")).dropDuplicates(["ref"])
+    placed = every.join(ids.join(shared.select("ref"), "ref", "left_semi"), "ref")
+    first = materialize(placed.groupBy("hash").agg(F.min(F.struct("by", "ref", "word")).alias("first"), F.count("*").alias("c")).where("c > 1").select("hash", "first"), "first")
+    # a run beside the first place is a repeat only if it does not overlap it
+    apart = (F.col("ref") != F.col("first.ref")) | (F.col("word") >= F.col("first.word") + passage)
+    return every.join(first, "hash").where(apart).groupBy("ref").agg(F.collect_set("word").alias("runs"))
 
 
 def stretches(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -231,15 +228,13 @@ def stretches(covered: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def cut_passages(lines: list[str], runs: list, passage: int) -> tuple[list[str], list[tuple[int, int, int]], int]:
-    """The lines without the words of the runs to cut, what was cut (line, first word, number of words), and the repeated stretches that the text held."""
+def cut_passages(lines: list[str], runs: list[int], passage: int) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The lines without the words of the runs, and what was cut: line, first word, number of words."""
     spans = [[m.span() for m in WORD.finditer(x)] for x in lines]
     begin = np.cumsum([0, *map(len, spans)])
-    held, own = np.zeros(begin[-1], bool), np.zeros(begin[-1], bool)
-    for word, cut in runs:
-        held[word : word + passage] = True
-        if cut:
-            own[word : word + passage] = True
+    own = np.zeros(begin[-1], bool)
+    for word in runs:
+        own[word : word + passage] = True
     lines, cut = list(lines), []
     for place in np.unique(np.searchsorted(begin, np.flatnonzero(own), "right") - 1):
         text, out, at = lines[place], [], 0
@@ -248,25 +243,31 @@ def cut_passages(lines: list[str], runs: list, passage: int) -> tuple[list[str],
             at = spans[place][b][0] if b < len(spans[place]) else spans[place][-1][1]
             cut.append((int(place), a, b - a))
         lines[place] = "".join([*out, text[at:]])
-    return lines, cut, len(stretches(held))
+    return lines, cut
 
 
 def remove_paragraphs(
     docs: DataFrame, min_words: int = 10, k: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rows: int = 200_000, most_items: int = 1_000_000, passage: int = PASSAGE
 ) -> DataFrame:
-    """doc_id, n_shared (stretches of ``passage`` words or more that stand in several places, kept copies included), n_paragraphs
-    (lines), n_removed, removed (places), repeated (paragraphs with their component and the doc_id that keeps it), n_passages,
-    passages (line, first word, words cut), kept_text and kept_sha256; one row per input row."""
+    """doc_id, n_shared (stretches of the text that also stand in another document, kept copies included: any repeated run of ``passage`` words gives one,
+    none comes from less than half as many), n_paragraphs (lines), n_removed, removed (places), repeated (paragraphs with their component and
+    the doc_id that keeps it), n_passages, passages (line, first word, words cut), kept_text and kept_sha256; one row per input row."""
     docs = pick(docs, "doc_id", "text")
     known = docs.withColumn("ref", F.xxhash64("doc_id", "text"))
     repeated = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "repeated")
     places = F.transform(F.filter("repeated", lambda x: ~x["stays"]), lambda x: x["idx"])
     gone = repeated.select("ref", places.alias("removed")).where(F.size("removed") > 0)
-    runs = materialize(repeated_passages(known, gone, passage, most_rows, most_items), "runs")
-    joined = beside(beside(known, repeated, "left", most_rows, most_items), runs, "left", most_rows, most_items).withColumn("removed", places)
+    shared = shared_windows(known, passage)
+    runs = repeated_passages(known, gone, shared, passage, most_rows, most_items)
+    inner = passage - passage // 2
+    begun = F.filter("across", lambda x, i: F.coalesce(x > F.get("across", i - 1) + inner, F.lit(True)))
+    # all lists of a text in one row, so that texts are moved once at most
+    lists = shared.select("ref", F.size(begun).alias("n_shared")).join(repeated, "ref", "full").join(runs, "ref", "full")
+    lists = materialize(lists.select("ref", F.struct("n_shared", "repeated", "runs").alias("found")), "lists")
+    joined = beside(known, lists, "left", most_rows, most_items).select("doc_id", "text", "found.*").withColumn("removed", places)
     split = F.split(F.col("text"), "\n")
 
-    @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>, shared: int>")
+    @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>>")
     def cut(lines, runs):
         return runs and cut_passages(lines, runs, passage)
 
@@ -277,7 +278,7 @@ def remove_paragraphs(
     kept = F.coalesce(left, F.lit(""))
     return joined.select(
         "doc_id",
-        F.coalesce(F.col("cut.shared"), F.lit(0)).cast("long").alias("n_shared"),
+        F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
         F.coalesce(F.size(F.filter(split, lambda x: x != "")), F.lit(0)).cast("long").alias("n_paragraphs"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.col("removed"), F.array().cast("array<int>")).alias("removed"),
