@@ -109,23 +109,25 @@ def shingle_strings(text: Column, k: int) -> Column:
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    sets = texts.select("mid", shingle_strings(F.col("text"), k).alias("s"))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    texts = texts.select("mid", "text")  # shingles take several times the room, so they are made after the joins
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    both = both.select("a", "b", shingle_strings(F.col("ta"), k).alias("sa"), shingle_strings(F.col("tb"), k).alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def star_pairs(placed: DataFrame) -> DataFrame:
-    """hub, mid and their sizes for every bucket of placed(key, mid, n_shingles) that holds several.
+    """hub, mid and their sizes for every bucket of placed(key, mid, n_shingles, copies) that holds several.
 
-    A bucket's hub is its member that shares most buckets with most others: of a text
-    and its edited copies, the text, with which the copies agree more than with each other.
+    A bucket's hub is its member with the most exact copies, of equals the one that shares
+    most buckets with most others: of a text and its edited copies, the text, with which
+    the copies agree more than with each other.
     """
     counts = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(placed.join(counts, "key"), "members")
     known = members.groupBy("mid").agg(F.sum("n").alias("met"))
     members_met = members.join(known, "mid")
-    hubs = members_met.groupBy("key").agg(F.max(F.struct("met", (-F.col("mid")).alias("order"), "mid", "n_shingles")).alias("hub")).select("key", F.col("hub.mid").alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
+    hubs = members_met.groupBy("key").agg(F.max(F.struct("copies", "met", (-F.col("mid")).alias("order"), "mid", "n_shingles")).alias("hub")).select("key", F.col("hub.mid").alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
     star = materialize(members.join(hubs, "key").where("mid <> hub").select("hub", "mid", "hub_size", "n_shingles").distinct(), "star")
     drop_table(members)
     return star
@@ -157,10 +159,11 @@ def difference_pairs(star: DataFrame, labels: DataFrame, texts: DataFrame, k: in
     # a hub with one member apart has no pair to test
     apart = tagged.groupBy("hub").agg(F.max((F.col("component") != F.col("hub_component")).cast("int")).alias("apart"), F.count("*").alias("n")).where("apart = 1 and n > 1").select("hub")
     todo = tagged.join(apart, "hub", "left_semi").select("hub", "mid", "hub_size", "n_shingles", "component")
-    sets = texts.select("mid", shingle_strings(F.col("text"), k).alias("s"))
-    both = todo.join(sets.toDF("mid", "sx"), "mid").join(sets.toDF("hub", "sh"), "hub")
-    tokens = lambda x, y, removed: F.transform(F.array_except(x, y), lambda t: F.struct(F.lit(removed).alias("removed"), F.xxhash64(t).alias("token")))
     own = ["hub", "mid", "hub_size", "n_shingles", "component"]
+    texts = texts.select("mid", "text")
+    both = todo.join(texts.toDF("mid", "tx"), "mid").join(texts.toDF("hub", "th"), "hub")
+    both = both.select(*own, shingle_strings(F.col("tx"), k).alias("sx"), shingle_strings(F.col("th"), k).alias("sh"))
+    tokens = lambda x, y, removed: F.transform(F.array_except(x, y), lambda t: F.struct(F.lit(removed).alias("removed"), F.xxhash64(t).alias("token")))
     differing = both.select(*own, tokens("sx", "sh", False).alias("more"), tokens("sh", "sx", True).alias("less"))
     differing = differing.select(*own, F.size("more").alias("n_added"), F.size("less").alias("n_removed"), F.explode(F.concat("more", "less")).alias("d"))
     differing = materialize(differing.select(*own, "n_added", "n_removed", "d.*"), "differing")
@@ -200,9 +203,9 @@ def cluster(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
     """mid, doc_id, digest, n_shingles and component (smallest mid of the component) of every row of docs(doc_id, text)."""
     table = materialize(sketched(docs, k, bands, rows), "sketch")
     # copies of a text are one class, which its first row stands for
-    classes = materialize(table.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("mid", "doc_id")).alias("first")).select("digest", F.col("first.mid").alias("rep"), F.col("first.doc_id").alias("rep_id")), "classes")
-    reps = table.join(classes.select(F.col("rep").alias("mid")), "mid", "left_semi")
-    placed = reps.select("mid", "n_shingles", F.explode("keys").alias("key"))
+    classes = materialize(table.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("mid", "doc_id")).alias("first"), F.count("*").alias("copies")).select("digest", F.col("first.mid").alias("rep"), F.col("first.doc_id").alias("rep_id"), "copies"), "classes")
+    reps = table.join(classes.select(F.col("rep").alias("mid"), "copies"), "mid")
+    placed = reps.select("mid", "n_shingles", "copies", F.explode("keys").alias("key"))
     star = star_pairs(placed)
     # the texts of all rows that share a bucket, one row for each class
     wanted = star.select(F.col("mid").alias("rep")).union(star.select("hub")).distinct().join(classes, "rep")
