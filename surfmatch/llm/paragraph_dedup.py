@@ -99,12 +99,16 @@ def paragraph_rows(docs: DataFrame, min_words: int, k: int, bands: int, rows: in
 
 def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, bands: int, rows: int, most_rows: int, most_items: int) -> DataFrame:
     """ref and its repeated paragraphs: place, component, doc_id that keeps the component's copy, and whether it is this place; of docs(ref, doc_id, text)."""
-    found = materialize(paragraph_rows(docs, min_words, k, bands, rows), "paragraphs")
-    classes = materialize(
-        found.groupBy("digest").agg(F.min(F.struct("ref", "idx")).alias("at"), F.count("*").alias("c"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes"
-    )
-    placed = classes.select(F.col("digest").alias("mid"), F.col("n").alias("n_shingles"), F.explode("keys").alias("key"))
+    keyed = materialize(paragraph_rows(docs, min_words, k, bands, rows), "paragraphs")
+    first = F.min(F.struct("ref", "idx")).alias("at")
+    banded = materialize(keyed.groupBy("digest").agg(first, F.count("*").alias("c"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    # bucket keys are most of these tables and are needed only here
+    found = materialize(keyed.select("ref", "idx", "digest"), "places")
+    drop_table(keyed)
+    placed = banded.select(F.col("digest").alias("mid"), F.col("n").alias("n_shingles"), F.col("c").alias("copies"), F.explode("keys").alias("key"))
     star = star_pairs(placed)
+    classes = materialize(banded.select("digest", "at", "c"), "classes")
+    drop_table(banded)
     wanted = star.select(F.col("mid").alias("digest")).union(star.select("hub")).distinct().join(classes, "digest").groupBy("at.ref").agg(F.collect_list(F.struct("at.idx", "digest")).alias("items"))
     wanted = materialize(wanted, "wanted")
     read = beside(docs.select("ref", "text"), wanted, "inner", most_rows, most_items).select(F.split("text", "\n").alias("lines"), F.explode("items").alias("x"))
@@ -148,78 +152,94 @@ def runs_of_words(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
     return row[at], at - np.searchsorted(row, row[at]), value
 
 
-def run_batch(ref: np.ndarray, word: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ref), pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["ref", "word", "hash"])
+def lost_words(data: np.ndarray, offsets: np.ndarray, removed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many words of removed lines stand before each of its words (one text after the other), and where its words begin."""
+    cut, line_row, place = line_offsets(data, offsets)
+    _, _, line = words(data, cut)
+    begin = np.searchsorted(line_row[line], np.arange(len(offsets)))
+    gone = np.zeros(len(line), bool)
+    for r in np.flatnonzero(removed.is_valid().to_numpy(False)):
+        own = slice(begin[r], begin[r + 1])
+        gone[own] = np.isin(place[line[own]], removed[int(r)].values.to_numpy())
+    return np.concatenate([[0], np.cumsum(gone)]), begin
 
 
 def sampled_runs(texts: DataFrame, n: int, w: int) -> DataFrame:
-    """ref, word and hash of the runs of n words of texts(ref, text) that are the least of some w neighbours."""
+    """ref, word and hash of the runs of n words of texts(ref, text, removed) that are the least of some w neighbours, and whether they reach into a removed line."""
     small_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
             ref = batch.column(0).to_numpy()
-            for i, _, data, offsets in batches_of_bytes(batch.column(1)):
+            for i, j, data, offsets in batches_of_bytes(batch.column(1)):
                 row, word, value = runs_of_words(data, offsets, n)
                 keep = sampled(value, row, w)
-                yield run_batch(ref[i + row[keep]], word[keep], value[keep])
+                row, word, value = row[keep], word[keep], value[keep]
+                before, begin = lost_words(data, offsets, batch.column(2)[i:j])
+                at = begin[row] + word
+                lost = before[at + n] > before[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ref[i + row]), pa.array(word.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(lost)], ["ref", "word", "hash", "lost"])
 
-    return texts.select("ref", "text").mapInArrow(run, "ref long, word int, hash long")
+    return texts.select("ref", "text", "removed").mapInArrow(run, "ref long, word int, hash long, lost boolean")
 
 
 def runs_around(texts: DataFrame, n: int, inner: int) -> DataFrame:
-    """ref, word and hash of the runs of n words of texts(ref, text, starts, removed) that hold a run of ``inner`` words begun at one of
-    starts and reach into no line whose place is in removed."""
+    """by, ref, word and hash of the runs of n words of texts(ref, text, by, starts, removed) that hold a run of ``inner`` words begun at
+    one of starts and reach into no line whose place is in removed."""
     small_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
-            ref, starts, removed = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+            ref, by, starts = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             for i, j, data, offsets in batches_of_bytes(batch.column(1)):
                 row, word, value = runs_of_words(data, offsets, n)
-                cut, line_row, place = line_offsets(data, offsets)
-                _, _, line = words(data, cut)
+                before, at = lost_words(data, offsets, batch.column(4)[i:j])
                 begin = np.searchsorted(row, np.arange(j - i + 1))
-                own_words = np.searchsorted(line_row[line], np.arange(j - i + 1))
                 keep = np.zeros(len(row), bool)
                 for r in range(j - i):
                     mine = word[begin[r] : begin[r + 1]]
                     own = np.sort(starts[i + r].values.to_numpy())
                     near = np.searchsorted(own, mine) < np.searchsorted(own, mine + (n - inner), "right")
-                    if removed[i + r].is_valid:
-                        gone = np.isin(place[line[own_words[r] : own_words[r + 1]]], removed[i + r].values.to_numpy())
-                        lost = np.concatenate([[0], np.cumsum(gone)])
-                        near &= lost[mine + n] == lost[mine]
-                    keep[begin[r] : begin[r + 1]] = near
-                yield run_batch(ref[i + row[keep]], word[keep], value[keep])
+                    keep[begin[r] : begin[r + 1]] = near & (before[at[r] + mine + n] == before[at[r] + mine])
+                row, word, value = i + row[keep], word[keep], value[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(by[row]), pa.array(ref[row]), pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["by", "ref", "word", "hash"])
 
-    return texts.select("ref", "text", "starts", "removed").mapInArrow(run, "ref long, word int, hash long")
+    return texts.select("ref", "text", "by", "starts", "removed").mapInArrow(run, "by long, ref long, word int, hash long")
 
 
-def shared_windows(known: DataFrame, passage: int) -> DataFrame:
-    """ref and starts: first words of its sampled windows of ``passage - passage // 2`` words that also stand in another place, of known(ref, text);
-    across: those that stand in another document."""
-    found = materialize(sampled_runs(known, passage - passage // 2, passage // 2 + 1), "sampled")
+def shared_windows(known: DataFrame, gone: DataFrame, passage: int, most_rows: int, most_items: int) -> DataFrame:
+    """Of the sampled windows of ``passage - passage // 2`` words of known(ref, text), by ref: across, the first words of those that also stand in
+    another document, and starts, of those that stand twice or more outside the removed lines."""
+    texts = beside(known.select("ref", "text"), gone, "left", most_rows, most_items)
+    found = materialize(sampled_runs(texts, passage - passage // 2, passage // 2 + 1), "sampled")
     at = F.struct("ref", "word")
-    several = materialize(found.groupBy("hash").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("hash", (F.col("lo.ref") != F.col("hi.ref")).alias("across")), "several")
-    across = F.when(F.col("across"), F.col("word"))
-    out = materialize(found.join(several, "hash").groupBy("ref").agg(F.collect_set("word").alias("starts"), F.array_sort(F.collect_set(across)).alias("across")), "starts")
+    left = F.when(~F.col("lost"), at)
+    hashes = found.groupBy("hash").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"), F.min(left).alias("first"), F.max(left).alias("last"))
+    several = hashes.select("hash", (F.col("lo") != F.col("hi")).alias("across"), F.coalesce(F.col("first") != F.col("last"), F.lit(False)).alias("twice")).where("across or twice")
+    several = materialize(several, "several")
+    chosen = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("word"))))
+    out = found.join(several, "hash").groupBy("ref").agg(chosen(F.col("across")).alias("across"), chosen(F.col("twice") & ~F.col("lost")).alias("starts"))
+    out = materialize(out, "shared")
     drop_table(found)
     drop_table(several)
     return out
 
 
 def repeated_passages(known: DataFrame, gone: DataFrame, shared: DataFrame, passage: int, most_rows: int, most_items: int) -> DataFrame:
-    """ref and runs (first words) of ``passage`` words to cut, of known(ref, doc_id, text): outside the removed lines, all but the first place of each by (doc_id, word)."""
-    lists = materialize(shared.select("ref", "starts").join(gone, "ref", "left"), "lists")
-    lines = beside(known.select("ref", "text"), lists, "inner", most_rows, most_items)
-    every = materialize(runs_around(lines, passage, passage - passage // 2).distinct(), "every")
-    ids = known.select("ref", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("by")).dropDuplicates(["ref"])
-    placed = every.join(ids.join(shared.select("ref"), "ref", "left_semi"), "ref")
-    first = materialize(placed.groupBy("hash").agg(F.min(F.struct("by", "ref", "word")).alias("first"), F.count("*").alias("c")).where("c > 1").select("hash", "first"), "first")
+    """ref and runs (stretches of words: first and end) to cut, of known(ref, doc_id, text): outside the removed lines, all but the first place of
+    each run of ``passage`` words by (doc_id, word)."""
+    lists = materialize(shared.where(F.size("starts") > 0).select("ref", "starts").join(gone, "ref", "left"), "lists")
+    lines = beside(known.select("ref", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("by")), lists, "inner", most_rows, most_items)
+    every = materialize(runs_around(lines, passage, passage - passage // 2), "every")
+    place = F.struct("by", "ref", "word")
+    first = every.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
+    first = materialize(first, "first")
     # a run beside the first place is a repeat only if it does not overlap it
     apart = (F.col("ref") != F.col("first.ref")) | (F.col("word") >= F.col("first.word") + passage)
-    return every.join(first, "hash").where(apart).groupBy("ref").agg(F.collect_set("word").alias("runs"))
+    again = every.join(first, "hash").where(apart).groupBy("ref").agg(F.array_sort(F.collect_set("word")).alias("w"))
+    begins = F.filter("w", lambda x, i: F.coalesce(x > F.get("w", i - 1) + passage, F.lit(True)))
+    ends = F.transform(F.filter("w", lambda x, i: F.coalesce(F.get("w", i + 1) > x + passage, F.lit(True))), lambda x: x + passage)
+    return again.select("ref", F.arrays_zip(begins.alias("first"), ends.alias("end")).alias("runs"))
 
 
 def stretches(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -228,13 +248,13 @@ def stretches(covered: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def cut_passages(lines: list[str], runs: list[int], passage: int) -> tuple[list[str], list[tuple[int, int, int]]]:
+def cut_passages(lines: list[str], runs: list) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The lines without the words of the runs, and what was cut: line, first word, number of words."""
     spans = [[m.span() for m in WORD.finditer(x)] for x in lines]
     begin = np.cumsum([0, *map(len, spans)])
     own = np.zeros(begin[-1], bool)
-    for word in runs:
-        own[word : word + passage] = True
+    for first, end in runs:
+        own[first:end] = True
     lines, cut = list(lines), []
     for place in np.unique(np.searchsorted(begin, np.flatnonzero(own), "right") - 1):
         text, out, at = lines[place], [], 0
@@ -256,8 +276,8 @@ def remove_paragraphs(
     known = docs.withColumn("ref", F.xxhash64("doc_id", "text"))
     repeated = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "repeated")
     places = F.transform(F.filter("repeated", lambda x: ~x["stays"]), lambda x: x["idx"])
-    gone = repeated.select("ref", places.alias("removed")).where(F.size("removed") > 0)
-    shared = shared_windows(known, passage)
+    gone = materialize(repeated.select("ref", places.alias("removed")).where(F.size("removed") > 0), "gone")
+    shared = shared_windows(known, gone, passage, most_rows, most_items)
     runs = repeated_passages(known, gone, shared, passage, most_rows, most_items)
     inner = passage - passage // 2
     begun = F.filter("across", lambda x, i: F.coalesce(x > F.get("across", i - 1) + inner, F.lit(True)))
@@ -269,7 +289,7 @@ def remove_paragraphs(
 
     @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>>")
     def cut(lines, runs):
-        return runs and cut_passages(lines, runs, passage)
+        return runs and cut_passages(lines, runs)
 
     # only texts with passages are sent to Python
     joined = joined.withColumn("cut", cut(F.when(F.col("runs").isNotNull(), split), "runs"))
