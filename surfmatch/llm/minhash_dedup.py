@@ -175,13 +175,15 @@ def difference_pairs(star: DataFrame, labels: DataFrame, texts: DataFrame, k: in
     # shingles that no other member shares stand first among their kind
     place = F.when(F.col("removed"), F.col("n_added") + F.col("n_removed") - F.col("n_seen") + F.col("rank")).otherwise(F.col("n_added") - F.col("n_seen") + F.col("rank"))
     room = F.floor(F.col("n_shingles") * ((100 - percent) / percent) + 1e-9) + 1
-    first = materialize(seen.where((place <= room) & (F.col("lo") != F.col("hi"))).select(*own, "n_added", "n_removed", "removed", "token"), "first")
+    first = materialize(seen.where((place <= room) & (F.col("lo") != F.col("hi"))).select(*own, "n_added", "n_removed", "removed", "token", place.alias("place")), "first")
     drop_table(differing)
-    a, b = (first.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("mid", "hub_size", "component", "n_shingles", "n_added", "n_removed")]) for x in "ab")
+    a, b = (first.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("mid", "hub_size", "component", "n_shingles", "n_added", "n_removed", "place")]) for x in "ab")
     total = F.col("n_shingles_a") + F.col("n_shingles_b")
     differ_a, differ_b = (F.col(f"n_added_{x}") + F.col(f"n_removed_{x}") for x in "ab")
-    # twice the overlap that D(x) and D(y) must have, and the overlap of R(x) and R(y) if the added ones are disjoint
-    enough = (100 + percent) * (differ_a + differ_b) - (100 - percent) * total <= 2 * (100 + percent) * F.least(differ_a, differ_b)
+    # twice the overlap that D(x) and D(y) must have, against what can follow if this is the first they share (for one of their tokens it is),
+    # and the overlap of R(x) and R(y) if the added ones are disjoint
+    rest = F.least(differ_a - F.col("place_a"), differ_b - F.col("place_b")) + 1
+    enough = (100 + percent) * (differ_a + differ_b) - (100 - percent) * total <= 2 * (100 + percent) * rest
     fits = (100 + percent) * (F.col("n_removed_a") + F.col("n_removed_b") - F.col("hub_size_a")) + percent * total <= (100 + percent) * F.least("n_removed_a", "n_removed_b")
     met = a.join(b, key).where((F.col("component_a") < F.col("component_b")) & near_sizes("n_shingles_a", "n_shingles_b", percent) & enough & (~F.col("removed") | fits))
     return met.select(F.col("mid_a").alias("a"), F.col("mid_b").alias("b")).distinct()
