@@ -284,7 +284,8 @@ def remove_paragraphs(
     # all lists of a text in one row, so that texts are moved once at most
     lists = shared.select("ref", F.size(begun).alias("n_shared")).join(repeated, "ref", "full").join(runs, "ref", "full")
     lists = materialize(lists.select("ref", F.struct("n_shared", "repeated", "runs").alias("found")), "lists")
-    joined = beside(known, lists, "left", most_rows, most_items).select("doc_id", "text", "found.*").withColumn("removed", places)
+    # nearly every text has some, so all are moved, whatever their number
+    joined = known.join(lists.hint("merge"), "ref", "left").select("doc_id", "text", "found.*").withColumn("removed", places)
     split = F.split(F.col("text"), "\n")
 
     @F.udf("struct<lines: array<string>, cut: array<struct<line: int, first: int, words: int>>>")

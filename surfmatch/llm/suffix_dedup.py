@@ -146,10 +146,9 @@ def still_open(found: DataFrame) -> DataFrame:
 
 
 def beside(docs: DataFrame, lists: DataFrame, how: str, most_rows: int, most_items: int) -> DataFrame:
-    """docs(ref, ...) joined with lists(ref, arrays or a struct of them): broadcast where rows and items are counted to be few."""
-    kinds = [(c, k) for c, k in lists.dtypes if c != "ref"]
-    arrays = [F.col(f"{c}.{f.name}" if k.startswith("struct") else c) for c, k in kinds for f in (lists.schema[c].dataType.fields if k.startswith("struct") else [lists.schema[c]]) if f.dataType.typeName() == "array"]
-    size = sum((F.coalesce(F.size(a), F.lit(0)) for a in arrays[1:]), F.coalesce(F.size(arrays[0]), F.lit(0)))
+    """docs(ref, ...) joined with lists(ref, arrays): broadcast where rows and items are counted to be few."""
+    arrays = [c for c, kind in lists.dtypes if kind.startswith("array")]
+    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in arrays[1:]), F.coalesce(F.size(arrays[0]), F.lit(0)))
     rows, items = lists.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return docs.join(F.broadcast(lists) if rows <= most_rows and items <= most_items else lists, "ref", how)
 
