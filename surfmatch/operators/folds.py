@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +45,16 @@ def held_out(pairs: DataFrame, splits: int = SPLITS, share: float = TEST_SHARE,
     return spark.createDataFrame(rows, "fold int, source string")
 
 
+def pair_counts(pairs: DataFrame, *values: str) -> DataFrame:
+    """n of each (source_a, source_b, values, label): all that folds, fits and metrics need of pairs, and far fewer rows."""
+    return reused(pairs.groupBy("source_a", "source_b", *values, "label").agg(F.count("*").alias("n")))
+
+
+def times(df: DataFrame) -> Column:
+    """How many pairs a row stands for: n where there is one."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
+
+
 def memberships(pairs: DataFrame, folds: DataFrame) -> DataFrame:
     """pairs once for each fold they take part in: side 'test' if both sources are held out, 'train' if neither is.
 
@@ -66,7 +76,7 @@ def memberships(pairs: DataFrame, folds: DataFrame) -> DataFrame:
 
 def kept_folds(members: DataFrame) -> DataFrame:
     """fold of the candidates with enough same-source pairs on both sides."""
-    km = lambda side: F.sum(F.when((F.col("side") == side), F.col("label")).otherwise(0))
+    km = lambda side: F.sum(F.when((F.col("side") == side), F.col("label") * times(members)).otherwise(0))
     return members.groupBy("fold").agg(km("train").alias("train_km"), km("test").alias("test_km")).where((F.col("train_km") >= LEAST_TRAIN_KM) & (F.col("test_km") >= LEAST_TEST_KM)).select("fold")
 
 
@@ -77,8 +87,8 @@ def frozen(pairs: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def fold_metrics(rows: DataFrame) -> DataFrame:
-    """cllr, cllr_min and auc of rows(fold, lr, label) for each fold that has both classes; the score is log10 lr."""
-    counts = reused(rows.groupBy("fold", "lr", "label").agg(F.count("*").alias("n")).withColumn("score", F.log10("lr")))
+    """cllr, cllr_min and auc of rows(fold, lr, label[, n]) for each fold that has both classes; the score is log10 lr."""
+    counts = reused(rows.groupBy("fold", "lr", "label").agg(F.sum(times(rows)).alias("n")).withColumn("score", F.log10("lr")))
     both = counts.groupBy("fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n_pairs")).where("lo = 0 and hi = 1").select("fold", "n_pairs")
     scored = counts.join(F.broadcast(both.select("fold")), "fold", "left_semi")
     out = both
@@ -95,9 +105,10 @@ def summarize(per_fold: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def score_submission(pairs: DataFrame, folds: DataFrame) -> DataFrame:
-    """Summary over frozen folds, and pooled metrics, of pairs with an lr."""
-    tests = frozen(pairs, folds).where("side = 'test'")
-    pooled = reused(pairs.groupBy("lr", "label").agg(F.count("*").alias("n")).withColumn("score", F.log10("lr")))
+    """Summary over frozen folds, and pooled metrics, of pairs with an lr, or of their counts."""
+    counts = pairs if "n" in pairs.columns else pair_counts(pairs, "lr")
+    tests = frozen(counts, folds).where("side = 'test'")
+    pooled = reused(counts.groupBy("lr", "label").agg(F.sum("n").alias("n")).withColumn("score", F.log10("lr")))
     out = summarize(fold_metrics(tests))
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc, metrics.ece):
         one = part(pooled)
@@ -106,8 +117,9 @@ def score_submission(pairs: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def disjoint_validation(pairs: DataFrame, folds: DataFrame) -> DataFrame:
-    """Per fold: fit on the train sources, score the held-out ones."""
-    counts = reused(frozen(pairs, folds).groupBy("fold", "side", "score", "label").agg(F.count("*").alias("n")))
+    """Per fold: fit on the train sources, score the held-out ones; of pairs with a score, or of their counts."""
+    pairs = pairs if "n" in pairs.columns else pair_counts(pairs, "score")
+    counts = reused(frozen(pairs, folds).groupBy("fold", "side", "score", "label").agg(F.sum("n").alias("n")))
     models = reused(calibration.fit_counts(counts.where("side = 'train'").drop("side"), ("fold",)))
     tested = calibration.apply_logistic(counts.where("side = 'test'"), models, ("fold",))
     out = tested.groupBy("fold").agg(F.sum("n").alias("n_pairs"))

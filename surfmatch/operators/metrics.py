@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surfmatch.functions.reuse import reused
+
 from surfmatch.functions.columns import POSTERIOR_FLOOR
 from surfmatch.functions.helpers import pool
 
@@ -102,15 +104,18 @@ def ece(df: DataFrame, by: tuple[str, ...] = (), bins: int = 10) -> DataFrame:
 
 def tippett(df: DataFrame, n: int = 100) -> DataFrame:
     """i, threshold, km and knm: shares of lr at or above n thresholds, evenly spaced in log10 from least to most."""
+    # pairs are read once, for the count of each lr
+    times = F.col("n") if "n" in df.columns else F.lit(1)
+    df = reused(df.groupBy("lr").agg(F.sum(F.col("label") * times).alias("km"), F.sum((1 - F.col("label")) * times).alias("knm")))
     ends = df.agg(F.log10(F.min("lr") + 1e-12).alias("lo"), F.log10(F.max("lr") + 1e-12).alias("hi"))
     grid = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.pow(F.lit(10.0), F.col("lo") + (F.col("hi") - F.col("lo")) * i / (n - 1)).alias("t")))).alias("g")).select("g.*")
     # each lr is counted at the last threshold that it reaches; sums from above give the shares
     thresholds = grid.agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    reached = df.join(F.broadcast(thresholds)).select("label", F.size(F.filter("ts", lambda t: t <= F.col("lr"))).alias("reach")).groupBy("reach").agg(F.sum("label").alias("km"), F.sum(1 - F.col("label")).alias("knm"))
+    reached = df.join(F.broadcast(thresholds)).select("km", "knm", F.size(F.filter("ts", lambda t: t <= F.col("lr"))).alias("reach")).groupBy("reach").agg(F.sum("km").alias("km"), F.sum("knm").alias("knm"))
     total = Window.orderBy(F.desc("reach")).rowsBetween(Window.unboundedPreceding, 0)
     spine = grid.select("i", "t", (F.col("i") + 1).alias("reach")).join(reached, "reach", "full_outer")
     rows = spine.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(total) for c in ("km", "knm")})
-    size = df.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    size = df.agg(F.sum("km").alias("n1"), F.sum("knm").alias("n0"))
     return rows.where(F.col("i").isNotNull()).join(F.broadcast(size)).select("i", F.col("t").alias("threshold"), (F.col("km") / F.col("n1")).alias("km"), (F.col("knm") / F.col("n0")).alias("knm"))
 
 

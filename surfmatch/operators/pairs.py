@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -24,8 +25,10 @@ def block_pairs(marks: DataFrame, blocks: int, within: str | None = None) -> Dat
     return rows.select(*keys, "to.bi", "to.bj", "to.side", *[c for c in marks.columns if c not in keys])
 
 
-def blocks_for(n: int, block_rows: int) -> int:
-    return max(1, -(-n // block_rows))
+def blocks_for(n: int, block_rows: int, cores: int = 1, least_rows: int = 64) -> int:
+    """Blocks of at most ``block_rows`` marks, and enough of them for four pairs of blocks a core, unless they would get tiny."""
+    busy = math.isqrt(8 * cores) + 1
+    return max(1, -(-n // block_rows), min(busy, n // least_rows))
 
 
 def score_blocks(
@@ -36,7 +39,7 @@ def score_blocks(
     Signatures of a block have one length. A pair whose signature is missing scores null.
     """
     n = marks.count()
-    placed = block_pairs(marks.select("mark", "signature", *([within] if within else [])), blocks_for(n, block_rows), within)
+    placed = block_pairs(marks.select("mark", "signature", *([within] if within else [])), blocks_for(n, block_rows, marks.sparkSession.sparkContext.defaultParallelism), within)
 
     def run(table: pa.Table) -> pa.Table:
         mark = table.column("mark").to_numpy()

@@ -201,8 +201,8 @@ def leave_sources_out_lrs(spark, sf):
 
 @query("frozen_folds", f"WITH {V.sql_pairs()}, {V.SQL_FOLDS} SELECT fold, side, count(*) AS n, sum(label)::BIGINT AS n_km FROM frozen GROUP BY fold, side")
 def frozen_folds(spark, sf):
-    rows = V.scored_pairs(spark, sf)
-    return folds.frozen(rows, V.hash_folds(rows)).groupBy("fold", "side").agg(F.count("*").alias("n"), F.sum("label").alias("n_km"))
+    rows = folds.pair_counts(V.scored_pairs(spark, sf))
+    return folds.frozen(rows, V.hash_folds(rows)).groupBy("fold", "side").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("n_km"))
 
 
 @query("fold_sources", f"WITH {V.sql_pairs()}, {V.SQL_FOLDS} SELECT fold, source FROM held")
@@ -216,7 +216,7 @@ c AS (SELECT fold, {CLLR} AS cllr FROM tests GROUP BY fold), per AS (SELECT * FR
 
 @query("submission_folds", f"{SUBMISSION_SQL} SELECT fold, (SELECT count(*) FROM tests t WHERE t.fold = per.fold) AS n_pairs, round(cllr, 6) AS cllr, round(cllr_min, 6) AS cllr_min, round(auc, 6) AS auc FROM per")
 def submission_folds(spark, sf):
-    rows = lr_pairs(spark, sf)
+    rows = folds.pair_counts(lr_pairs(spark, sf), "lr")
     return rounded(folds.fold_metrics(folds.frozen(rows, V.hash_folds(rows)).where("side = 'test'")))
 
 
@@ -226,7 +226,7 @@ def submission_folds(spark, sf):
     round(stddev_pop(cllr_min), 6) AS cllr_min_std, round(avg(auc), 6) AS auc, round(stddev_pop(auc), 6) AS auc_std, round(avg(cllr) - avg(cllr_min), 6) AS calibration_loss FROM per""",
 )
 def submission_summary(spark, sf):
-    rows = lr_pairs(spark, sf)
+    rows = folds.pair_counts(lr_pairs(spark, sf), "lr")
     return rounded(folds.summarize(folds.fold_metrics(folds.frozen(rows, V.hash_folds(rows)).where("side = 'test'"))))
 
 
@@ -240,7 +240,7 @@ def submission_summary(spark, sf):
     JOIN {V.sql_cllr_min('l', 'fold')} USING (fold) JOIN {V.sql_auc('l', 'fold')} USING (fold)""",
 )
 def disjoint_validation(spark, sf):
-    rows = V.scored_pairs(spark, sf, 2)
+    rows = folds.pair_counts(V.scored_pairs(spark, sf, 2), "score")
     return rounded(folds.disjoint_validation(rows, V.hash_folds(rows)), 4)
 
 
