@@ -95,6 +95,18 @@ def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
     return df.orderBy(order).offset((number - 1) * size).limit(size).join(F.broadcast(total))
 
 
+def page_after(df: DataFrame, key: str, last: object | None, size: int) -> DataFrame:
+    """The next ``size`` rows by a unique key after the last one seen (None: the first page); its cost does not grow with depth."""
+    rows = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rows.orderBy(key).limit(size)
+
+
+def children_in_order(children: DataFrame, parent: str, *order: str) -> DataFrame:
+    """children with their place, from 1, among those of their parent; rows without a parent are left out."""
+    place = F.row_number().over(Window.partitionBy(parent).orderBy(*order))
+    return children.where(F.col(parent).isNotNull()).withColumn("place", place)
+
+
 #: Rules of exclusion, in the order they are tried.
 RULES = ("unparseable", "unattributable", "duplicate", "scope_refusal")
 

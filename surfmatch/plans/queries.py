@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surfmatch.functions import columns as C
 from surfmatch.functions.reuse import reused
-from surfmatch.operators import bootstrap, calibration, catalog, consensus, folds, matrices, metrics, pairs, reports
+from surfmatch.operators import bootstrap, calibration, catalog, consensus, folds, matrices, metrics, pairs, reports, signals
 from surfmatch.plans import views as V
 from surfmatch.plans.views import rounded, table
 from surfmatch.sources import readers
@@ -523,6 +523,29 @@ def catalog_page(spark, sf):
     return catalog.page(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 3, 50)
 
 
+@query("catalog_page_after", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 60 ORDER BY c_custkey LIMIT 50")
+def catalog_page_after(spark, sf):
+    return catalog.page_after(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 60, 50)
+
+
+@query("children_in_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS place FROM orders")
+def children_in_order(spark, sf):
+    return catalog.children_in_order(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "place")
+
+
+@query(
+    "applicability_thresholds",
+    """SELECT l_returnflag, min(l_quantity)::DOUBLE AS pitch_lo, max(l_quantity)::DOUBLE AS pitch_hi, round(quantile_cont(1 - l_discount::DOUBLE, 0.02), 6) AS coverage_floor,
+    round(quantile_cont(l_extendedprice::DOUBLE, 0.02), 4) AS signal_floor_nm, count(*) AS n_reference FROM lineitem GROUP BY 1""",
+)
+def applicability_thresholds(spark, sf):
+    """Line items as measured scans: quantity, undiscounted share and price for pitch, coverage and signal."""
+    price = (F.col("l_extendedprice").cast("double") * 1e-9).alias("sq")
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("pitch_um"), (1 - F.col("l_discount").cast("double")).alias("coverage"), price)
+    found = signals.applicability(rows, ("l_returnflag",))
+    return found.withColumns({"coverage_floor": F.round("coverage_floor", 6), "signal_floor_nm": F.round("signal_floor_nm", 4)})
+
+
 @query("completeness", "WITH p AS (SELECT event_type AS split, count(*) AS n FROM events WHERE event_id % 10 <> 3 OR event_type = 'click' GROUP BY 1), d AS (SELECT event_type AS split, count(*) AS declared FROM events GROUP BY 1) SELECT split, n, declared, n = declared AS complete FROM p JOIN d USING (split)")
 def completeness(spark, sf):
     events = table(spark, sf, "events").withColumnRenamed("event_type", "split")

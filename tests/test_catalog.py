@@ -238,3 +238,24 @@ def test_ensembles_are_fitted_once(spark, tmp_path):
     asked = spark.createDataFrame([("q", 2.0)], "query_id string, score double")
     got = bootstrap.lr_intervals(asked, first).first()
     assert got["lo"] <= got["hi"]
+
+
+def test_children_pages_and_applicability(spark):
+    from surfmatch.operators import catalog, signals
+
+    rows = spark.createDataFrame([(1, 5, 2), (1, 4, 1), (2, 9, 7), (None, 3, 1)], "parent int, id int, position int")
+    got = {(r.parent, r.id): r.place for r in catalog.children_in_order(rows, "parent", "position", "id").collect()}
+    assert got == {(1, 4): 1, (1, 5): 2, (2, 9): 1}
+    assert [r.id for r in catalog.page_after(rows, "id", 4, 1).collect()] == [5] and [r.id for r in catalog.page_after(rows, "id", None, 2).collect()] == [3, 4]
+    m = spark.createDataFrame([(float(i), i / 100, i * 1e-9) for i in range(101)] + [(50.0, 0.5, float("nan"))], "pitch_um double, coverage double, sq double")
+    r = signals.applicability(m).first()
+    assert (r.pitch_lo, r.pitch_hi, r.n_reference) == (0.0, 100.0, 102) and abs(r.coverage_floor - 0.0202) < 1e-9 and abs(r.signal_floor_nm - 1.02) < 1e-6
+
+
+def test_source_keys(spark):
+    from surfmatch.functions import columns as C
+
+    row = spark.createDataFrame([("T07AB-3", "a|b")], "tid string, key string").select(
+        C.source_key(F.col("tid")).alias("edge"), C.source_key(F.col("tid"), "tool").alias("tool"), C.cluster_sources(F.col("key")).alias("s")
+    ).first()
+    assert (row.edge, row.tool, tuple(row.s)) == ("T07AB", "T07", ("a", "b"))
