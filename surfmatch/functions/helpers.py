@@ -59,3 +59,43 @@ def best_lag(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
     corr = np.concatenate([c[n - len(b) + 1 :] if len(b) > 1 else c[:0], c[: len(a)]]) / size
     at = int(np.argmax(np.round(corr, 12)))
     return at - (len(b) - 1), float(corr[at])
+
+
+def centred(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signals as rows of unit norm about their means, padded by zeros (NaN counts as the mean), and their lengths; constant ones are zeros, missing ones have length 0."""
+    out, sizes = np.zeros((len(rows), width)), np.zeros(len(rows), int)
+    for at, x in enumerate(rows):
+        x = np.zeros(0) if x is None else np.asarray(x, float)
+        if np.isfinite(x).any():
+            v = np.nan_to_num(x - np.nanmean(x))
+            norm = np.sqrt((v * v).sum())
+            out[at, : len(v)], sizes[at] = v / norm if norm > 0 else 0.0, len(v)
+    return out, sizes
+
+
+def lag_matrix(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lag and height of the correlation peak of every signal of a against every one of b (as best_lag has them), in one batch; NaN without a signal."""
+    longest = [max([len(x) for x in s if x is not None], default=0) for s in (a, b)]
+    n = 1 << max(sum(longest) - 1, 1).bit_length()
+    (va, na), (vb, nb) = centred(a, n), centred(b, n)
+    lags = np.arange(1 - max(longest[1], 1), max(longest[0], 1))
+    corr = np.fft.irfft(np.fft.rfft(va)[:, None] * np.conj(np.fft.rfft(vb))[None], n)[:, :, lags % n]
+    inside = (lags > -nb[None, :, None]) & (lags < na[:, None, None])
+    at = np.where(inside, np.round(corr, 12), -np.inf).argmax(2)
+    peak = np.take_along_axis(corr, at[:, :, None], 2)[:, :, 0]
+    some = (na > 0)[:, None] & (nb > 0)
+    flat = ~va.any(1)[:, None] | ~vb.any(1)
+    lag = np.where(flat, 0, lags[at]).astype(float)
+    return np.where(some, lag, np.nan), np.where(some, np.where(flat, 0.0, peak), np.nan)
+
+
+def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
+    """The circular shift (rows, columns) of map b that correlates best with map a, and the correlation there; NaN counts as the mean."""
+    a, b = (np.nan_to_num(x - np.nanmean(x)) if np.isfinite(x).any() else np.zeros(x.shape) for x in (a, b))
+    size = np.sqrt((a * a).sum() * (b * b).sum())
+    if size == 0.0:
+        return 0, 0, 0.0
+    corr = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real / size
+    at = np.unravel_index(np.argmax(np.round(corr, 12)), corr.shape)
+    dy, dx = (int(p - n) if 2 * p > n else int(p) for p, n in zip(at, corr.shape))
+    return dy, dx, float(corr[at])

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surfmatch.functions.columns import logistic_lr
 from surfmatch.functions.reuse import reused
-from surfmatch.operators.calibration import fit_counts
+from surfmatch.operators.calibration import fit_counts, score_counts
 
 
 def drawn(units: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
@@ -66,6 +67,30 @@ def calibration_ensemble(pairs: DataFrame, replicates: int, seed: int = 0) -> Da
     return fit_counts(weighted, ("replicate",))
 
 
+def stratified_ensemble(pairs: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """replicate and its model: rows of either class of pairs(score, label) drawn with replacement, so that class sizes, and the bound with them, stay.
+
+    Drawing rows is drawing counts of distinct scores from a multinomial distribution, seeded
+    by (seed, replicate) over scores in order: the same however data are partitioned.
+    A population without one of the classes gives no models.
+    """
+    counts = score_counts(pairs.where("score is not null")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    kinds = dict(counts.dtypes)
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["label", "score"], ignore_index=True)
+        rng = np.random.default_rng([seed, int(rows["replicate"].iloc[0])])
+        for label in (0, 1):
+            own = (rows["label"] == label).to_numpy()
+            n = rows.loc[own, "n"].to_numpy()
+            if len(n):
+                rows.loc[own, "n"] = rng.multinomial(n.sum(), n / n.sum())
+        return rows
+
+    drawn_counts = counts.groupBy("replicate").applyInPandas(draw, f"score {kinds['score']}, label {kinds['label']}, n long, replicate int")
+    return fit_counts(drawn_counts, ("replicate",))
+
+
 def lr_intervals(queries: DataFrame, ensemble: DataFrame, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """queries(query_id, score) with the percentiles of log10 LR over the ensemble and whether they straddle 0."""
     models = F.broadcast(ensemble.agg(F.collect_list(F.struct("coef", "intercept", "log_bound")).alias("models")))

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from surfmatch.functions.columns import POSTERIOR_FLOOR, logistic_lr, verbal_weight
 from surfmatch.functions.helpers import balanced_logistic
@@ -105,15 +104,17 @@ def leave_sources_out_lrs(pairs: DataFrame) -> DataFrame:
 
 
 def fit_fusion(df: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = (), ridge: float = 1.0) -> DataFrame:
-    """Standardized logistic fit of label on several features: means, deviations, coefficients, intercept, bound."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    """Standardized logistic fit of label on several features: means, deviations, coefficients, intercept, bound; of rows, or of counts in a column n."""
+    df = df if "n" in df.columns else df.withColumn("n", F.lit(1))
     kinds, k = dict(df.dtypes), len(features)
     own = by or ("all",)
-    moments = df.groupBy(*by).agg(*[F.avg(f).alias(f"mean_{f}") for f in features], *[F.stddev_pop(f).alias(f"sd_{f}") for f in features])
-    del group
+    means = df.groupBy(*by).agg(*[(F.sum(F.col(f) * F.col("n")) / F.sum("n")).alias(f"mean_{f}") for f in features])
+    centred = df.join(F.broadcast(means), list(by)) if by else df.join(F.broadcast(means))
+    spread = [F.sqrt(F.sum(F.pow(F.col(f) - F.col(f"mean_{f}"), 2) * F.col("n")) / F.sum("n")).alias(f"sd_{f}") for f in features]
+    moments = centred.groupBy(*by, *[f"mean_{f}" for f in features]).agg(*spread)
     rows = (df.join(F.broadcast(moments), list(by)) if by else df.join(F.broadcast(moments)).withColumn("all", F.lit(0)))
     z = [F.when(F.col(f"sd_{f}") > 0, (F.col(f) - F.col(f"mean_{f}")) / F.col(f"sd_{f}")).otherwise(F.lit(0.0)).alias(f"z_{f}") for f in features]
-    counts = rows.select(*own, "label", *z).groupBy(*own, "label", *[f"z_{f}" for f in features]).agg(F.count("*").alias("n"))
+    counts = rows.select(*own, "label", "n", *z).groupBy(*own, "label", *[f"z_{f}" for f in features]).agg(F.sum("n").alias("n"))
     schema = ", ".join([*(f"{b} {kinds.get(b, 'int')}" for b in own), "coef array<double>, intercept double, log_bound double"])
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surfmatch.functions.columns import bad_lr
+from surfmatch.functions.columns import bad_lr, pair_id
 from surfmatch.functions.reuse import reused
 from surfmatch.operators import calibration, metrics
-from surfmatch.operators.pairs import sampling_order
+from surfmatch.operators.pairs import aligned, first_of, sampling_order
 
 SPLITS, TEST_SHARE, SEED = 10, 0.4, 0
 LEAST_TRAIN_KM, LEAST_TEST_KM = 3, 1
@@ -183,3 +184,48 @@ def lock_mismatches(pairs: DataFrame, reference: DataFrame) -> DataFrame:
         n(F.col("in_b").isNull()).alias("n_missing"), n(F.col("in_a").isNull()).alias("n_unknown"),
         n(both & ~F.col("label_a").eqNullSafe(F.col("label_b"))).alias("n_label"), n(both & ~F.col("cluster_a").eqNullSafe(F.col("cluster_b"))).alias("n_cluster"),
     )
+
+
+def disjoint_fusion(pairs: DataFrame, folds: DataFrame, features: tuple[str, ...], ridge: float = 1.0) -> DataFrame:
+    """Per fold: several features fused on the train sources, cllr and auc of the held-out pairs; of pairs with the features, or of their counts."""
+    rows = frozen(pairs if "n" in pairs.columns else pair_counts(pairs, *features), folds)
+    rows = reused(rows.groupBy("fold", "side", *features, "label").agg(F.sum("n").alias("n")))
+    models = reused(calibration.fit_fusion(rows.where("side = 'train'"), features, ("fold",), ridge))
+    tested = reused(calibration.apply_fusion(rows.where("side = 'test'"), models, features, ("fold",)).withColumn("score", F.col("fused")))
+    out = tested.groupBy("fold").agg(F.sum("n").alias("n_pairs"))
+    for part in (metrics.cllr, metrics.auc):
+        out = out.join(part(tested, ("fold",)), "fold")
+    return out
+
+
+class Split(NamedTuple):
+    """A frozen benchmark: its pairs, the pairs each fold tests, a leave-sources-out baseline and one row of counts."""
+
+    pairs: DataFrame
+    tests: DataFrame
+    baseline: DataFrame
+    counts: DataFrame
+
+
+def build_split(first: DataFrame, second: DataFrame, marks: DataFrame, rng: str = "numpy", seed: int = SEED) -> Split:
+    """The pairs that both scorers (mark_a, mark_b, score) have a number for, once for each pair of contents, with folds and a baseline from the first scorer.
+
+    marks(mark, source, content_hash). Of pairs with equal contents the one of the least marks stays.
+    """
+    both = aligned(first, second)
+    for s in "ab":
+        both = both.join(marks.select(F.col("mark").alias(f"mark_{s}"), F.col("source").alias(f"source_{s}"), F.col("content_hash").alias(f"hash_{s}")), f"mark_{s}")
+    both = both.where("source_a is not null and source_b is not null and hash_a is not null and hash_b is not null")
+    both = both.withColumns({"pair_id": pair_id(F.col("hash_a"), F.col("hash_b")), "label": (F.col("source_a") == F.col("source_b")).cast("int")})
+    kept = reused(first_of(both, ("pair_id",), ("mark_a", "mark_b")).withColumn("score", F.col("score_1")))
+    members = frozen(kept, held_out(kept, seed=seed, rng=rng))
+    tests = members.where("side = 'test'").select("pair_id", "fold")
+    baseline = calibration.leave_sources_out_lrs(kept).where("lr is not null").select("pair_id", "lr")
+    n = kept.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_km"))
+    n_sources = sources_of(kept).agg(F.count("*").alias("n_sources"))
+    n_folds = tests.agg(F.count_distinct("fold").alias("n_folds"))
+    counts = both.agg(F.count("*").alias("n_aligned"))
+    for part in (n, n_sources, n_folds):
+        counts = counts.join(F.broadcast(part))
+    counts = counts.withColumn("n_duplicates", F.col("n_aligned") - F.col("n_pairs"))
+    return Split(kept.select("pair_id", "hash_a", "hash_b", "label", "source_a", "source_b"), tests, baseline, counts)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surfmatch.functions.reuse import reused
+
 
 def block_pairs(marks: DataFrame, blocks: int, within: str | None = None) -> DataFrame:
     """marks sent to the tasks (bi, bj), bi <= bj, that pair their block with another; side tells which of both a row is.
@@ -118,3 +120,39 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
         return df.where(ok).select(F.least("mark_a", "mark_b").alias("mark_a"), F.greatest("mark_a", "mark_b").alias("mark_b"), value.alias(name))
 
     return keyed(a, "score_1").join(keyed(b, "score_2"), ["mark_a", "mark_b"])
+
+
+def balanced_sample(marks: DataFrame, want: int, same_source: bool, seed: int = 0, tries: int = 60) -> DataFrame:
+    """mark_a < mark_b: up to ``want`` distinct pairs of marks(mark, source, study), by drawing a study, then its source or sources, then their marks.
+
+    So a large source or study gives no more pairs than a small one. Each of want * tries draws looks its marks up by
+    their numbers; no list of candidate pairs is made. Of equal pairs the first draw counts.
+    """
+    marks = marks.where("study is not null and source is not null and mark is not null").select("study", "source", "mark").distinct()
+    per = Window.partitionBy("study", "source")
+    numbered = reused(marks.withColumns({"place": F.row_number().over(per.orderBy("mark")) - 1, "n_marks": F.count("*").over(per)}))
+    sources = numbered.where("place = 0").select("study", "source", "n_marks")
+    own = Window.partitionBy("study")
+    sources = reused(sources.withColumns({"at": F.row_number().over(own.orderBy("source")) - 1, "n_sources": F.count("*").over(own)}))
+    studies = sources.where("at = 0").select("study").agg(F.array_sort(F.collect_list("study")).alias("studies"))
+
+    def number(slot: int, below: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(str(int(same_source))), F.col("draw").cast("string"), F.lit(str(slot))), 256)
+        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), below)
+
+    draws = marks.sparkSession.range(want * tries).withColumnRenamed("id", "draw").join(F.broadcast(studies)).where(F.size("studies") > 0)
+    draws = draws.select("draw", F.get("studies", number(0, F.size("studies"))).alias("study"))
+    draws = draws.join(sources.where("at = 0").select("study", "n_sources"), "study").withColumn("sa", number(1, F.col("n_sources")))
+    a = sources.select("study", F.col("at").alias("sa"), F.col("source").alias("source_a"), F.col("n_marks").alias("na"))
+    draws = draws.join(a, ["study", "sa"])
+    if same_source:
+        draws = draws.where("na > 1").withColumns({"source_b": F.col("source_a"), "pa": number(2, F.col("na"))})
+        draws = draws.withColumn("pb", F.pmod(F.col("pa") + 1 + number(3, F.col("na") - 1), F.col("na")))
+    else:
+        draws = draws.where("n_sources > 1").withColumn("sb", F.pmod(F.col("sa") + 1 + number(4, F.col("n_sources") - 1), F.col("n_sources")))
+        b = sources.select("study", F.col("at").alias("sb"), F.col("source").alias("source_b"), F.col("n_marks").alias("nb"))
+        draws = draws.join(b, ["study", "sb"]).withColumns({"pa": number(2, F.col("na")), "pb": number(3, F.col("nb"))})
+    for s in "ab":
+        draws = draws.join(numbered.select("study", F.col("source").alias(f"source_{s}"), F.col("place").alias(f"p{s}"), F.col("mark").alias(f"m{s}")), ["study", f"source_{s}", f"p{s}"])
+    found = draws.groupBy(F.least("ma", "mb").alias("mark_a"), F.greatest("ma", "mb").alias("mark_b")).agg(F.min("draw").alias("draw"))
+    return found.orderBy("draw").limit(want).select("mark_a", "mark_b")
