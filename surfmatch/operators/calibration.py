@@ -106,24 +106,24 @@ def leave_sources_out_lrs(pairs: DataFrame) -> DataFrame:
 def fit_fusion(df: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = (), ridge: float = 1.0) -> DataFrame:
     """Standardized logistic fit of label on several features: means, deviations, coefficients, intercept, bound; of rows, or of counts in a column n."""
     df = df if "n" in df.columns else df.withColumn("n", F.lit(1))
+    df, own = (df, by) if by else (df.withColumn("all", F.lit(0)), ("all",))
     kinds, k = dict(df.dtypes), len(features)
-    own = by or ("all",)
-    means = df.groupBy(*by).agg(*[(F.sum(F.col(f) * F.col("n")) / F.sum("n")).alias(f"mean_{f}") for f in features])
-    centred = df.join(F.broadcast(means), list(by)) if by else df.join(F.broadcast(means))
-    spread = [F.sqrt(F.sum(F.pow(F.col(f) - F.col(f"mean_{f}"), 2) * F.col("n")) / F.sum("n")).alias(f"sd_{f}") for f in features]
-    moments = centred.groupBy(*by, *[f"mean_{f}" for f in features]).agg(*spread)
-    rows = (df.join(F.broadcast(moments), list(by)) if by else df.join(F.broadcast(moments)).withColumn("all", F.lit(0)))
-    z = [F.when(F.col(f"sd_{f}") > 0, (F.col(f) - F.col(f"mean_{f}")) / F.col(f"sd_{f}")).otherwise(F.lit(0.0)).alias(f"z_{f}") for f in features]
-    counts = rows.select(*own, "label", "n", *z).groupBy(*own, "label", *[f"z_{f}" for f in features]).agg(F.sum("n").alias("n"))
-    schema = ", ".join([*(f"{b} {kinds.get(b, 'int')}" for b in own), "coef array<double>, intercept double, log_bound double"])
+    moments = [f"{m}_{f}" for m in ("mean", "sd") for f in features]
+    counts = df.groupBy(*own, "label", *features).agg(F.sum("n").alias("n"))
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in own), "coef array<double>, intercept double, log_bound double", *(f"{m} double" for m in moments)])
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        beta = balanced_logistic(part[[f"z_{f}" for f in features]].to_numpy(float), part["label"].to_numpy(float), part["n"].to_numpy(float), ridge)
-        few = min(part.loc[part["label"] == y, "n"].sum() for y in (0, 1))
-        return pd.DataFrame({**{b: [part[b].iloc[0]] for b in own}, "coef": [beta[:k].tolist()], "intercept": [beta[k]], "log_bound": [np.log10(max(few, 10))]})
+        x, label, n = part[list(features)].to_numpy(float), part["label"].to_numpy(float), part["n"].to_numpy(float)
+        mean = n @ x / n.sum()
+        sd = np.sqrt(n @ (x - mean) ** 2 / n.sum())
+        z = np.where(sd > 0, (x - mean) / np.where(sd > 0, sd, 1.0), 0.0)
+        beta = balanced_logistic(z, label, n, ridge)
+        few = min(n[label == y].sum() for y in (0, 1))
+        found = {"coef": [beta[:k].tolist()], "intercept": [beta[k]], "log_bound": [np.log10(max(few, 10))]}
+        return pd.DataFrame({**{b: [part[b].iloc[0]] for b in own}, **found, **dict(zip(moments, [[v] for v in (*mean, *sd)]))})
 
     models = counts.groupBy(*own).applyInPandas(fit, schema)
-    return models.join(moments, list(by)) if by else models.drop("all").join(F.broadcast(moments))
+    return models if by else models.drop("all")
 
 
 def apply_fusion(df: DataFrame, models: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
