@@ -38,6 +38,7 @@ from surfmatch.llm.bytehash import BASE, INVERSE, LOWER, U, batches_of_bytes, mi
 from surfmatch.llm.common import drop_table, materialize, pick, small_batches
 from surfmatch.llm.minhash_dedup import band_keys, components_of, sketch, star_pairs
 from surfmatch.llm.suffix_dedup import beside
+from surfmatch.llm.windows import sliding_least
 
 SHINGLE, BANDS, ROWS, PASSAGE = 5, 13, 2, 50
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,11 +134,10 @@ def sampled(value: np.ndarray, row: np.ndarray, w: int) -> np.ndarray:
     n = len(value)
     if n < w:
         return np.zeros(n, bool)
-    starts = n - w + 1
-    least = np.lib.stride_tricks.sliding_window_view(value, w).min(1)
-    least = np.where(row[:starts] == row[w - 1 :], least, U(0))
+    least = sliding_least(value, w)
+    least = np.where(row[: n - w + 1] == row[w - 1 :], least, U(0))
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    return np.lib.stride_tricks.sliding_window_view(padded, w).max(1) == value
+    return ~sliding_least(~padded, w) == value
 
 
 def runs_of_words(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,16 +152,21 @@ def runs_of_words(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
     return row[at], at - np.searchsorted(row, row[at]), value
 
 
+def items_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The list and the value of every item of lists of integers; null lists have none."""
+    n = lists.value_lengths().fill_null(0).to_numpy(False)
+    return np.repeat(np.arange(len(lists)), n), lists.flatten().to_numpy(False).astype(np.int64)
+
+
 def lost_words(data: np.ndarray, offsets: np.ndarray, removed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For each text, how many words of removed lines stand before each of its words (one text after the other), and where its words begin."""
-    cut, line_row, place = line_offsets(data, offsets)
+    cut, line_row, _ = line_offsets(data, offsets)
     _, _, line = words(data, cut)
     begin = np.searchsorted(line_row[line], np.arange(len(offsets)))
-    gone = np.zeros(len(line), bool)
-    for r in np.flatnonzero(removed.is_valid().to_numpy(False)):
-        own = slice(begin[r], begin[r + 1])
-        gone[own] = np.isin(place[line[own]], removed[int(r)].values.to_numpy())
-    return np.concatenate([[0], np.cumsum(gone)]), begin
+    first, items = np.searchsorted(line_row, np.arange(len(offsets) - 1)), items_of(removed)
+    gone = np.zeros(len(line_row), bool)
+    gone[first[items[0]] + items[1]] = True
+    return np.concatenate([[0], np.cumsum(gone[line])]), begin
 
 
 def sampled_runs(texts: DataFrame, n: int, w: int) -> DataFrame:
@@ -194,13 +199,12 @@ def runs_around(texts: DataFrame, n: int, inner: int) -> DataFrame:
             for i, j, data, offsets in batches_of_bytes(batch.column(1)):
                 row, word, value = runs_of_words(data, offsets, n)
                 before, at = lost_words(data, offsets, batch.column(4)[i:j])
-                begin = np.searchsorted(row, np.arange(j - i + 1))
-                keep = np.zeros(len(row), bool)
-                for r in range(j - i):
-                    mine = word[begin[r] : begin[r + 1]]
-                    own = np.sort(starts[i + r].values.to_numpy())
-                    near = np.searchsorted(own, mine) < np.searchsorted(own, mine + (n - inner), "right")
-                    keep[begin[r] : begin[r + 1]] = near & (before[at[r] + mine + n] == before[at[r] + mine])
+                text, start = items_of(starts[i:j])
+                known = np.sort((text << 32) + start)
+                place = (row << 32) + word
+                near = np.searchsorted(known, place) < np.searchsorted(known, place + (n - inner), "right")
+                word_at = at[row] + word
+                keep = near & (before[word_at + n] == before[word_at])
                 row, word, value = i + row[keep], word[keep], value[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(by[row]), pa.array(ref[row]), pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["by", "ref", "word", "hash"])
 
@@ -212,10 +216,12 @@ def shared_windows(known: DataFrame, gone: DataFrame, passage: int, most_rows: i
     another document, and starts, of those that stand twice or more outside the removed lines."""
     texts = beside(known.select("ref", "text"), gone, "left", most_rows, most_items)
     found = materialize(sampled_runs(texts, passage - passage // 2, passage // 2 + 1), "sampled")
-    at = F.struct("ref", "word")
-    left = F.when(~F.col("lost"), at)
-    hashes = found.groupBy("hash").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"), F.min(left).alias("first"), F.max(left).alias("last"))
-    several = hashes.select("hash", (F.col("lo") != F.col("hi")).alias("across"), F.coalesce(F.col("first") != F.col("last"), F.lit(False)).alias("twice")).where("across or twice")
+    # plain numbers, which Spark aggregates by hashing; a struct's least would be found by sorting
+    left = {c: F.when(~F.col("lost"), F.col(c)) for c in ("ref", "word")}
+    ends = [f(x).alias(f"{c}_{e}") for c, x in left.items() for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    hashes = found.groupBy("hash").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"), *ends)
+    twice = F.coalesce((F.col("ref_lo") != F.col("ref_hi")) | (F.col("word_lo") != F.col("word_hi")), F.lit(False))
+    several = hashes.select("hash", (F.col("lo") != F.col("hi")).alias("across"), twice.alias("twice")).where("across or twice")
     several = materialize(several, "several")
     chosen = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("word"))))
     out = found.join(several, "hash").groupBy("ref").agg(chosen(F.col("across")).alias("across"), chosen(F.col("twice") & ~F.col("lost")).alias("starts"))
