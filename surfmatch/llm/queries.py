@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surfmatch.llm import decontaminate, html_extract, langid, minhash_dedup, packing, paragraph_dedup, quality, secrets, suffix_dedup, url_filter
+from surfmatch.llm import bpe, conversations, decontaminate, html_extract, langid, merkle, minhash_dedup, oracles, packing, paragraph_dedup, quality, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -72,8 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_bpe_round_trip": op13_bpe_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE_SQL}
+    return {"op7_url_filter": url_filter.ORACLE_SQL, "op11_merkle_manifest": oracles.MANIFEST, "op12_conversation_repair": oracles.CONVERSATIONS}
