@@ -4,8 +4,8 @@ Rows are sorted once by conversation and turn over all tasks and cut into blocks
 neighbours. Inside a block every conversation's stretch is searched depth first, edits
 in ASCII order (Delete, Insert, Keep, Rerole), under a cost bound that rises to the
 least value that was cut off; states that failed are remembered with the cost they had
-left, so none is searched twice for less. What must be paid anyway (faulty rows to
-come) is the estimate. The first path that is accepted is the cheapest and, of those,
+left, so none is searched twice for less. The estimate of what is still to be paid
+comes from a smaller pattern, with all states merged that wait for a user's turn. The first path that is accepted is the cheapest and, of those,
 the ASCII-least.
 
 A stretch at a block's edge may go on next door: it is searched from every state of
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -85,48 +86,75 @@ def faults(rows: DataFrame) -> DataFrame:
     return plain.join(first, "place", "left").select("conv_id", "place", "initial", fault.alias("fault"))
 
 
-def search(rows: list[tuple[str, str]], start: str, ends: str) -> tuple[int, str] | None:
+@lru_cache(4096)
+def moves(initial: str, fault: str) -> dict[str, tuple[tuple[int, str, int, str], ...]]:
+    """What may be done in each state before a row: cost, edit, rows used and next state, in ASCII order."""
+    out = {}
+    for state in STATES:
+        found = [(DELETE, "D", 1, state), (INSERT, "I", 0, DUE[state])]
+        if fault not in ("b", "d"):
+            more = TRUNCATED if fault else 0
+            if (state, initial) in STEPS:
+                found.append((KEEP + more, "K", 1, STEPS[state, initial]))
+            found.append((REROLE + more, "R", 1, DUE[state]))
+        out[state] = tuple(found)
+    return out
+
+
+#: What may be done after the last row.
+AFTER = {state: ((INSERT, "I", 0, DUE[state]),) for state in STATES}
+NEVER = 1 << 60
+
+
+def estimates(rows: list[tuple[str, str]], ends: str) -> list[dict[str, int]]:
+    """Before each row and after the last, what must be paid at least from each state to one of ends.
+
+    Ends after a turn are looked for in a smaller pattern, with all states merged that
+    wait for a user's turn. Before any turn, or after the system's alone, all else must go.
+    """
+    if ends in ("-", "s"):
+        rest, system = 0, False
+        out = [{"-": 0, "s": NEVER, "u": NEVER, "a": NEVER} if ends == "-" else {"-": NEVER, "s": 0, "u": NEVER, "a": NEVER}]
+        for initial, fault in reversed(rows):
+            rest, system = rest + DELETE, system or initial == "s" and fault not in ("b", "d")
+            out.append({**out[0], "-": rest} if ends == "-" else {**out[0], "-": rest - DELETE if system else NEVER, "s": rest})
+        return out[::-1]
+    waiting, talking = (INSERT, 0) if ends == "u" else (0, INSERT)
+    out = [(waiting, talking)]
+    for initial, fault in reversed(rows):
+        low = [DELETE + waiting, DELETE + talking]
+        if fault not in ("b", "d"):
+            more = TRUNCATED if fault else 0
+            low[0] = min(low[0], more + talking + (KEEP if initial == "u" else REROLE), more + waiting + KEEP if initial == "s" else NEVER)
+            low[1] = min(low[1], more + waiting + (KEEP if initial == "a" else REROLE))
+        waiting, talking = min(low[0], INSERT + low[1]), min(low[1], INSERT + low[0])
+        out.append((waiting, talking))
+    return [{"-": w, "s": w, "a": w, "u": t} for w, t in reversed(out)]
+
+
+def search(rows: list[tuple[str, str]], start: str, ends: str, least: list[dict[str, int]] | None = None) -> tuple[int, str] | None:
     """Cost and audit of the cheapest edits of rows (initial, fault) from a state to one of ends; None where there are none."""
-    if start == "-" and ends == "s" and not any(i == "s" and f in ("", "t") for i, f in rows) or start != "-" and ends == "-":
+    least, n = least or estimates(rows, ends), len(rows)
+    bound = least[0][start]
+    if bound >= NEVER:
         return None
-    if ends == "s" and start in "ua":
-        return None
-    n = len(rows)
-    forced = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        forced[i] = forced[i + 1] + {"": 0, "t": TRUNCATED}.get(rows[i][1], DELETE)
-
-    def edges(at: int, state: str):
-        """Cost, edit, next row and state of what may be done, in ASCII order."""
-        if at < n:
-            yield DELETE, "D", at + 1, state
-        yield INSERT, "I", at, DUE[state]
-        if at < n:
-            initial, fault = rows[at]
-            if fault not in ("b", "d"):
-                more = TRUNCATED if fault else 0
-                if (state, initial) in STEPS:
-                    yield KEEP + more, "K", at + 1, STEPS[state, initial]
-                yield REROLE + more, "R", at + 1, DUE[state]
-
-    bound = forced[0]
+    ways = [moves(i, f) for i, f in rows] + [AFTER]
     while True:
         failed: dict[tuple[int, str], int] = {}  # the most cost left with which a state failed
         over = []  # totals that were cut off
-        path, stack = [], [(0, start, bound, edges(0, start))]
-        if n == 0 and start in ends:
-            return 0, ""
+        path, stack = [], [(0, start, bound, iter(ways[0][start]))]
         while stack:
-            at, state, left, ways = stack[-1]
-            for cost, edit, to, then in ways:
-                rest = left - cost
-                if rest < forced[to]:
-                    over.append(bound + forced[to] - rest)
+            at, state, left, rest_of_ways = stack[-1]
+            for cost, edit, used, then in rest_of_ways:
+                to, rest = at + used, left - cost
+                need = least[to][then]
+                if rest < need:
+                    over.append(bound + need - rest)
                 elif failed.get((to, then), -1) < rest:
                     path.append(edit)
                     if to == n and then in ends:
                         return bound - rest, "".join(path)
-                    stack.append((to, then, rest, edges(to, then)))
+                    stack.append((to, then, rest, iter(ways[to][then])))
                     break
             else:
                 stack.pop()
@@ -147,9 +175,10 @@ def run_of(conv_id, place: int, whole: bool, rows: list[tuple[str, str]]) -> dic
     """One conversation's stretch of a block: its counts, and its cheapest edits between every two states, or to its end."""
     marks = [f for _, f in rows]
     ways = []
-    for start in "-" if whole else STATES:
-        for end in [ENDS] if whole else STATES:
-            found = search(rows, start, end)
+    for end in [ENDS] if whole else STATES:
+        least = estimates(rows, end)
+        for start in "-" if whole else STATES:
+            found = search(rows, start, end, least)
             if found:
                 ways.append({"start": start, "end": end, "cost": found[0], "audit": found[1]})
     counts = {name: marks.count(name[0]) for name in ("blank", "duplicate", "truncated")}
