@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfmatch.llm.bytehash import BLANK, U, batches_of_bytes, prefix, span
+from surfmatch.llm.bytehash import BLANK, U, batches_of_bytes
 from surfmatch.llm.common import materialize, pick, small_batches
 from surfmatch.llm.packing import pieces_for, token_bytes
 
@@ -43,15 +43,25 @@ FILTER_BITS = 26
 #: Words on either side of a join that its window holds at first.
 MARGIN = 2
 
+CODED = "doc_id long, ids binary"
 CHUNKS = "array<struct<start:long,size:long,high:long,low:long>>"
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Where the rolling hash allows a cut, never inside a character."""
-    if len(data) <= WINDOW:
-        return np.zeros(0, np.int64)
-    at = np.arange(WINDOW, len(data))
-    at = at[span(prefix(data), at - WINDOW, at) < U(1) << U(64 - CUT_BITS)]
+#: A random number for each byte; the hash of a window adds them up, shifted by their age.
+GEAR = np.random.default_rng(20240911).integers(0, 1 << 32, 256, dtype=np.uint32)
+
+
+def cuts(data: np.ndarray, stretch: int = 1 << 15) -> np.ndarray:
+    """Where the rolling hash allows a cut, never inside a character; looked at by stretches that a processor's cache holds."""
+    found = []
+    for start in range(0, len(data) - WINDOW, stretch):
+        value, age = GEAR[data[start : start + stretch + WINDOW - 1]], 1
+        while age < WINDOW:  # from windows of age bytes to those of twice as many
+            value = value[age:] + (value[:-age] << np.uint32(age))
+            age *= 2
+        found.append(np.flatnonzero(value < 1 << (32 - CUT_BITS)) + (start + WINDOW))
+    at = np.concatenate(found) if found else np.zeros(0, np.int64)
+    at = at[at < len(data)]
     return at[(data[at] & 0xC0) != 0x80]
 
 
@@ -139,8 +149,29 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
     return lambda data: token_bytes(data.decode(), known)[:-4]
 
 
-def encode(docs: DataFrame, path: str, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id and ids (binary: 32 bits each, little-endian) of every row of docs(doc_id, text)."""
+def coded(names: pa.Array, ids: Iterator[bytes], path: str, with_text: bool, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids, and what they decode to if asked for, in batches of some bytes."""
+    held, texts, size, start = [], [], 0, 0
+    tokenizer = pieces_for(path).tokenizer
+
+    def batch() -> pa.RecordBatch:
+        columns = [names.slice(start, len(held)), pa.array(held, pa.binary())] + ([pa.array(texts, pa.string())] if with_text else [])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
+
+    for one in ids:
+        held.append(one)
+        if with_text:
+            texts.append(tokenizer.decode(np.frombuffer(one, "<u4").tolist(), skip_special_tokens=False))
+        size += len(one)
+        if size >= most:
+            yield batch()
+            start += len(held)
+            held, texts, size = [], [], 0
+    yield batch()
+
+
+def encode(docs: DataFrame, path: str, filter_bits: int = FILTER_BITS, with_text: bool = False) -> DataFrame:
+    """doc_id and ids (binary: 32 bits each, little-endian) of every row of docs(doc_id, text); with_text adds the text that the ids decode to, found by the same worker."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = pick(docs, "doc_id", "text")
@@ -149,12 +180,12 @@ def encode(docs: DataFrame, path: str, filter_bits: int = FILTER_BITS) -> DataFr
     def alone(batches: Iterator[pa.RecordBatch]):
         of = encoder(path)
         for batch in batches:
-            rows, ids = [], []
+            rows, texts = [], []
             for row, text, _, digests in chunks_of(batch.column(1)):
                 if not (text and among(repeated.value, digests).any()):
                     rows.append(row)
-                    ids.append(of(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                    texts.append(text)
+            yield from coded(batch.column(0).take(pa.array(rows, pa.int64())), map(of, texts), path, with_text)
 
     def sharing(batches: Iterator[pa.RecordBatch]):
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "size", "high", "low")]))
@@ -170,7 +201,7 @@ def encode(docs: DataFrame, path: str, filter_bits: int = FILTER_BITS) -> DataFr
 
     mixed = docs.mapInArrow(sharing, f"doc_id long, text string, chunks {CHUNKS}")
     mixed = materialize(mixed.withColumn("mid", F.monotonically_increasing_id()), "sharing")
-    return docs.mapInArrow(alone, "doc_id long, ids binary").union(from_dictionary(mixed, path))
+    return docs.mapInArrow(alone, CODED + ", text string" * with_text).union(from_dictionary(mixed, path, with_text))
 
 
 def dictionary(mixed: DataFrame, path: str) -> DataFrame:
@@ -187,28 +218,29 @@ def dictionary(mixed: DataFrame, path: str) -> DataFrame:
     return mixed.select(F.inline(own)).groupBy("high", "low").agg(F.first("chunk").alias("chunk")).mapInArrow(run, "high long, low long, ids binary")
 
 
-def from_dictionary(mixed: DataFrame, path: str) -> DataFrame:
+def from_dictionary(mixed: DataFrame, path: str, with_text: bool) -> DataFrame:
     """doc_id and ids of mixed(mid, doc_id, text, chunks)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         of = encoder(path)
+
+        def ids(text: str, shared: list[dict]) -> bytes:
+            data, parts, at = text.encode(), [], 0
+            for c in shared:
+                if c["start"] > at:
+                    parts.append((c["start"], None))
+                at = c["start"] + c["size"]
+                parts.append((at, c["ids"]))
+            if at < len(data):
+                parts.append((len(data), None))
+            return spliced(data, parts, of)
+
         for batch in batches:
-            ids = []
-            for text, shared in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data, parts, at = text.encode(), [], 0
-                for c in shared:
-                    if c["start"] > at:
-                        parts.append((c["start"], None))
-                    at = c["start"] + c["size"]
-                    parts.append((at, c["ids"]))
-                if at < len(data):
-                    parts.append((len(data), None))
-                ids.append(spliced(data, parts, of))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield from coded(batch.column(0), (ids(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()) for i in range(batch.num_rows)), path, with_text)
 
     refs = mixed.select("mid", F.inline("chunks")).join(materialize(dictionary(mixed, path), "dictionary"), ["high", "low"])
     found = refs.groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("start", "size", "ids"))).alias("shared"))
-    return mixed.select("mid", "doc_id", "text").join(found, "mid").select("doc_id", "text", "shared").mapInArrow(run, "doc_id long, ids binary")
+    return mixed.select("mid", "doc_id", "text").join(found, "mid").select("doc_id", "text", "shared").mapInArrow(run, CODED + ", text string" * with_text)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -227,5 +259,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    ids = encode(docs, path).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return encode(docs, path, with_text=True).select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -256,5 +256,12 @@ def test_repeated_chunks_are_encoded_once(spark):
     assert {r.n for r in counts.collect()} == {12}
 
 
+def test_decoding_keeps_other_columns(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "It's one."), (2, None)], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    assert got.columns == ["doc_id", "text"]
+    assert {r.doc_id: r.text for r in got.collect()} == {1: tokenizer.decode(tokenizer.encode("It's one.", add_special_tokens=False).ids, skip_special_tokens=False), 2: ""}
+
+
 def test_round_trip_of_nothing(spark):
     assert bpe.round_trip(cases.empty(spark), vocabulary()).count() == 0
