@@ -29,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,6 +165,7 @@ def search(rows: list[tuple[str, str]], start: str, ends: str, least: list[dict[
 
 RUN = "conv_id long, place long, whole boolean, first string, last string, blank long, duplicate long, truncated long, illegal long, ways array<struct<start:string,end:string,cost:long,audit:string>>"
 
+RUN_COLUMNS = ("conv_id", "place", "whole", "first", "last", "blank", "duplicate", "truncated", "illegal")
 
 def broken(before: str, after: str) -> int:
     return before + after not in ("su", "ua", "au")
@@ -186,6 +186,12 @@ def run_of(conv_id, place: int, whole: bool, rows: list[tuple[str, str]]) -> dic
     return {"conv_id": conv_id, "place": place, "whole": whole, "first": rows[0][0], "last": rows[-1][0], **counts, "illegal": illegal, "ways": ways}
 
 
+def run_schema() -> pa.Schema:
+    way = pa.struct([("start", pa.string()), ("end", pa.string()), ("cost", pa.int64()), ("audit", pa.string())])
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), *[pa.int64()] * 4]
+    return pa.schema([*zip(RUN_COLUMNS, kinds), ("ways", pa.list_(way))])
+
+
 def runs(flagged: DataFrame, block: int) -> DataFrame:
     """The stretches of every block of neighbours in faults(); whole where both neighbours belong to other conversations."""
     number = F.expr(f"(place >> {WITHIN}) << {WITHIN}") + F.expr(f"(place & {(1 << WITHIN) - 1}) div {block} * {block}")
@@ -199,32 +205,41 @@ def runs(flagged: DataFrame, block: int) -> DataFrame:
                 for lo, hi in zip(at, at[1:]):
                     whole = 0 < lo and hi < len(rows)
                     out.append(run_of(rows[lo]["conv_id"], rows[lo]["place"], whole, [(r["initial"], r["fault"]) for r in rows[lo:hi]]))
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(out, run_schema())
 
-    names = [f.split()[0] for f in RUN.split(", ")[:9]]
-    way = pa.struct([("start", pa.string()), ("end", pa.string()), ("cost", pa.int64()), ("audit", pa.string())])
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), *[pa.int64()] * 4]
-    schema = pa.schema([*zip(names, kinds), ("ways", pa.list_(way))])
     return held.mapInArrow(run, RUN)
 
 
-def joined(rows: pd.DataFrame) -> pd.DataFrame:
+def one_run(rows: list[dict]) -> dict:
     """Neighbouring stretches of one conversation, in order, as one."""
-    rows = rows.sort_values("place")
+    if len(rows) == 1:
+        return rows[0]
     best: dict[tuple[str, str], tuple[int, str]] = {(s, s): (0, "") for s in STATES}
-    illegal = int(rows["illegal"].sum()) + sum(broken(a, b) for a, b in zip(rows["last"], rows["first"][1:]))
-    for ways in rows["ways"]:
+    for row in rows:
         found: dict[tuple[str, str], tuple[int, str]] = {}
         for (start, mid), (cost, audit) in best.items():
-            for way in ways:
+            for way in row["ways"]:
                 if way["start"] == mid:
                     total = (cost + way["cost"], audit + way["audit"])
                     if (start, way["end"]) not in found or total < found[start, way["end"]]:
                         found[start, way["end"]] = total
         best = found
     ways = [{"start": s, "end": e, "cost": c, "audit": a} for (s, e), (c, a) in best.items()]
-    one = {**rows.iloc[0].to_dict(), "last": rows["last"].iloc[-1], "illegal": illegal, "ways": ways}
-    return pd.DataFrame([one | {c: int(rows[c].sum()) for c in ("blank", "duplicate", "truncated")}])
+    counts = {c: sum(r[c] for r in rows) for c in ("blank", "duplicate", "truncated", "illegal")}
+    counts["illegal"] += sum(broken(a["last"], b["first"]) for a, b in zip(rows, rows[1:]))
+    return {**rows[0], **counts, "last": rows[-1]["last"], "ways": ways}
+
+
+def joined(edge: DataFrame, *key) -> DataFrame:
+    """Stretches alike in key, which are neighbours, as one."""
+    columns = ["place", *(c for c in (*RUN_COLUMNS, "ways") if c != "place")]
+    held = edge.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows")).select("rows")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one_run(rows) for rows in batch.column(0).to_pylist()], run_schema())
+
+    return held.mapInArrow(run, RUN)
 
 
 def cheapest() -> Column:
@@ -237,9 +252,8 @@ def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit of every conversation of ordered rows."""
     small_batches(rows.sparkSession)
     found = materialize(runs(faults(rows), block), "stretches")
-    edge = found.where("not whole").groupBy("conv_id", F.shiftright("place", WITHIN).alias("part")).applyInPandas(lambda _, g: joined(g), RUN)
-    edge = edge.groupBy("conv_id").applyInPandas(joined, RUN)
-    mended = found.where("whole").union(edge).withColumn("best", cheapest())
+    edge = joined(found.where("not whole"), "conv_id", F.shiftright("place", WITHIN))
+    mended = found.where("whole").union(joined(edge, "conv_id")).withColumn("best", cheapest())
     wide = F.max("turn").cast("decimal(20,0)") - F.min("turn").cast("decimal(20,0)") + 1 - F.countDistinct("turn")
     gaps = rows.groupBy("conv_id").agg(F.coalesce(wide, F.lit(0)).cast("long").alias("gaps"))
     counts = ("blank", "duplicate", "truncated", "illegal", "cost", "audit")
