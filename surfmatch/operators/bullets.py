@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surfmatch.functions.helpers import lag_matrix
 from surfmatch.functions.reuse import reused
 from surfmatch.operators import calibration, consensus, matrices, signals
+from surfmatch.operators.pairs import score_pairs
 
 
 def packed(lands: DataFrame) -> DataFrame:
@@ -19,28 +19,19 @@ def packed(lands: DataFrame) -> DataFrame:
 
 
 def land_matrix(pairs: DataFrame, lands: DataFrame) -> DataFrame:
-    """pair_id, i, j, ccf, lag of every land of A against every land of B, of pairs(pair_id, bullet_a, bullet_b).
+    """pair_id, i, j, ccf, lag, error of every land of A against every land of B, of pairs(pair_id, bullet_a, bullet_b).
 
-    Lands are numbered from 0. A bullet is sent to each of its pairs once, with all its
-    lands, and all cells of a pair come from one batch of transforms. Cells of a
-    missing or empty signature are null.
+    Lands are numbered from 0. A bullet travels with all its lands to the blocks of pairs
+    that ask for it, and all cells of a pair come from one batch of transforms. Cells of a
+    missing or empty signature are null; a pair that fails is one row of nulls and its error.
     """
-    own = packed(lands)
-    both = pairs.join(own.toDF("bullet_a", "la"), "bullet_a").join(own.toDF("bullet_b", "lb"), "bullet_b")
-    kind = dict(pairs.dtypes)["pair_id"]
 
-    def run(batches):
-        for pdf in batches:
-            parts = []
-            for pair, la, lb in zip(pdf["pair_id"], pdf["la"], pdf["lb"]):
-                lag, ccf = lag_matrix(list(la), list(lb))
-                i, j = np.indices(ccf.shape)
-                parts.append(pd.DataFrame({"pair_id": pair, "i": i.ravel(), "j": j.ravel(), "ccf": ccf.ravel(), "lag": lag.ravel()}))
-            if parts:
-                yield pd.concat(parts)
+    def one(a: dict, b: dict) -> list[tuple]:
+        lag, ccf = lag_matrix(*([None if x is None else np.asarray(x, float) for x in bullet["lands"]] for bullet in (a, b)))
+        return [(i, j, None if np.isnan(c) else float(c), None if np.isnan(at) else float(at)) for (i, j), c, at in zip(np.ndindex(ccf.shape), ccf.ravel(), lag.ravel())]
 
-    out = both.select("pair_id", "la", "lb").mapInPandas(run, f"pair_id {kind}, i int, j int, ccf double, lag double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ccf", "lag")})
+    asked = pairs.select("pair_id", F.col("bullet_a").alias("mark_a"), F.col("bullet_b").alias("mark_b"))
+    return score_pairs(asked, packed(lands).withColumnRenamed("bullet", "mark"), one, "i int, j int, ccf double, lag double").drop("mark_a", "mark_b")
 
 
 def best_lands(cells: DataFrame) -> DataFrame:
@@ -66,7 +57,7 @@ def attribution(compared: DataFrame, lands: DataFrame, least: float, tolerance:
     marks = of.select(F.concat_ws("/", "bullet", "at").alias("mark"), "signature", F.size("signature").cast("double").alias("length"))
     names = [F.concat_ws("/", f"bullet_{s}", f"best_land_{s}").alias(f"mark_{s}") for s in "ab"]
     chosen = compared.where("best_land_a is not null").select("pair_id", *names)
-    votes = signals.vote_pairs(chosen.select("mark_a", "mark_b"), marks, window, step).join(chosen, ["mark_a", "mark_b"])
+    votes = signals.vote_pairs(chosen.select("mark_a", "mark_b"), marks, window, step).where("error is null").drop("error").join(chosen, ["mark_a", "mark_b"])
     sizes = chosen.join(marks.select(F.col("mark").alias("mark_a"), F.col("length").alias("length_a")), "mark_a").join(marks.select(F.col("mark").alias("mark_b"), F.col("length").alias("length_b")), "mark_b")
     found = consensus.members(votes, least, {"lag": tolerance})
     return consensus.bands(found.join(sizes.select("pair_id", "length_a", "length_b"), "pair_id"))

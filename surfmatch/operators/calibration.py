@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from surfmatch.functions.columns import POSTERIOR_FLOOR, logistic_lr, verbal_weight
 from surfmatch.functions.helpers import balanced_logistic
+from surfmatch.operators import newton
 from surfmatch.operators.metrics import pav_blocks
 
-MODEL = "coef double, intercept double, log_bound double, n_km long, n_knm long"
 LEAST_TRAIN = 3
 
 
@@ -21,22 +21,8 @@ def score_counts(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def fit_counts(counts: DataFrame, by: tuple[str, ...], least: int = 1) -> DataFrame:
-    """Models of counts(by, score, label, n); groups with fewer than ``least`` of a class are left out."""
-    kinds = dict(counts.dtypes)
-    keyed = counts if by else counts.withColumn("all", F.lit(0))
-    own = by or ("all",)
-    schema = ", ".join([*(f"{b} {kinds.get(b, 'int')}" for b in own), MODEL])
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["n"] > 0]
-        n1, n0 = int(rows.loc[rows["label"] == 1, "n"].sum()), int(rows.loc[rows["label"] == 0, "n"].sum())
-        if min(n1, n0) < least:
-            return pd.DataFrame([], columns=[*own, "coef", "intercept", "log_bound", "n_km", "n_knm"])
-        coef, intercept = balanced_logistic(rows["score"].to_numpy(float), rows["label"].to_numpy(float), rows["n"].to_numpy(float))
-        return pd.DataFrame([[*rows[list(own)].iloc[0], coef, intercept, np.log10(max(min(n1, n0), 10)), n1, n0]], columns=[*own, "coef", "intercept", "log_bound", "n_km", "n_knm"])
-
-    out = keyed.groupBy(*own).applyInPandas(fit, schema)
-    return out if by else out.drop("all")
+    """Models of counts(by, score, label, n) from grouped sums; groups with fewer than ``least`` of a class are left out."""
+    return newton.fit_groups(counts, by, least)
 
 
 def fit_logistic(df: DataFrame, by: tuple[str, ...] = (), least: int = 1) -> DataFrame:
@@ -45,9 +31,9 @@ def fit_logistic(df: DataFrame, by: tuple[str, ...] = (), least: int = 1) -> Dat
 
 
 def apply_logistic(df: DataFrame, models: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with lr and bound_hit. One model row for each group; models are small and broadcast."""
-    small = F.broadcast(models.select(*by, "coef", "intercept", "log_bound"))
-    joined = df.join(small, list(by), "left") if by else df.join(small)
+    """df with lr and bound_hit. One model row for each group; the single row of no groups is broadcast, groups are joined as their number demands."""
+    small = models.select(*by, "coef", "intercept", "log_bound")
+    joined = df.join(small, list(by), "left") if by else df.join(F.broadcast(small.limit(1)))
     lr, hit = logistic_lr(F.col("score"), F.col("coef"), F.col("intercept"), F.col("log_bound"))
     return joined.select(*df.columns, lr.alias("lr"), hit.alias("bound_hit"))
 
@@ -78,22 +64,8 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def leave_sources_out(pairs: DataFrame, least: int = LEAST_TRAIN) -> DataFrame:
-    """Models for every set {a, b} of sources that some pair of pairs(source_a, source_b, score, label) has, fitted without both.
-
-    Counts add up: all pairs, less those touching a, less those touching b, plus those
-    of both. So pairs are read once, whatever the number of sources.
-    """
-    low, high = F.least("source_a", "source_b"), F.greatest("source_a", "source_b")
-    joining = pairs.select(low.alias("a"), high.alias("b"), "score", "label").groupBy("a", "b", "score", "label").agg(F.count("*").alias("n"))
-    total = joining.groupBy("score", "label").agg(F.sum("n").alias("n"))
-    touching = joining.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("s"), "score", "label", "n").groupBy("s", "score", "label").agg(F.sum("n").alias("n"))
-    sets = joining.select("a", "b").distinct()
-    every = sets.join(F.broadcast(total.agg(F.collect_list(F.struct("score", "label", "n")).alias("h")))).select("a", "b", F.explode("h").alias("h")).select("a", "b", "h.*")
-    first = sets.join(touching, F.col("a") == F.col("s")).select("a", "b", "score", "label", (-F.col("n")).alias("n"))
-    second = sets.where("a <> b").join(touching, F.col("b") == F.col("s")).select("a", "b", "score", "label", (-F.col("n")).alias("n"))
-    counts = every.union(first).union(second).union(joining.where("a <> b").select("a", "b", "score", "label", "n"))
-    counts = counts.groupBy("a", "b", "score", "label").agg(F.sum("n").alias("n")).where("n > 0")
-    return fit_counts(counts, ("a", "b"), least)
+    """Models for every set {a, b} of sources that some pair of pairs(source_a, source_b, score, label[, n]) has, fitted without both."""
+    return newton.fit_without(pairs, least)
 
 
 def leave_sources_out_lrs(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,8 @@ from surfmatch.operators.pairs import aligned, first_of, sampling_order
 
 SPLITS, TEST_SHARE, SEED = 10, 0.4, 0
 LEAST_TRAIN_KM, LEAST_TEST_KM = 3, 1
+#: Sources below which no folds are made. Fixed value.
+LEAST_SOURCES = 4
 
 
 def sources_of(pairs: DataFrame) -> DataFrame:
@@ -129,6 +132,26 @@ def disjoint_validation(pairs: DataFrame, folds: DataFrame) -> DataFrame:
     return out
 
 
+def stratum_summaries(chosen: DataFrame, folds_of: Callable[[DataFrame], DataFrame] = held_out) -> DataFrame:
+    """One row for each of the two strata of chosen(within, source_a, source_b, label, score): counts, auc, cllr_min, and folds where both
+    classes and at least LEAST_SOURCES sources are there: how many, and the mean cllr of sources that the fit never saw. One class alone gives nulls."""
+    chosen = reused(chosen.groupBy("within", "source_a", "source_b", "score", "label").agg(F.count("*").alias("n")))
+    n = lambda y: F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0))
+    found = chosen.groupBy("within").agg(F.sum("n").alias("n_pairs"), n(1).alias("n_km"), n(0).alias("n_knm"))
+    for part in (metrics.auc, metrics.cllr_min):
+        found = found.join(part(chosen, ("within",)), "within", "left")
+    several = [r[0] for r in chosen.select("within", F.explode(F.array("source_a", "source_b")).alias("s")).groupBy("within").agg(F.count_distinct("s").alias("n")).where(F.col("n") >= LEAST_SOURCES).collect()]
+    per = None
+    for within in several:  # two strata at most
+        own = chosen.where(F.col("within") == within).drop("within")
+        one = disjoint_validation(own, folds_of(own)).select(F.lit(within).alias("within"), "cllr")
+        per = one if per is None else per.union(one)
+    if per is None:
+        return found.select("*", F.lit(0).cast("long").alias("n_folds"), F.lit(None).cast("double").alias("fold_cllr"))
+    per = per.groupBy("within").agg(F.count("*").alias("n_folds"), F.avg("cllr").alias("fold_cllr"))
+    return found.join(per, "within", "left").withColumn("n_folds", F.coalesce("n_folds", F.lit(0)))
+
+
 def lever_table(pairs: DataFrame, folds: DataFrame, levers: tuple[str, ...]) -> DataFrame:
     """Metrics of every lever and fold from pairs with a column for each lever, in one plan."""
     stack = F.explode(F.array(*[F.struct(F.lit(x).alias("lever"), F.col(x).cast("double").alias("score")) for x in levers]))

@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from surfmatch.functions.reuse import reused
 
 
-def block_pairs(marks: DataFrame, blocks: int, within: str | None = None) -> DataFrame:
+#: Groups whose counts may be broadcast; more are joined by shuffle.
+FEW_GROUPS = 50_000
+
+
+def grouped_counts(marks: DataFrame, within: str | None) -> DataFrame:
+    """n of every group of marks, or of all marks in one row."""
+    return marks.groupBy(*([within] if within else [])).agg(F.count("*").alias("n"))
+
+
+def block_pairs(marks: DataFrame, block_rows: int, within: str | None = None) -> DataFrame:
     """marks sent to the tasks (bi, bj), bi <= bj, that pair their block with another; side tells which of both a row is.
 
-    Each task gets two blocks, so arrays are copied ``blocks`` times instead of once a
-    pair. With ``within``, blocks lie inside a group such as a study.
+    A group (all marks, or those alike in ``within``) has as many blocks as its own count
+    asks for, of ``block_rows`` marks about, so a group with most of the marks spreads over
+    many tasks and a small one makes one. Each task gets two blocks: arrays are copied once
+    a block, not once a pair.
     """
-    own = F.pmod(F.xxhash64("mark"), F.lit(blocks)).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("own"), o).alias("bi"), F.greatest(F.col("own"), o).alias("bj"), (F.col("own") > o).cast("int").alias("side")))
-    rows = marks.withColumn("own", own).withColumn("to", F.explode(meets))
     keys = [within] if within else []
+    spark = marks.sparkSession
+    counts = grouped_counts(marks, within)
+    total, groups = counts.agg(F.sum("n"), F.count("*")).first()
+    least = blocks_for(total or 0, block_rows, spark.sparkContext.defaultParallelism)
+    size = -(-(total or 0) // least)  # marks a block, so that all cores have work
+    counts = counts.select(*keys, F.greatest(F.ceil(F.col("n") / F.lit(max(size, 1))), F.lit(1)).cast("int").alias("blocks"))
+    counts = F.broadcast(counts) if groups <= FEW_GROUPS else counts
+    rows = marks.where(F.col(within).isNotNull()).join(counts, within) if within else marks.join(counts)
+    own = F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("bi"), F.greatest(F.col("own"), o).alias("bj"), (F.col("own") > o).cast("int").alias("side")))
+    rows = rows.withColumn("own", own).withColumn("to", F.explode(to))
     return rows.select(*keys, "to.bi", "to.bj", "to.side", *[c for c in marks.columns if c not in keys])
 
 
@@ -33,37 +56,157 @@ def blocks_for(n: int, block_rows: int, cores: int = 1, least_rows: int = 64) ->
     return max(1, -(-n // block_rows), min(busy, n // least_rows))
 
 
+def paired(marks: DataFrame, within: str | None = None, block_rows: int = 2000) -> DataFrame:
+    """All unordered pairs of marks(mark, ...), of one group each if ``within`` is given: every other column once for either side.
+
+    Blocks meet by an equi-join on their numbers, so no key holds more than two blocks.
+    """
+    placed = block_pairs(marks, block_rows, within)
+    keys = [*([within] if within else []), "bi", "bj"]
+    rest = [c for c in marks.columns if c != within]
+    a, b = (placed.select(*keys, F.col("side").alias(f"side_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in rest]) for s in "ab")
+    # inside a block every two rows meet both ways round, between blocks once
+    met = a.join(b, keys).where(F.when(F.col("bi") == F.col("bj"), F.col("mark_a") < F.col("mark_b")).otherwise((F.col("side_a") == 0) & (F.col("side_b") == 1)))
+    swap = F.col("mark_b") < F.col("mark_a")
+    out = [x for c in rest for x in (F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a"), F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b"))]
+    return met.select(*([within] if within else []), *out)
+
+
+def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of either side of a task's two blocks, and whether they are the same block."""
+    side = table.column("side").to_numpy()
+    same = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
+    return (np.arange(len(side)),) * 2 + (True,) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)
+
+
 def score_blocks(
     marks: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], block_rows: int = 2000, within: str | None = None
 ) -> DataFrame:
-    """mark_a < mark_b and their score, for all unordered pairs of marks(mark, signature); score works on two matrices at once.
+    """mark_a < mark_b and their score, for all unordered pairs of marks(mark, signature), of one group each if ``within`` is given; score works on two matrices at once.
 
     Signatures of a block have one length. A pair whose signature is missing scores null.
     """
-    n = marks.count()
-    placed = block_pairs(marks.select("mark", "signature", *([within] if within else [])), blocks_for(n, block_rows, marks.sparkSession.sparkContext.defaultParallelism), within)
+    keys = [within] if within else []
+    placed = block_pairs(marks.select("mark", "signature", *keys), block_rows, within)
+    schema = marks.select(*keys).schema
 
     def run(table: pa.Table) -> pa.Table:
         mark = table.column("mark").to_numpy()
-        side = table.column("side").to_numpy()
         kept = np.array([x is not None for x in table.column("signature").to_pylist()]) if table.column("signature").null_count else np.ones(len(mark), bool)
         flat = table.column("signature").combine_chunks()
         width = len(flat[int(np.flatnonzero(kept)[0])]) if kept.any() else 0
         matrix = np.full((len(mark), width), np.nan)
         if kept.any():
             matrix[kept] = flat.flatten().to_numpy().astype(np.float64).reshape(-1, width)
-        same = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
-        left = np.flatnonzero(side == 0) if not same else np.arange(len(mark))
-        right = np.flatnonzero(side == 1) if not same else np.arange(len(mark))
+        left, right, same = sides(table)
         values = score(matrix[left], matrix[right])
         a, b = np.meshgrid(mark[left], mark[right], indexing="ij")
         keep = a < b if same else np.ones(a.shape, bool)
         a, b, v = a[keep], b[keep], values[keep]
-        return pa.table({"mark_a": np.minimum(a, b), "mark_b": np.maximum(a, b), "score": pa.array(v, from_pandas=True)})
+        own = {k: pa.repeat(table.column(k)[0], len(a)) for k in keys}
+        return pa.table({**own, "mark_a": np.minimum(a, b), "mark_b": np.maximum(a, b), "score": pa.array(v, from_pandas=True)})
 
     kind = dict(marks.dtypes)["mark"]
-    keys = [within] if within else []
-    return placed.groupBy(*keys, "bi", "bj").applyInArrow(run, f"mark_a {kind}, mark_b {kind}, score double")
+    own = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in schema)
+    return placed.groupBy(*keys, "bi", "bj").applyInArrow(run, f"{own}mark_a {kind}, mark_b {kind}, score double")
+
+
+def sampled_pairs(marks: DataFrame, kind: str, most: int, seed: int = 0, block_rows: int = 2000) -> DataFrame:
+    """mark_a < mark_b, source_a, source_b, label, within, of marks(mark, source, <kind>): all same-source pairs, and at most ``most``
+    different-source ones of those alike in kind (within) and of those that differ, in seeded order; nothing is scored.
+
+    Each task looks through the pairs of its two blocks and hands on the ``most`` first of
+    either stratum, so different-source pairs are never listed. Null kinds are alike.
+    """
+    names = ["mark", "source", kind]
+    placed = block_pairs(marks.select(*names), block_rows)
+
+    def firsts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The places of the ``most`` least digests of pairs, and the digests."""
+        digests = [hashlib.sha256(f"{seed}|{x}|{y}".encode()).digest() for x, y in zip(a.tolist(), b.tolist())]
+        if len(digests) <= most:
+            return np.arange(len(digests)), digests
+        head = np.frombuffer(b"".join(digests), ">u8")[::4]
+        near = np.flatnonzero(head <= np.partition(head, most - 1)[most - 1])
+        near = np.array(sorted(near.tolist(), key=lambda i: digests[i])[:most])
+        return near, [digests[i] for i in near]
+
+    def run(table: pa.Table) -> pa.Table:
+        mark = table.column("mark").to_numpy()
+        source, alike = (pa.chunked_array([c]).combine_chunks() if isinstance(c, pa.Array) else c.combine_chunks() for c in (table.column("source"), table.column(kind)))
+        source_code, kind_code = (c.dictionary_encode("encode").indices.to_numpy() for c in (source, alike))
+        left, right, same = sides(table)
+        found = []
+        for at in range(0, len(left), 256):  # a stretch of rows at a time bounds what is held
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
+            if same:
+                i, j = i[mark[i] < mark[j]], j[mark[i] < mark[j]]
+            swap = mark[j] < mark[i]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            label, within = source_code[i] == source_code[j], kind_code[i] == kind_code[j]
+            found.append((i[label], j[label], np.ones(label.sum(), int), within[label], [None] * int(label.sum())))
+            for stratum in (True, False):
+                own = np.flatnonzero(~label & (within == stratum))
+                near, digests = firsts(mark[i[own]], mark[j[own]])
+                found.append((i[own][near], j[own][near], np.zeros(len(near), int), np.full(len(near), stratum), digests))
+        i, j, label, within = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(4))
+        digest = pa.array([d for f in found for d in f[4]], pa.binary())
+        rows = pa.table({"mark_a": mark[i], "mark_b": mark[j], "source_a": source.take(pa.array(i)), "source_b": source.take(pa.array(j)), "label": pa.array(label, pa.int32()), "within": pa.array(within.astype(bool)), "order": digest})
+        keep = [rows.filter(pa.compute.equal(rows.column("label"), 1))]
+        for stratum in (True, False):
+            part = rows.filter(pa.compute.and_(pa.compute.equal(rows.column("label"), 0), pa.compute.equal(rows.column("within"), stratum)))
+            keep.append(part.take(pa.array(sorted(range(len(part)), key=part.column("order").to_pylist().__getitem__)[:most], pa.int64())))
+        return pa.concat_tables(keep)
+
+    kinds = dict(marks.dtypes)
+    schema = f"mark_a {kinds['mark']}, mark_b {kinds['mark']}, source_a {kinds['source']}, source_b {kinds['source']}, label int, within boolean, order binary"
+    rows = reused(placed.groupBy("bi", "bj").applyInArrow(run, schema))
+    rank = F.row_number().over(Window.partitionBy("within").orderBy("order"))
+    few = rows.where("label = 0").withColumn("rank", rank).where(F.col("rank") <= most)
+    return rows.where("label = 1").drop("order").union(few.drop("order", "rank"))
+
+
+def score_pairs(pairs: DataFrame, marks: DataFrame, one: Callable[..., list[tuple]], fields: str, block_rows: int = 2000) -> DataFrame:
+    """pairs(mark_a, mark_b, ...) with the fields that ``one(a, b)`` gives for the rows of their marks, a row for each tuple of its list, and error.
+
+    A pair that cannot be scored is set apart instead of failing its task: one row of null
+    fields with the error; a missing mark is one, too, and what ``one`` raises. No pair is
+    tried again in another way. Marks travel to the pairs of blocks that ask for them, once
+    each, not once a pair.
+    """
+    blocks = max(1, -(-marks.count() // block_rows))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    keyed = pairs.withColumns({"bi": F.least(own("mark_a"), own("mark_b")), "bj": F.greatest(own("mark_a"), own("mark_b"))})
+    asked = keyed.select(F.col("bi").alias("ti"), F.col("bj").alias("tj"), F.explode(F.array("mark_a", "mark_b")).alias("mark")).distinct()
+    sent = asked.join(marks, "mark")
+    names = [f.split()[0] for f in fields.split(", ")]
+    kept = pairs.columns
+
+    def run(rows: pa.Table, held: pa.Table) -> pa.Table:
+        known = {m: r for m, r in zip(held.column("mark").to_pylist(), held.to_pylist())}
+        taken, out = [], []
+        for at, (a, b) in enumerate(zip(rows.column("mark_a").to_pylist(), rows.column("mark_b").to_pylist())):
+            try:
+                missing = [m for m in (a, b) if m not in known]
+                if missing:
+                    raise LookupError(f"no mark {missing[0]}")
+                found = [(*values, None) for values in one(known[a], known[b])]
+            except Exception as e:  # noqa: BLE001  a bad pair is a row of its own
+                found = [(*[None] * len(names), f"{type(e).__name__}: {e}"[:200])]
+            taken += [at] * len(found)
+            out += found
+        given = rows.select(kept).take(pa.array(taken, pa.int64()))
+        columns = {n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip([*names, "error"], types))}
+        return pa.table({**{c: given.column(c) for c in kept}, **columns})
+
+    kinds = [f"{c} {t}" for c, t in pairs.dtypes]
+    types = to_arrow_schema(StructType.fromDDL(f"{fields}, error string")).types
+    return keyed.groupBy("bi", "bj").cogroup(sent.groupBy("ti", "tj")).applyInArrow(run, ", ".join([*kinds, fields, "error string"]))
+
+
+def failures(scored: DataFrame) -> DataFrame:
+    """Pairs set apart by score_pairs, with the kind of their error; to be counted beside the result."""
+    return scored.where("error is not null").select("mark_a", "mark_b", F.lit("pair_crash").alias("rule"), F.regexp_extract("error", "^([A-Za-z]+)", 1).alias("kind"), "error")
 
 
 def dot_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

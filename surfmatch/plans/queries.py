@@ -177,25 +177,28 @@ def calibrated_report(spark, sf):
     return rounded(calibration.report(scored).select("mark_a", "mark_b", "log10_lr", "bound_hit", "direction", "verbal"), 3)
 
 
+#: Digits of scores that fits read: as good as unrounded, yet alike however an inner product is summed up.
+WHOLE = 9
+
 LOSO_COUNTS = """sets AS (SELECT DISTINCT least(source_a, source_b) AS a_, greatest(source_a, source_b) AS b_ FROM pairs),
 h AS (SELECT a_ || '|' || b_ AS g, score, label, count(*)::DOUBLE AS n FROM sets s JOIN pairs p ON source_a NOT IN (a_, b_) AND source_b NOT IN (a_, b_) GROUP BY 1, 2, 3)"""
 
 
-@query("leave_sources_out_models", f"WITH {V.sql_pairs(2)}, {LOSO_COUNTS}, {V.sql_newton('h', 'g')} SELECT g AS sources, round(a, 3) AS coef, round(b, 3) AS intercept FROM n18")
+@query("leave_sources_out_models", f"WITH {V.sql_pairs(WHOLE)}, {LOSO_COUNTS}, {V.sql_newton('h', 'g')} SELECT g AS sources, round(a, 3) AS coef, round(b, 3) AS intercept FROM n18")
 def leave_sources_out_models(spark, sf):
-    models = calibration.leave_sources_out(V.scored_pairs(spark, sf, 2))
+    models = calibration.leave_sources_out(V.scored_pairs(spark, sf, WHOLE))
     return rounded(models.select(F.concat_ws("|", "a", "b").alias("sources"), "coef", "intercept"), 3)
 
 
 @query(
     "leave_sources_out_lrs",
-    f"""WITH {V.sql_pairs(2)}, {LOSO_COUNTS}, {V.sql_newton('h', 'g')},
+    f"""WITH {V.sql_pairs(WHOLE)}, {LOSO_COUNTS}, {V.sql_newton('h', 'g')},
     t AS (SELECT g, log10(greatest(least(sum(CASE WHEN label = 1 THEN n ELSE 0 END), sum(CASE WHEN label = 0 THEN n ELSE 0 END)), 10)) AS bound FROM h GROUP BY g),
     q AS (SELECT p.*, {CLIPPED} AS post, bound FROM pairs p JOIN n18 ON g = least(source_a, source_b) || '|' || greatest(source_a, source_b) JOIN t USING (g))
     SELECT mark_a, mark_b, round(log10(least(greatest(post / (1 - post), pow(10, -bound)), pow(10, bound))), 3) + 0.0 AS log10_lr FROM q""",
 )
 def leave_sources_out_lrs(spark, sf):
-    out = calibration.leave_sources_out_lrs(V.scored_pairs(spark, sf, 2))
+    out = calibration.leave_sources_out_lrs(V.scored_pairs(spark, sf, WHOLE))
     return rounded(out.select("mark_a", "mark_b", F.log10("lr").alias("log10_lr")), 3)
 
 
@@ -291,9 +294,8 @@ def lever_margins(spark, sf):
     FROM m a JOIN m b ON a.study = b.study AND a.id < b.id""",
 )
 def pairs_within_study(spark, sf):
-    m = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("study"), (F.col("s_suppkey") % 3).alias("source"), F.sha2("s_name", 256).alias("h"))
-    a, b = (m.select("study", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "source", "h")]) for s in "ab")
-    rows = a.join(b, "study").where("id_a < id_b")
+    m = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("mark"), F.col("s_nationkey").alias("study"), (F.col("s_suppkey") % 3).alias("source"), F.sha2("s_name", 256).alias("h"))
+    rows = pairs.paired(m, "study")
     swap = F.col("h_b") < F.col("h_a")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return rows.select(
@@ -302,6 +304,41 @@ def pairs_within_study(spark, sf):
     )
 
 
+@query(
+    "study_pair_scores",
+    f"""WITH {V.SQL_MARKS}, s AS (SELECT *, CASE WHEN mark % 10 < 9 THEN 0 ELSE 1 + mark % 7 END AS study FROM m)
+    SELECT a.study, a.mark AS mark_a, b.mark AS mark_b, round(list_dot_product(a.sig, b.sig), 6) + 0.0 AS score FROM s a JOIN s b ON a.study = b.study AND a.mark < b.mark""",
+)
+def study_pair_scores(spark, sf):
+    """Scores of all pairs within a study, of which one holds nine tenths of the marks."""
+    study = F.when(F.col("mark") % 10 < 9, 0).otherwise(1 + F.col("mark") % 7).cast("int")
+    return rounded(pairs.score_blocks(V.marks(spark, sf).withColumn("study", study), pairs.dot_product, within="study"))
+
+
+@query(
+    "pair_failures",
+    f"""WITH {V.SQL_MARKS}, s AS (SELECT mark, source, lead(mark) OVER (PARTITION BY source ORDER BY mark) AS other FROM m),
+    p AS (SELECT s.source, s.mark % 10 = 0 OR other % 10 = 0 AS lost, (s.mark % 7 = 0) <> (other % 7 = 0) AS cut, list_dot_product(CASE WHEN s.mark % 7 = 0 THEN a.sig[1:32] ELSE a.sig END, CASE WHEN s.mark % 7 <> 0 OR other % 7 <> 0 THEN
+      CASE WHEN s.mark % 7 = 0 THEN b.sig[1:32] ELSE b.sig END ELSE b.sig[1:32] END) AS v FROM s JOIN m a ON a.mark = s.mark JOIN m b ON b.mark = s.other)
+    SELECT source, count(*) AS n_pairs, count(*) FILTER (NOT lost AND NOT cut) AS n_scored, count(*) FILTER (lost) AS n_missing, count(*) FILTER (cut AND NOT lost) AS n_broken,
+      round(sum(v) FILTER (NOT lost AND NOT cut), 6) + 0.0 AS total FROM p GROUP BY source""",
+)
+def pair_failures(spark, sf):
+    """Every mark against the next one of its source, where some marks have lost their signature and some a part of it: failures are counted beside the scores."""
+    from pyspark.sql.window import Window
+
+    m = V.marks(spark, sf)
+    nxt = m.select("source", F.col("mark").alias("mark_a"), F.lead("mark").over(Window.partitionBy("source").orderBy("mark")).alias("mark_b")).where("mark_b is not null")
+    kept = m.select("mark", F.when(F.col("mark") % 7 == 0, F.slice("signature", 1, 32)).when(F.lit(True), F.col("signature")).alias("signature"))
+    kept = kept.withColumn("signature", F.when(F.col("mark") % 10 != 0, F.col("signature")))
+
+    scored = pairs.score_pairs(nxt, kept, signals.plain_product, "score double", 500)
+    n = lambda test: F.count(F.when(test, 1))
+    broken = F.col("error").isNotNull()
+    missing = broken & F.col("error").contains("no signature")
+    return rounded(scored.groupBy("source").agg(F.count("*").alias("n_pairs"), n(~broken).alias("n_scored"), n(missing).alias("n_missing"), n(broken & ~missing).alias("n_broken"), F.sum("score").alias("total")))
+
+
 @query("mark_identities", "SELECT o_custkey, CASE WHEN count(*) = 1 THEN min(sha256(o_orderkey::VARCHAR)) ELSE sha256(array_to_string(list_sort(list(sha256(o_orderkey::VARCHAR))), chr(10))) END AS mark_hash FROM orders GROUP BY o_custkey")
 def mark_identities(spark, sf):
     scans = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("hashes"))
@@ -321,12 +358,31 @@ def hardest_pairs(spark, sf):
     SELECT within, count(*) FILTER (label = 1) AS n_km, count(*) FILTER (label = 0) AS n_knm, round(any_value(auc), 6) AS auc FROM c JOIN {V.sql_auc('c', 'within')} USING (within) GROUP BY within""",
 )
 def stratified_pairs(spark, sf):
-    rows = V.scored_pairs(spark, sf).withColumn("within", F.col("mark_a") % 3 == F.col("mark_b") % 3)
-    chosen = pairs.stratified(rows, ("within",), 500)
+    chosen = V.sampled(spark, sf)
     counts = chosen.groupBy("within").agg(F.count(metrics.of_class(1, F.lit(1))).alias("n_km"), F.count(metrics.of_class(0, F.lit(1))).alias("n_knm"))
     return rounded(counts.join(metrics.auc(chosen, ("within",)), "within"))
 
 
+def sql_stratum(within: bool) -> str:
+    """One stratum's summary, its folds from its own sources."""
+    return f"""SELECT * FROM (WITH every AS (SELECT * FROM chosen WHERE within = {within}), pairs AS (SELECT * FROM every), {V.SQL_FOLDS}, h AS (SELECT fold, score, label, count(*)::DOUBLE AS n FROM frozen WHERE side = 'train' GROUP BY 1, 2, 3),
+    {V.sql_newton('h', 'fold')}, t AS (SELECT fold, log10(greatest(least(sum(CASE WHEN label = 1 THEN n ELSE 0 END), sum(CASE WHEN label = 0 THEN n ELSE 0 END)), 10)) AS bound FROM h GROUP BY fold),
+    q AS (SELECT f.*, {CLIPPED} AS post, bound FROM frozen f JOIN n18 USING (fold) JOIN t USING (fold) WHERE side = 'test'),
+    l AS (SELECT *, least(greatest(post / (1 - post), pow(10, -bound)), pow(10, bound)) AS lr FROM q), per AS (SELECT fold, {CLLR} AS cllr FROM l GROUP BY fold), {V.sql_levels('every')}
+    SELECT {within} AS within, (SELECT count(*) FROM every) AS n_pairs, (SELECT sum(label)::BIGINT FROM every) AS n_km, (SELECT sum(1 - label)::BIGINT FROM every) AS n_knm, (SELECT round(auc, 6) FROM {V.sql_auc('every')}) AS auc,
+      (SELECT round(cllr_min, 6) FROM {V.sql_cllr_min('every')}) AS cllr_min, (SELECT count(*) FROM per) AS n_folds, (SELECT round(avg(cllr), 4) FROM per) AS fold_cllr)"""
+
+
+@query(
+    "stratum_summary",
+    f"""{PAIRS}, s AS (SELECT *, mark_a % 3 = mark_b % 3 AS within FROM pairs), k AS (SELECT *, row_number() OVER (PARTITION BY within ORDER BY sha256('0|' || mark_a || '|' || mark_b)) AS r FROM s WHERE label = 0),
+    chosen AS (SELECT * EXCLUDE (r) FROM k WHERE r <= 500 UNION ALL SELECT * FROM s WHERE label = 1) {sql_stratum(True)} UNION ALL {sql_stratum(False)}""",
+)
+def stratum_summary(spark, sf):
+    """Pairs of one kind and of two kinds, sampled before they are scored: discrimination, and cost on sources that the fit never saw."""
+    return rounded(rounded(folds.stratum_summaries(V.sampled(spark, sf), V.hash_folds), 6).withColumn("fold_cllr", F.round("fold_cllr", 4)))
+
+
 @query(
     "aligned_scorers",
     """WITH a AS (SELECT l_orderkey AS x, l_partkey + 10000000 AS y, avg(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT l_partkey + 10000000 AS x, l_orderkey AS y, sum(l_quantity) AS s FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2)
@@ -768,7 +824,7 @@ def window_consensus(spark, sf):
 
     m = V.marks(spark, sf)
     nxt = m.select(F.col("mark").alias("mark_a"), F.lead("mark").over(Window.partitionBy("source").orderBy("mark")).alias("mark_b")).where("mark_b is not null")
-    votes = signals.vote_pairs(nxt, m, 16, 8).withColumn("pair_id", F.concat_ws("-", "mark_a", "mark_b"))
+    votes = signals.vote_pairs(nxt, m, 16, 8).where("error is null").withColumn("pair_id", F.concat_ws("-", "mark_a", "mark_b"))
     every = nxt.select(F.concat_ws("-", "mark_a", "mark_b").alias("pair_id"))
     return consensus.cmr_scores(every, votes, 0.3, {"lag": 6.0})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surfmatch.operators import folds, pairs
+from surfmatch.operators import folds, pairs, signals
 
 #: Same-source pairs are shifted by this much, since the embeddings carry no source signal.
 SHIFT = 0.3
@@ -27,6 +27,14 @@ def scored_pairs(spark: SparkSession, sf: str, digits: int = 3) -> DataFrame:
     return found.withColumn("score", F.round(F.col("score") + SHIFT * F.col("label"), digits))
 
 
+def sampled(spark: SparkSession, sf: str, most: int = 500, digits: int = 3) -> DataFrame:
+    """Pairs alike or unlike in mark % 3, all same-source ones and ``most`` others of either, chosen first and then scored as scored_pairs are."""
+    m = marks(spark, sf).withColumn("kind", F.col("mark") % 3)
+    chosen = pairs.sampled_pairs(m.select("mark", "source", "kind"), "kind", most)
+    found = pairs.score_pairs(chosen, m.select("mark", "signature"), signals.plain_product, "score double")
+    return found.withColumn("score", F.round(F.col("score") + SHIFT * F.col("label"), digits)).drop("error")
+
+
 def with_lr(df: DataFrame) -> DataFrame:
     """A frozen calibration: log10 LR linear in the score, bounded at 2."""
     value = 6 * (F.col("score") - 0.15)
