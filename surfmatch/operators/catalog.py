@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surfmatch.functions.reuse import reused
+
 
 def lineage(scans: DataFrame, paths: list[tuple[str, list[tuple[DataFrame, str, str]]]]) -> DataFrame:
     """scans with the source and study they descend from, over exclusive paths.
@@ -67,7 +69,8 @@ def upsert_keys(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...],
     """
     new = incoming.select(*key).dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top")).first()["top"]
-    parts = new.repartitionByRange(*key).withColumn("_part", F.spark_partition_id())
+    # the ranges are sampled, so they are drawn once for numbers and sizes
+    parts = reused(new.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()))
     parts = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*key)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "before")

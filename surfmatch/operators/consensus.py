@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,24 @@ def bands(found: DataFrame, length_a: str = "length_a", length_b: str = "length_
         F.col("home").alias("x_a"), (F.col("home") / F.col(length_a)).alias("x_frac_a"), (F.col("window") / F.col(length_a)).alias("w_frac_a"),
         F.bround(at_b).cast("long").alias("x_b"), (at_b / F.col(length_b)).alias("x_frac_b"), (F.col("window") / F.col(length_b)).alias("w_frac_b"),
     )
+
+
+def boxes(found: DataFrame, on_b: bool = False) -> DataFrame:
+    """Attribution of two-dimensional members(pair_id, region_id, y, x, h, w, dy, dx, corr, ny, nx): the box of each and its shares of the map.
+
+    Boxes lie where they are on A, or with ``on_b`` where they match on B, kept inside the
+    map; ny and nx are the map's own size. Places are rounded half to even, shares are not.
+    """
+
+    def place(at: str, shift: str, size: str, limit: str) -> Column:
+        if not on_b:
+            return F.col(at).cast("double")
+        room = F.greatest(F.col(limit) - F.col(size), F.lit(0)).cast("double")
+        return F.least(F.greatest(F.col(at) + F.col(shift), F.lit(0.0)), room)
+
+    y, x = place("y", "dy", "h", "ny"), place("x", "dx", "w", "nx")
+    share = lambda value, limit: F.try_divide(value, F.col(limit))
+    return found.select(
+        "pair_id", "region_id", F.bround(y).cast("int").alias("y"), F.bround(x).cast("int").alias("x"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), "corr",
+        share(y, "ny").alias("y_frac"), share(x, "nx").alias("x_frac"), share(F.col("h"), "ny").alias("h_frac"), share(F.col("w"), "nx").alias("w_frac"),
+    )

@@ -124,8 +124,8 @@ def disjoint_validation(pairs: DataFrame, folds: DataFrame) -> DataFrame:
     """Per fold: fit on the train sources, score the held-out ones; of pairs with a score, or of their counts."""
     pairs = pairs if "n" in pairs.columns else pair_counts(pairs, "score")
     counts = reused(frozen(pairs, folds).groupBy("fold", "side", "score", "label").agg(F.sum("n").alias("n")))
-    models = reused(calibration.fit_counts(counts.where("side = 'train'").drop("side"), ("fold",)))
-    tested = calibration.apply_logistic(counts.where("side = 'test'"), models, ("fold",))
+    models = calibration.fit_counts(counts.where("side = 'train'").drop("side"), ("fold",))
+    tested = reused(calibration.apply_logistic(counts.where("side = 'test'"), models, ("fold",)))
     out = tested.groupBy("fold").agg(F.sum("n").alias("n_pairs"))
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc):
         out = out.join(part(tested, ("fold",)), "fold")
@@ -153,14 +153,15 @@ def stratum_summaries(chosen: DataFrame, folds_of: Callable[[DataFrame], DataFra
 
 
 def lever_table(pairs: DataFrame, folds: DataFrame, levers: tuple[str, ...]) -> DataFrame:
-    """Metrics of every lever and fold from pairs with a column for each lever, in one plan."""
+    """Metrics of every lever and fold from pairs with a column for each lever, in one plan, on counts of each lever's scores."""
     stack = F.explode(F.array(*[F.struct(F.lit(x).alias("lever"), F.col(x).cast("double").alias("score")) for x in levers]))
-    rows = frozen(pairs, folds).withColumn("x", stack).select("fold", "side", "label", "x.*")
+    rows = pairs.withColumn("x", stack).select("source_a", "source_b", "label", "x.*")
+    counts = reused(rows.groupBy("source_a", "source_b", "lever", "score", "label").agg(F.count("*").alias("n")))
     by = ("lever", "fold")
-    counts = reused(rows.groupBy(*by, "side", "score", "label").agg(F.count("*").alias("n")))
-    models = reused(calibration.fit_counts(counts.where("side = 'train'").drop("side"), by))
-    tested = calibration.apply_logistic(counts.where("side = 'test'"), models, by)
-    out = metrics.margin(rows.where("side = 'test'"), by)
+    counts = reused(frozen(counts, folds).groupBy(*by, "side", "score", "label").agg(F.sum("n").alias("n")))
+    models = calibration.fit_counts(counts.where("side = 'train'").drop("side"), by)
+    tested = reused(calibration.apply_logistic(counts.where("side = 'test'"), models, by))
+    out = metrics.margin(tested, by)
     for part in (metrics.cllr, metrics.cllr_min, metrics.auc):
         out = out.join(part(tested, by), list(by))
     return out

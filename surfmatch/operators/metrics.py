@@ -1,7 +1,7 @@
 """Measures of scores and likelihood ratios, each for every group of ``by`` in one plan.
 
 Inputs hold label (1 same source, 0 different) and score or lr; a column n, where
-there is one, says how many pairs a row stands for (cllr, auc, cllr_min, ece). Scores
+there is one, says how many pairs a row stands for. Scores
 are counted per distinct value first, so running sums meet distinct scores, not pairs.
 """
 
@@ -119,28 +119,47 @@ def tippett(df: DataFrame, n: int = 100) -> DataFrame:
     return rows.where(F.col("i").isNotNull()).join(F.broadcast(size)).select("i", F.col("t").alias("threshold"), (F.col("km") / F.col("n1")).alias("km"), (F.col("knm") / F.col("n0")).alias("knm"))
 
 
+def mean_of(label: int, value: Column, n: Column) -> Column:
+    """Mean of a class, each row standing for n pairs; null values do not count."""
+    known = F.when(value.isNotNull(), n)
+    return F.try_divide(F.sum(of_class(label, value * n)), F.sum(of_class(label, known)).cast("double"))
+
+
 def margin(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Cohen's d with pooled sample variance, and the gap between the 5th percentile of KM and the 95th of KNM."""
+    """Cohen's d with pooled sample variance, and the gap between the 5th percentile of KM and the 95th of KNM; of rows, or of counts in a column n."""
     score = F.col("score")
-    c = lambda y: F.count(of_class(y, score))
-    pooled = ((c(1) - 1) * F.var_samp(of_class(1, score)) + (c(0) - 1) * F.var_samp(of_class(0, score))) / F.greatest(c(1) + c(0) - 2, F.lit(1))
-    d = F.when(pooled > 0, (F.avg(of_class(1, score)) - F.avg(of_class(0, score))) / F.sqrt(pooled)).otherwise(F.lit(0.0))
-    gap = F.percentile(of_class(1, score), F.lit(0.05)) - F.percentile(of_class(0, score), F.lit(0.95))
-    both = (c(1) > 0) & (c(0) > 0)
-    return df.groupBy(*by).agg(F.when(both, d).alias("cohens_d"), F.when(both, gap).alias("pct_gap"))
+    if "n" in df.columns:
+        # squares are summed about a mean of the group, so that no large numbers cancel
+        df = df.join(df.groupBy(*by).agg(mean_of(1, score, F.col("n")).alias("mean_1"), mean_of(0, score, F.col("n")).alias("mean_0")), list(by)) if by else df.join(F.broadcast(df.agg(mean_of(1, score, F.col("n")).alias("mean_1"), mean_of(0, score, F.col("n")).alias("mean_0"))))
+        size = lambda y: F.coalesce(F.sum(of_class(y, F.col("n"))), F.lit(0))
+        mean = {y: F.first(f"mean_{y}") for y in (0, 1)}
+        squares = lambda y: F.coalesce(F.sum(of_class(y, F.pow(score - F.col(f"mean_{y}"), F.lit(2.0)) * F.col("n"))), F.lit(0.0))
+        at = lambda y, p: F.percentile(of_class(y, score), F.lit(p), F.col("n"))
+    else:
+        size = lambda y: F.count(of_class(y, score))
+        mean = {y: F.avg(of_class(y, score)) for y in (0, 1)}
+        squares = lambda y: F.coalesce((F.count(of_class(y, score)) - 1) * F.var_samp(of_class(y, score)), F.lit(0.0))
+        at = lambda y, p: F.percentile(of_class(y, score), F.lit(p))
+    pooled = (squares(1) + squares(0)) / F.greatest(size(1) + size(0) - 2, F.lit(1))
+    d = F.when(pooled > 0, (mean[1] - mean[0]) / F.sqrt(pooled)).otherwise(F.lit(0.0))
+    both = (size(1) > 0) & (size(0) > 0)
+    return df.groupBy(*by).agg(F.when(both, d).alias("cohens_d"), F.when(both, at(1, 0.05) - at(0, 0.95)).alias("pct_gap"))
 
 
 def lr_separation(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean log10 LR of KM less that of KNM."""
-    return df.groupBy(*by).agg((F.avg(of_class(1, F.log10("lr"))) - F.avg(of_class(0, F.log10("lr")))).alias("lr_separation"))
+    n, value = count_of(df), F.log10("lr")
+    return df.groupBy(*by).agg((mean_of(1, value, n) - mean_of(0, value, n)).alias("lr_separation"))
 
 
 def misleading_rates(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts, cllr, shares of misleading evidence and of LRs at their bound."""
-    share = lambda y, test: F.avg(of_class(y, test.cast("double")))
+    n = count_of(df)
+    hit = F.col("bound_hit").cast("double")
     return df.groupBy(*by).agg(
-        F.sum("label").alias("n_km"), F.sum(1 - F.col("label")).alias("n_knm"), *cllr_columns(count_of(df)),
-        share(1, F.col("lr") < 1).alias("rmed"), share(0, F.col("lr") > 1).alias("rmep"), F.avg(F.col("bound_hit").cast("double")).alias("bound_limited"),
+        F.sum(F.col("label") * n).alias("n_km"), F.sum((1 - F.col("label")) * n).alias("n_knm"), *cllr_columns(n),
+        mean_of(1, (F.col("lr") < 1).cast("double"), n).alias("rmed"), mean_of(0, (F.col("lr") > 1).cast("double"), n).alias("rmep"),
+        F.try_divide(F.sum(hit * n), F.sum(F.when(hit.isNotNull(), n)).cast("double")).alias("bound_limited"),
     )
 
 
@@ -185,14 +204,15 @@ def score_histogram(df: DataFrame, bins: int = 24) -> DataFrame:
     """Counts of KM and KNM in equal bins from the least to the largest score, the last one closed."""
     ends = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     at = F.least(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    rows = df.join(F.broadcast(ends)).select("label", F.when(F.col("hi") > F.col("lo"), at).otherwise(F.lit(0)).cast("int").alias("bin"))
-    return rows.groupBy("bin").agg(F.sum("label").alias("km"), F.sum(1 - F.col("label")).alias("knm"))
+    rows = df.join(F.broadcast(ends)).select("label", count_of(df).alias("n"), F.when(F.col("hi") > F.col("lo"), at).otherwise(F.lit(0)).cast("int").alias("bin"))
+    return rows.groupBy("bin").agg(F.sum(F.col("label") * F.col("n")).alias("km"), F.sum((1 - F.col("label")) * F.col("n")).alias("knm"))
 
 
 def km_knm_summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Number, mean and extremes of KM and KNM scores, and the difference of means."""
-    s = F.col("score")
+    s, n = F.col("score"), count_of(df)
+    size = lambda y: F.coalesce(F.sum(of_class(y, F.when(s.isNotNull(), n))), F.lit(0)).cast("long")
     return df.groupBy(*by).agg(
-        F.count(of_class(1, s)).alias("n_km"), F.count(of_class(0, s)).alias("n_knm"), F.avg(of_class(1, s)).alias("mean_km"), F.avg(of_class(0, s)).alias("mean_knm"),
-        F.min(of_class(1, s)).alias("min_km"), F.max(of_class(0, s)).alias("max_knm"), (F.avg(of_class(1, s)) - F.avg(of_class(0, s))).alias("separation"),
+        size(1).alias("n_km"), size(0).alias("n_knm"), mean_of(1, s, n).alias("mean_km"), mean_of(0, s, n).alias("mean_knm"),
+        F.min(of_class(1, s)).alias("min_km"), F.max(of_class(0, s)).alias("max_knm"), (mean_of(1, s, n) - mean_of(0, s, n)).alias("separation"),
     )

@@ -419,6 +419,23 @@ def consensus_members(spark, sf):
     return consensus.members(V.votes(spark, sf), 0.7, TOL).select("pair_id", "region_id", "t1", "t2")
 
 
+@query(
+    "consensus_boxes",
+    f"""{SQL_CONSENSUS}, x AS (SELECT v.pair_id, v.region_id, v.corr, (v.region_id * 13) % 97 AS y, (v.region_id * 29) % 83 AS x, 10 + v.region_id % 5 AS h, 12 AS w, (v.t1 - 25) * 1.5 AS dy, (v.t2 - 5) * 4.5 AS dx
+      FROM votes v JOIN best b ON b.pair_id = v.pair_id JOIN g ON g.pair_id = b.pair_id AND g.region_id = b.anchor AND g.member = v.region_id),
+    s AS (SELECT *, FALSE AS on_b, y::DOUBLE AS yy, x::DOUBLE AS xx FROM x UNION ALL SELECT *, TRUE, least(greatest(y + dy, 0.0), 100.0 - h), least(greatest(x + dx, 0.0), 90.0 - w) FROM x)
+    SELECT pair_id, region_id::INT AS region_id, on_b, round_even(yy, 0)::INT AS y, round_even(xx, 0)::INT AS x, h::INT AS h, w::INT AS w, round(corr, 6) AS corr, round(yy / 100, 6) AS y_frac, round(xx / 90, 6) AS x_frac,
+      round(h / 100.0, 6)::DOUBLE AS h_frac, round(w / 90.0, 6)::DOUBLE AS w_frac FROM s""",
+)
+def consensus_boxes(spark, sf):
+    """The members of each pair's consensus as boxes on a map of 100 by 90, where they lie on A and where they match on B."""
+    found = consensus.members(V.votes(spark, sf), 0.7, TOL)
+    r = F.col("region_id")
+    found = found.select("pair_id", "region_id", "corr", (r * 13 % 97).alias("y"), (r * 29 % 83).alias("x"), (10 + r % 5).alias("h"), F.lit(12).alias("w"), ((F.col("t1") - 25) * 1.5).alias("dy"), ((F.col("t2") - 5) * 4.5).alias("dx"))
+    found = found.withColumns({"ny": F.lit(100), "nx": F.lit(90)})
+    return rounded(consensus.boxes(found).withColumn("on_b", F.lit(False)).unionByName(consensus.boxes(found, True).withColumn("on_b", F.lit(True))))
+
+
 @query(
     "consensus_bands",
     f"""{SQL_CONSENSUS} SELECT v.pair_id, v.region_id::INT AS region_id, round(v.corr, 6) AS corr, v.region_id * 10 AS x_a, round(v.region_id * 10 / 200.0, 6) AS x_frac_a, round(20 / 200.0, 6) AS w_frac_a,
@@ -672,6 +689,39 @@ def harvested_links(spark, sf):
     return readers.links(table(spark, sf, "pages"), "page_id", F.col("html"), r'href="([^"]*)"')
 
 
+def guid(text: str) -> str:
+    """An identifier made from a text, in SQL of both engines."""
+    return "concat_ws('-', " + ", ".join(f"substring(md5({text}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ")"
+
+
+ORDER_ID, LINE_ID = guid("concat('o', o_orderkey)"), guid("concat('l', l_orderkey, '.', l_linenumber)")
+SCAN_ID = guid("concat('m', l_orderkey, '.', l_linenumber, '.', k)")
+
+
+@query(
+    "harvested_scans",
+    f"""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders WHERE o_orderkey % 5 <> 0),
+    d AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM d)
+    SELECT o_custkey AS root, 'Barrel' || f || '_Bullet' || b || '_Land' || k || '.x3p' AS name, {SCAN_ID} AS id FROM o JOIN b ON l_orderkey = o_orderkey, (SELECT unnest(range(1, 4)) AS k) WHERE k <= 1 + q % 3""",
+)
+def harvested_scans(spark, sf):
+    """Three levels of pages: a customer's orders with labels (some of no known source), an order's lines, a line's scans; every link twice."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("q"))
+
+    def page(rows: DataFrame, of: str, order: str, link: str) -> DataFrame:
+        links = F.transform(F.array_sort(F.collect_list(F.struct(order, F.expr(link).alias("link")))), lambda x: x["link"])
+        return rows.groupBy(F.expr(of).alias("page")).agg(F.concat(F.lit("<html><body>"), F.array_join(links, "\n"), F.lit("</body></html>")).alias("html"))
+
+    label = "CASE WHEN o_orderkey % 5 = 0 THEN ' <b>Unk</b> ' ELSE concat('G', o_orderkey) END"
+    again = "CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE 'Bullet / CC' END"
+    first = page(orders, "concat('c', o_custkey)", "o_orderkey", f"""concat('<a href="/Firearm/Details/', {ORDER_ID}, '">', {label}, '</a> <a href="/Firearm/Details/', {ORDER_ID}, '?x=1">', {again}, '</a>')""")
+    second = page(lines, ORDER_ID.replace("o_orderkey", "l_orderkey"), "l_linenumber", f"""concat('<a href="/Bullet/Details/', {LINE_ID}, '">a</a><a href="/Bullet/Details/', {LINE_ID}, '">b</a>')""")
+    third = page(lines.select("*", F.explode(F.sequence(F.lit(1), (1 + F.col("q") % 3).cast("int"))).alias("k")), LINE_ID, "k", f"""concat('<a href="/BulletMeasurement/Details/', {SCAN_ID}, '">', k, '</a>')""")
+    roots = orders.select(F.col("o_custkey").alias("root"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("page")).distinct()
+    return readers.harvested(first.union(second).union(third), roots)
+
+
 @query("ordered_profiles", "SELECT l_orderkey AS tid, string_agg(l_quantity::INT::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS profile FROM lineitem GROUP BY 1")
 def ordered_profiles(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("seq", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
@@ -739,9 +789,26 @@ def config_status(spark, sf):
 
 @query("content_handles", """SELECT o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || round(o_totalprice, 6) || '}') AS handle FROM orders""")
 def content_handles(spark, sf):
+    """Handles of single rows."""
     return reports.content_handles(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_totalprice"]).select("o_orderkey", "handle")
 
 
+@query(
+    "nested_handles",
+    """WITH o AS (SELECT o_custkey, o_orderkey, '{"key":' || o_orderkey || ',"price":' || round(o_totalprice / 8, 6) || '}' AS item, o_orderstatus AS st FROM orders),
+    g AS (SELECT o_custkey, string_agg(item, ',' ORDER BY o_orderkey) AS items FROM o GROUP BY 1), s AS (SELECT o_custkey, string_agg('"' || st || '":' || n || '', ',' ORDER BY st) AS tally FROM (SELECT o_custkey, st, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1)
+    SELECT o_custkey, sha256('{"detail":{"orders":[' || items || '],"tally":{' || tally || '}},"o_custkey":' || o_custkey || '}') AS handle FROM g JOIN s USING (o_custkey)""",
+)
+def nested_handles(spark, sf):
+    """Handles of customers with all their orders: structs in an array, a map, doubles rounded within."""
+    orders = table(spark, sf, "orders")
+    tally = orders.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("tally"))
+    items = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") / 8).alias("price")))).alias("orders"))
+    rows = items.join(tally, "o_custkey").select("o_custkey", F.struct("orders", "tally").alias("detail"))
+    return reports.content_handles(rows, ["o_custkey", "detail"]).select("o_custkey", "handle")
+
+
+
 PROTOCOL_SQL = f"""{PAIRS_LR}, r AS (SELECT vec_id AS mark, vec_id AS seq, CASE WHEN vec_id % 50 <> 0 THEN label END AS source, sha256((CASE WHEN vec_id % 40 = 7 THEN vec_id - 1 ELSE vec_id END)::VARCHAR) AS h,
       vec_id % 61 <> 0 AS parse_ok, vec_id % 23 <> 0 AS scope_ok, vec_id % 97 <> 0 AS signature_ok FROM embeddings),
     c AS (SELECT h, count(DISTINCT source) AS n FROM r GROUP BY h), e AS (SELECT r.*, parse_ok AND source IS NOT NULL AND n = 1 AS ok FROM r JOIN c USING (h)), f AS (SELECT *, min(CASE WHEN ok THEN seq END) OVER (PARTITION BY h) AS first FROM e),
