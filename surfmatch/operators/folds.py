@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -187,15 +188,25 @@ def leaderboard(entries: DataFrame, most: int = 100) -> DataFrame:
 
 
 def split_hash(pairs: DataFrame, tests: DataFrame) -> str:
-    """Digest of a split: one line a pair with the folds that test it, sorted; lines stream to the driver in order."""
-    of = tests.groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set("fold")), ";").alias("folds"))
-    line = F.concat_ws(",", "pair_id", "hash_a", "hash_b", F.col("label").cast("string"), F.coalesce("folds", F.lit("")))
-    lines = pairs.join(of, "pair_id", "left").select(line.alias("line")).sort("line")
-    digest, first = hashlib.sha256(), True
-    for row in lines.toLocalIterator(prefetchPartitions=True):
-        digest.update((row[0] if first else "\n" + row[0]).encode())
-        first = False
-    return digest.hexdigest()
+    """Digest of a split: one line a pair with the folds that test it, sorted and joined.
+
+    A digest of a text is one chain, so a single task reads the sorted lines; they come
+    to it batch by batch, and only the digest comes to the driver.
+    """
+    of = tests.groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set("fold")), ";").alias("tested"))
+    line = F.concat_ws(",", "pair_id", "hash_a", "hash_b", F.col("label").cast("string"), F.coalesce("tested", F.lit("")))
+    lines = pairs.join(of, "pair_id", "left").select(line.alias("line"))
+
+    def run(batches):
+        digest, first = hashlib.sha256(), True
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                digest.update((text if first else "\n" + text).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
+
+    found = lines.repartition(1).sortWithinPartitions("line").mapInArrow(run, "digest string").first()
+    return found[0] if found else hashlib.sha256().hexdigest()
 
 
 def lock_mismatches(pairs: DataFrame, reference: DataFrame) -> DataFrame:
@@ -240,6 +251,8 @@ def build_split(first: DataFrame, second: DataFrame, marks: DataFrame, rng: str
     for s in "ab":
         both = both.join(marks.select(F.col("mark").alias(f"mark_{s}"), F.col("source").alias(f"source_{s}"), F.col("content_hash").alias(f"hash_{s}")), f"mark_{s}")
     both = both.where("source_a is not null and source_b is not null and hash_a is not null and hash_b is not null")
+    swap = F.col("hash_b") < F.col("hash_a")  # the lesser content comes first, with its source
+    both = both.withColumns({f"{c}_{s}": F.when(swap, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")) for c in ("source", "hash") for s, o in ("ab", "ba")})
     both = both.withColumns({"pair_id": pair_id(F.col("hash_a"), F.col("hash_b")), "label": (F.col("source_a") == F.col("source_b")).cast("int")})
     kept = reused(first_of(both, ("pair_id",), ("mark_a", "mark_b")).withColumn("score", F.col("score_1")))
     members = frozen(kept, held_out(kept, seed=seed, rng=rng))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surfmatch.functions import columns as C
+from surfmatch.functions.reuse import shared_folder
 from surfmatch.operators import bootstrap, bullets, folds, pairs, reports
 from surfmatch.plans import views as V
 from surfmatch.plans.queries import CLIPPED, CLLR, LOSO_COUNTS, SQL, SQL_DIAGONAL, query
 from surfmatch.plans.views import rounded, table
-from surfmatch.sources import readers
+from surfmatch.sources import readers, splits
 
 # ---------------------------------------------------------------- bullets
 
@@ -245,6 +248,32 @@ def split_baseline(spark, sf):
     return rounded(frozen_benchmark(spark, sf).baseline.select("pair_id", F.log10("lr").alias("log10_lr")), 3)
 
 
+@query(
+    "written_split",
+    f"""{SQL_SPLIT}, {LOSO_COUNTS}, {V.sql_newton('h', 'g')},
+    t AS (SELECT g, log10(greatest(least(sum(CASE WHEN label = 1 THEN n ELSE 0 END), sum(CASE WHEN label = 0 THEN n ELSE 0 END)), 10)) AS bound FROM h GROUP BY g),
+    q AS (SELECT p.pair_id, {CLIPPED} AS post, bound FROM pairs p JOIN n18 ON g = least(source_a, source_b) || '|' || greatest(source_a, source_b) JOIN t USING (g)),
+    s AS (SELECT pair_id, least(greatest(post / (1 - post), pow(10, -bound)), pow(10, bound)) AS lr FROM q), tested AS (SELECT * FROM frozen WHERE side = 'test'),
+    per AS (SELECT fold, {CLLR} AS cllr FROM (SELECT fold, label, lr FROM tested JOIN s USING (pair_id)) GROUP BY fold), f AS (SELECT pair_id, string_agg(fold::VARCHAR, ';' ORDER BY fold) AS folds FROM tested GROUP BY pair_id),
+    lines AS (SELECT p.pair_id || ',' || least(x.hash, y.hash) || ',' || greatest(x.hash, y.hash) || ',' || label || ',' || coalesce(f.folds, '') AS line FROM pairs p JOIN ids x ON x.mark = mark_a JOIN ids y ON y.mark = mark_b LEFT JOIN f USING (pair_id))
+    SELECT (SELECT count(*) FROM pairs) AS n_pairs, (SELECT count(*) FROM tested) AS n_tests, (SELECT count(*) FROM per) AS n_folds, (SELECT count(*) FROM s) AS n_submitted, (SELECT count(DISTINCT hash) FROM ids) AS n_marks,
+      (SELECT sha256(string_agg(line, chr(10) ORDER BY line)) FROM lines) AS split_hash, (SELECT round(avg(cllr), 4) FROM per) AS cllr""",
+)
+def written_split(spark, sf):
+    """The benchmark built, written to the shared folder, read back with its hash checked, and its own submission scored."""
+    split = frozen_benchmark(spark, sf)
+    m = V.marks(spark, sf).select(F.sha2(F.expr(CONTENT.format("mark")).cast("string"), 256).alias("content_hash"), F.col("source").cast("string").alias("source"))
+    m = m.groupBy("content_hash").agg(F.min("source").alias("source"), F.array(F.col("content_hash")).alias("scan_hashes"))
+    base, name = f"{shared_folder(spark)}/splits-{uuid.uuid4().hex}", "frozen"
+    splits.write_split(split, m, base, name)
+    found = splits.read_split(spark, base, name)
+    one = splits.scored(found, found.submission).select("n_folds", F.round("cllr", 4).alias("cllr"))
+    sizes = [df.agg(F.count("*").alias(c)) for df, c in ((found.pairs, "n_pairs"), (found.tests, "n_tests"), (found.submission, "n_submitted"), (found.marks, "n_marks"))]
+    for part in sizes:
+        one = one.join(F.broadcast(part))
+    return one.withColumn("split_hash", F.lit(found.provenance["split_hash"]))
+
+
 SQL["flagship"] = f"""WITH {V.sql_pairs(2)}, {LOSO_COUNTS}, {V.sql_newton('h', 'g')},
 t AS (SELECT g, log10(greatest(least(sum(CASE WHEN label = 1 THEN n ELSE 0 END), sum(CASE WHEN label = 0 THEN n ELSE 0 END)), 10)) AS bound FROM h GROUP BY g),
 q AS (SELECT p.label, p.score, {CLIPPED} AS post, bound FROM pairs p JOIN n18 ON g = least(source_a, source_b) || '|' || greatest(source_a, source_b) JOIN t USING (g)),
