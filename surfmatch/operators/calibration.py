@@ -98,10 +98,23 @@ def fit_fusion(df: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = (
     return models if by else models.drop("all")
 
 
+def coefficients(models: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, feature, coef, mean, sd, intercept: what a fusion makes of each feature, by name."""
+    terms = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("coef")[i].alias("coef"), F.col(f"mean_{f}").alias("mean"), F.col(f"sd_{f}").alias("sd")) for i, f in enumerate(features)])
+    return models.select(*by, F.explode(terms).alias("t"), "intercept").select(*by, "t.*", "intercept")
+
+
+def decision_values(df: DataFrame, models: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the fused decision value, without a bound: standardized features times their coefficients, and the intercept."""
+    moments = [f"{m}_{f}" for m in ("mean", "sd") for f in features]
+    found = models.select(*by, "coef", "intercept", "log_bound", *moments)
+    rows = df.join(found, list(by)) if by else df.join(F.broadcast(found.limit(1)))
+    terms = [F.when(F.col(f"sd_{f}") > 0, (F.col(f) - F.col(f"mean_{f}")) / F.col(f"sd_{f}")).otherwise(F.lit(0.0)) * F.col("coef")[i] for i, f in enumerate(features)]
+    return rows.select(*df.columns, (sum(terms[1:], terms[0]) + F.col("intercept")).alias("fused"), "log_bound")
+
+
 def apply_fusion(df: DataFrame, models: DataFrame, features: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """df with the fused decision value and its lr."""
-    rows = df.join(F.broadcast(models), list(by)) if by else df.join(F.broadcast(models))
-    terms = [F.when(F.col(f"sd_{f}") > 0, (F.col(f) - F.col(f"mean_{f}")) / F.col(f"sd_{f}")).otherwise(F.lit(0.0)) * F.col("coef")[i] for i, f in enumerate(features)]
-    value = sum(terms[1:], terms[0]) + F.col("intercept")
-    lr, _ = logistic_lr(value, F.lit(1.0), F.lit(0.0), F.col("log_bound"))
-    return rows.select(*df.columns, value.alias("fused"), lr.alias("lr"))
+    rows = decision_values(df, models, features, by)
+    lr, _ = logistic_lr(F.col("fused"), F.lit(1.0), F.lit(0.0), F.col("log_bound"))
+    return rows.withColumn("lr", lr).drop("log_bound")

@@ -183,6 +183,7 @@ def score_pairs(pairs: DataFrame, marks: DataFrame, one: Callable[..., list[tupl
     kept = pairs.columns
 
     def run(rows: pa.Table, held: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("mark_b", "ascending"), ("mark_a", "ascending")])  # so that what one prepares for b serves all its pairs
         known = {m: r for m, r in zip(held.column("mark").to_pylist(), held.to_pylist())}
         taken, out = [], []
         for at, (a, b) in enumerate(zip(rows.column("mark_a").to_pylist(), rows.column("mark_b").to_pylist())):

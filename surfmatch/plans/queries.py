@@ -882,6 +882,24 @@ def profile_alignment(spark, sf):
     return rounded(signals.align_pairs(nxt, m).select("mark_a", "mark_b", "lag", "ccf"))
 
 
+@query(
+    "areal_registration",
+    f"""WITH {V.SQL_MARKS}, s AS (SELECT mark, lead(mark) OVER (PARTITION BY source ORDER BY mark) AS other FROM m),
+    c AS (SELECT s.mark AS mark_a, s.other AS mark_b, dy, dx, list_dot_product(a.sig, list_transform(range(64), lambda k: b.sig[((k // 8 - dy + 8) % 8) * 8 + (k % 8 - dx + 8) % 8 + 1])) / sqrt(list_dot_product(b.sig, b.sig)) AS v
+      FROM s JOIN m a ON a.mark = s.mark JOIN m b ON b.mark = s.other, (SELECT unnest(range(8)) AS dy), (SELECT unnest(range(8)) AS dx)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY mark_a, mark_b ORDER BY round(v, 12) DESC, dy, dx) AS k FROM c)
+    SELECT mark_a, mark_b, round(v, 6) AS score, 0.0::DOUBLE AS turn, (CASE WHEN dy > 4 THEN dy - 8 ELSE dy END)::INT AS dy, (CASE WHEN dx > 4 THEN dx - 8 ELSE dx END)::INT AS dx FROM r WHERE k = 1""",
+)
+def areal_registration(spark, sf):
+    """Signatures as maps of 8 by 8, each against the next one of its source: the circular shift that fits best."""
+    from pyspark.sql.window import Window
+
+    m = V.marks(spark, sf)
+    nxt = m.select(F.col("mark").alias("mark_a"), F.lead("mark").over(Window.partitionBy("source").orderBy("mark")).alias("mark_b")).where("mark_b is not null")
+    found = signals.areal_scores(nxt, signals.packed_maps(m.select("mark", F.col("signature").alias("values"))), (0.0,))
+    return rounded(found.drop("error"))
+
+
 @query("window_consensus")
 def window_consensus(spark, sf):
     """Every mark against the next one of its source: windows that agree on a lag, and how many do."""
