@@ -13,7 +13,7 @@ from surfmatch.operators import bootstrap, bullets, folds, pairs, reports
 from surfmatch.plans import views as V
 from surfmatch.plans.queries import CLIPPED, CLLR, LOSO_COUNTS, SQL, SQL_DIAGONAL, query
 from surfmatch.plans.views import rounded, table
-from surfmatch.sources import readers, splits
+from surfmatch.sources import readers, splits, stores
 
 # ---------------------------------------------------------------- bullets
 
@@ -291,3 +291,43 @@ SELECT sum(label)::BIGINT AS n_km, sum(1 - label)::BIGINT AS n_knm, round({CLLR}
 )
 def sources_of_paths(spark, sf):
     return readers.with_sources(table(spark, sf, "pages"), C.folder_source, "url").groupBy("source").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- stores
+
+CATALOG = {"region": {}, "nation": {"n_regionkey": "region"}, "customer": {"c_nationkey": "nation"}, "orders": {"o_custkey": "customer"}}
+CATALOG_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"}
+
+
+@query(
+    "catalog_copy",
+    """WITH n AS (SELECT * FROM nation WHERE n_nationkey % 11 <> 3), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)), r AS (
+      SELECT 0 AS seq, 'region' AS "table", (SELECT count(*) FROM region) AS n_source, (SELECT count(*) FROM region WHERE r_regionkey < 2) AS n_present, 0 AS n_orphans
+      UNION ALL SELECT 1, 'nation', (SELECT count(*) FROM n), (SELECT count(*) FROM n WHERE n_nationkey % 3 = 0 AND n_regionkey < 2), 0
+      UNION ALL SELECT 2, 'customer', (SELECT count(*) FROM customer), 0, (SELECT count(*) FROM customer) - (SELECT count(*) FROM c)
+      UNION ALL SELECT 3, 'orders', (SELECT count(*) FROM orders), 0, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM c)))
+    SELECT seq::INT AS seq, "table", n_source, n_present, n_source - n_present - n_orphans AS n_inserted, n_orphans::BIGINT AS n_orphans FROM r""",
+)
+def catalog_copy(spark, sf):
+    """Regions, nations, customers and orders copied into a store that holds some of them, where some nations are missing at the source: those that hang on them are orphans."""
+    tables = {t: table(spark, sf, t) for t in CATALOG}
+    tables["nation"] = tables["nation"].where("n_nationkey % 11 <> 3")
+    base = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    part = {"region": tables["region"].where("r_regionkey < 2"), "nation": tables["nation"].where("n_nationkey % 3 = 0")}
+    stores.copy_catalog(part, {t: CATALOG[t] for t in part}, CATALOG_KEYS, base)
+    return stores.copy_catalog(tables, CATALOG, CATALOG_KEYS, base)
+
+
+@query(
+    "blob_sync",
+    """WITH d AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE text IS NOT NULL), h AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)
+    SELECT (SELECT count(*) FROM d) AS total, (SELECT count(*) FROM h) AS already_present, (SELECT count(*) FROM d) - (SELECT count(*) FROM h) AS uploaded, (SELECT count(*) FROM d) - (SELECT count(*) FROM h) AS verified""",
+)
+def blob_sync(spark, sf):
+    """Texts of documents as blobs, brought into a store that holds a third of them."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    blobs = docs.select("doc_id", F.sha2("text", 256).alias("key"), F.col("text").cast("binary").alias("content"))
+    path = f"{shared_folder(spark)}/blobs-{uuid.uuid4().hex}"
+    stores.sync_blobs(blobs.where("doc_id % 3 = 0"), path)
+    figures = stores.sync_blobs(blobs, path)
+    return spark.createDataFrame([tuple(figures.values())], ", ".join(f"{k} long" for k in figures))
