@@ -22,7 +22,9 @@ probability 3e-6.
 Cases: null text and text without words have an empty set, link with nothing and
 are their own component. Repeated rows are copies of each other; a null doc_id
 takes part, and a component's id is its smallest doc_id that is not null. An empty
-table gives an empty result.
+table gives an empty result. Ties: a similarity of exactly the threshold links, and
+of equal smallest ids all are the component's. No SQL: exact similarity of all pairs
+is a cross join; tests hold the operator against brute force.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ itself. ``array("I")`` is little-endian on the machines Spark runs on here.
 
 Cases: null text is empty and gives the closing id alone. Repeated rows are packed
 each for itself. An empty table gives an empty result. A text of any length is cut
-into pieces, none dropped.
+into pieces, none dropped. Ties: equal lengths are packed in the order in which a
+partition holds them. No SQL: tokens and best fit have none; tests check every
+token, place and length, and how full sequences are.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ share such a run.
 Cases: null and empty texts have no paragraphs. Rows that agree in doc_id and text
 are one document: they keep and lose the same places. Lines shorter than
 ``min_words`` are never removed. A null doc_id sorts last. An empty table gives an
-empty result.
+empty result. Ties: of equal copies the one of the smallest doc_id, then of the
+first place, stays. No SQL: sketches, sampled windows and components have none that
+runs on whole tables; tests hold the operator against brute force.
 """
 
 from __future__ import annotations
