@@ -7,7 +7,8 @@ the whole range of scores, the expansion leaves an error below 1e-9.
 
 Sums add up, which gives leave-sources-out fits for every set {a, b} at once: all pairs,
 less those touching a, less those touching b, plus those of both. Sets lie close to the
-fit of all pairs when sources are many, so they share a few anchors, whatever their number.
+fit of all pairs when sources are many, so they share a few anchors, whatever their number;
+those that do not start from bins of their own, which add up likewise.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from surfmatch.functions.reuse import reused
 
 RIDGE = 1e-6
 #: Terms kept of the expansion, how far it is trusted in the end, how far one step may go, and the distance of shared anchors.
-ORDER, RADIUS, STRIDE, SPACING = 6, 0.1, 1.0, 0.15
+ORDER, RADIUS, STRIDE, SPACING = 6, 0.1, 2.0, 0.15
 #: Bins of the first, rough fit, and anchors that one reading of the pairs serves.
-BINS, ANCHORS = 1024, 32
+BINS, ANCHORS = 1024, 512
 ROUNDS = 100
 TERMS = [(k, i) for k in range(1, ORDER + 1) for i in range(k + 1)]
 
@@ -134,17 +135,35 @@ def finished(models: DataFrame, own: tuple[str, ...]) -> DataFrame:
     return models.select(*own, coef.alias("coef"), (F.col("level") - coef * F.col("mid")).alias("intercept"), bound.alias("log_bound"), "n_km", "n_knm")
 
 
-def rough(rows: DataFrame, ranges: DataFrame, own: tuple[str, ...]) -> DataFrame:
-    """slope and level of each group from its means in BINS bins a class."""
-    kinds = dict(rows.dtypes)
+def binned(rows: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """n and nu, the number of pairs and the sum of their u, of every bin of a class and group."""
     bin_ = F.least(F.floor((F.col("u") + 1) / 2 * BINS), F.lit(BINS - 1))
-    binned = rows.groupBy(*own, "label", bin_.alias("bin")).agg((F.sum(F.col("n") * F.col("u")) / F.sum("n")).alias("u"), F.sum("n").alias("n"))
+    return rows.groupBy(*own, "label", bin_.alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("u")).alias("nu"))
+
+
+def rough(bins: DataFrame, sizes: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """slope and level of each group from the means of its bins, BINS a class at most; sizes(own, half)."""
+    kinds = dict(bins.dtypes)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        slope, level = balanced_logistic(part["u"].to_numpy(float), part["label"].to_numpy(float), part["n"].to_numpy(float), RIDGE / float(part["half"].iloc[0]) ** 2)
+        n = part["n"].to_numpy(float)
+        slope, level = balanced_logistic(part["nu"].to_numpy(float) / n, part["label"].to_numpy(float), n, RIDGE / float(part["half"].iloc[0]) ** 2)
         return pd.DataFrame({**{c: [part[c].iloc[0]] for c in own}, "slope": [slope], "level": [level]})
 
-    return binned.join(ranges.select(*own, "half"), list(own)).groupBy(*own).applyInPandas(fit, ", ".join([*(f"{c} {kinds[c]}" for c in own), "slope double, level double"]))
+    return bins.join(sizes.select(*own, "half"), list(own)).groupBy(*own).applyInPandas(fit, ", ".join([*(f"{c} {kinds[c]}" for c in own), "slope double, level double"]))
+
+
+def rough_without(joining: DataFrame, sets: DataFrame) -> DataFrame:
+    """slope and level of sets(a, b, half, ...) from bins of all pairs that touch neither: bins add up as the terms do."""
+    cells = reused(binned(joining, ("a", "b")))
+    total = cells.groupBy("label", "bin").agg(F.sum("n").alias("n"), F.sum("nu").alias("nu"))
+    touching = cells.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("s"), "label", "bin", "n", "nu").groupBy("s", "label", "bin").agg(F.sum("n").alias("n"), F.sum("nu").alias("nu"))
+    asked = sets.select("a", "b")
+    two = asked.where("a <> b")
+    gone = [part.select("a", "b", "label", "bin", (-F.col("n")).alias("n"), (-F.col("nu")).alias("nu")) for part in (asked.join(touching.withColumnRenamed("s", "a"), "a"), two.join(touching.withColumnRenamed("s", "b"), "b"))]
+    counts = asked.join(F.broadcast(total)).union(gone[0]).union(gone[1]).union(two.join(cells, ["a", "b"]).select("a", "b", "label", "bin", "n", "nu"))
+    counts = counts.groupBy("a", "b", "label", "bin").agg(F.sum("n").alias("n"), F.sum("nu").alias("nu")).where("n > 0")
+    return rough(counts, sets, ("a", "b"))
 
 
 def fitted(counts: DataFrame, own: tuple[str, ...], least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +171,7 @@ def fitted(counts: DataFrame, own: tuple[str, ...], least: int = 1) -> tuple[Dat
     counts = counts.where("n > 0")
     ranges = reused(ranged(counts, own).where((F.col("n_km") >= max(least, 1)) & (F.col("n_knm") >= max(least, 1))))
     rows = scaled(counts, ranges, own)
-    models = rough(rows, ranges, own)
+    models = rough(binned(rows, own), ranges, own)
     for _ in range(ROUNDS):
         terms = expansions(rows.join(models.select(*own, "slope", "level"), list(own)), own)
         models = reused(stepped(terms.join(ranges, list(own)).join(models.select(*own, "slope", "level"), list(own)), own))
@@ -213,7 +232,10 @@ def fit_without(pairs: DataFrame, least: int) -> DataFrame:
         done.append(moved.where(F.col("moved") <= RADIUS))
         # ends of the range of scores, on a lattice: sets that need nearly the same anchor share it
         low, high = (F.round((F.col("level") + e * F.col("slope")) / SPACING) * SPACING for e in (-1, 1))
-        far = moved.where(F.col("moved") > RADIUS).withColumns({"x": (high - low) / 2, "y": (high + low) / 2})
+        far = moved.where(F.col("moved") > RADIUS)
+        if len(done) == 1 and far.take(1):  # few steps lead far: sets away from the fit of all pairs start anew from their own bins
+            far = reused(far.drop("slope", "level").join(rough_without(joining, far), ["a", "b"]))
+        far = far.withColumns({"x": (high - low) / 2, "y": (high + low) / 2})
         waiting = pending.join(F.broadcast(anchors), ["x", "y"], "left_anti")
         pending = reused(far.select(*pending.columns).union(waiting.select(*pending.columns)))
         if not pending.take(1):
