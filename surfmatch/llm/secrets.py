@@ -1,17 +1,22 @@
-"""Secret scans (operator 2): base patterns, and assignment-aware lexing.
+r"""Secret scans (operator 2): base patterns, and assignment-aware lexing.
 
 Base spans are the three fixed patterns. The lexer then reads name-literal pairs
-out of source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``,
-``name := x``, ``name => x``), remembers what each name was bound to, follows
-names used as values and ``+`` chains of them, and scores each literal by how
-sensitive the name is that it reaches. Literals that score enough and lie inside no
-base span are added with kind ``lexed``; they may overlap base spans. The least score
+out of source and configuration syntax, remembers what each name was bound to, follows
+names used as values, ``+`` chains of them and names inside ``f"{x}"`` and `` `${x}` ``, and scores
+each literal by how sensitive the name is that it reaches. It reads
+``name = "x"``, ``name: type = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``,
+``<name>x</name>``, ``key="name" value="x"``, ``f("name", "x")``, ``#define name x``, ``ENV name x`` and
+block scalars of YAML; literals may be quoted by ", ', \`, or three quotes over many lines,
+carry a prefix of one or two letters, and stand side by side. Literals that score enough and lie
+inside no base span are added with kind ``lexed``; they may overlap base spans. The least score
 of 5 is what a name like ``password`` (3) needs from a mixed literal of six characters.
+A literal without quotes counts only if it holds digits and letters.
 
 Cases: null or empty text gives no spans. Rows are independent, so repeated rows,
 null ids and empty tables need no rule. Names and values may have any length, and long
-texts cost time and memory in proportion: constants are kept by reference. Of a name
-bound twice the last binding before its use counts.
+texts cost time and memory in proportion: constants are kept by reference, each is
+looked at once, and no text is read again for each name inside it. Of a name bound twice
+the last binding before its use counts.
 
 There is no oracle SQL: DuckDB has no leftmost non-overlapping spans with places, and
 no lexer. Tests hold base spans against brute force and lexed ones against planted text.
@@ -24,8 +29,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -42,10 +46,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A name, and the operator that binds it. Every part gives nothing back, so text is read once.
-TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*+(?::=|=>|=(?!=)|:(?!//))""")
-TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9_+/.=\-]+))""")
-PLUS = re.compile(r"[ \t]*+\+(?=[ \t]*+[\"'A-Za-z_])")
+#: A name, and the operator that binds it; the empty group is where the value starts if a type stands between. Every part gives nothing back, so text is read once.
+TARGET = re.compile(
+    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*+"""
+    r"""(?::=|=>|=(?!=)|:(?!//)(?=[ \t]*+&?+(?:'[a-z]++[ ])?+[A-Za-z_][\w.<>\[\]?*]*+[ \t]*+=(?![=>])())?)"""
+)
+#: Other places where a name meets a value: the value is the last group, or the term that follows.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>")
+PAIR = re.compile(r"""\b(?:key|name)=["']([^"'<>\n]*+)["']\s++value=["']([^"'<>\n]*+)["']""")
+CALL = re.compile(r"""\(\s*+["']([A-Za-z_][\w.\-]*+)["']\s*+,(?=[ \t]*+[A-Za-z@$]{0,2}["'`])""")
+DIRECTIVE = re.compile(r"^[ \t]*+(?:#[ \t]*+define|ENV|setenv|SetEnv)[ \t]++([A-Za-z_]\w*+)(?=[ \t])", re.M)
+SCALAR = re.compile(r"""^([ \t]*+)(?:-[ ]++)?+["']?([A-Za-z_][\w.\-]*+)["']?[ \t]*+:[ \t]*+[|>][+\-0-9]*+[ \t]*+\r?\n""", re.M)
+
+TERM = re.compile(
+    r"""[ \t]*+(?:([A-Za-z@$]{0,2}+)(?:(\"\"\"|\'\'\')|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)|([A-Za-z0-9_+/.=\-]+))""", re.S
+)
+#: A bare word inside an earlier bare word: it ends where names may start.
+INNER = re.compile(r"[+/=]*+[A-Za-z0-9_.\-]*+")
+PLUS = re.compile(r"[ \t]*+\+(?=[ \t]*+[\"'`A-Za-z_])")
+BESIDE = re.compile(r"[ \t]++(?=[A-Za-z@$]{0,2}[\"'])")
+HOLE = re.compile(r"\$?\{([A-Za-z_][\w.]*+)\}")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|todo|changeme|example.*|your[-_].*|<.*>|\$\{.*\}|\{\{.*\}\}|env\..*|process\.env.*|os\.environ.*)$")
 
 #: Parts of names and how strongly each marks a value as secret.
@@ -81,10 +101,15 @@ def profile(value: str) -> Profile:
     return Profile(n, shares, classes, " " in value.strip(), not value or bool(PLACEHOLDER.match(value)))
 
 
-def joined(a: Profile, b: Profile) -> Profile:
-    n = a.n + b.n
-    shares = {c: (a.n * a.shares.get(c, 0.0) + b.n * b.shares.get(c, 0.0)) / n for c in a.shares.keys() | b.shares.keys()} if n else {}
-    return Profile(min(n, 1e9), shares, a.classes | b.classes, a.spaced or b.spaced, a.placeholder and b.placeholder)
+def joined(profiles: Iterable[tuple[Profile, int]]) -> Profile:
+    """The profile of literals joined, each given with how often it stands there."""
+    n, weights, classes, spaced, placeholder = 0.0, Counter(), 0, False, True
+    for p, times in profiles:
+        n += times * p.n
+        for c, share in p.shares.items():
+            weights[c] += times * p.n * share
+        classes, spaced, placeholder = classes | p.classes, spaced or p.spaced, placeholder and p.placeholder
+    return Profile(min(n, 1e9), {c: w / n for c, w in weights.items()}, classes, spaced, placeholder)
 
 
 def literal_score(p: Profile) -> float:
@@ -107,33 +132,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class Literal(NamedTuple):
+    value: str
+    start: int
+    end: int
+    quoted: bool
+
+
 class Bound:
-    """What a name is bound to: one literal (value, start, end), or literals and earlier bindings joined in order.
+    """What a name is bound to: literals and earlier bindings, joined in order.
 
     Earlier bindings are kept by reference, so a text of chained constants takes
     memory in proportion to its length, whatever it would expand to.
     """
 
-    __slots__ = ("parts", "known", "told")
+    __slots__ = ("parts", "known", "told", "bare")
 
     def __init__(self, parts: list):
         self.parts, self.known, self.told = parts, None, False
-
-    def single(self):
-        """The only literal, if there is only one."""
-        return self.parts[0] if len(self.parts) == 1 else None
+        self.bare = not any(isinstance(p, Bound) or p.quoted for p in parts)
 
     def profile(self) -> Profile:
-        todo = [self]
+        todo = [(self, False)]
         while todo:
-            at = todo[-1]
-            open_ = [p for p in at.parts if isinstance(p, Bound) and p.known is None]
-            if open_ and at.known is None:
-                todo += open_
+            at, ready = todo.pop()
+            if at.known is not None:
+                continue
+            earlier = Counter(p for p in at.parts if isinstance(p, Bound))
+            if not ready:  # those it refers to first, each once
+                todo.append((at, True))
+                todo += [(p, False) for p in earlier if p.known is None]
                 continue
-            todo.pop()
-            if at.known is None:
-                at.known = reduce(joined, (p.known if isinstance(p, Bound) else profile(p[0]) for p in at.parts))
+            at.known = joined([*((profile(p.value), 1) for p in at.parts if not isinstance(p, Bound)), *((p.known, k) for p, k in earlier.items())])
         return self.known
 
     def spans(self) -> Iterator[tuple[int, int]]:
@@ -147,28 +177,85 @@ class Bound:
                     if isinstance(p, Bound):
                         todo.append(p)
                     else:
-                        yield p[1], p[2]
+                        yield p.start, p.end
+
+
+def targets(text: str) -> list[tuple[int, str, int, list[Literal] | None]]:
+    """(place of the name, name, where its value starts, the value where the form tells it) in text order."""
+    found = []
+    if "=" in text or ":" in text:
+        found += [(m.start(1), m[1], m.end() if m.start(2) < 0 else m.start(2), None) for m in TARGET.finditer(text)]
+    if "</" in text:
+        found += [(m.start(), m[1], m.start(2), [Literal(m[2], *m.span(2), False)]) for m in ELEMENT.finditer(text)]
+    if "value=" in text:
+        found += [(m.start(), m[1], m.start(2), [Literal(m[2], *m.span(2), True)]) for m in PAIR.finditer(text)]
+    if "(" in text and "," in text:
+        found += [(m.start(), m[1], m.end(), None) for m in CALL.finditer(text)]
+    if "define" in text or "ENV" in text or "etenv" in text or "etEnv" in text:
+        found += [(m.start(), m[1], m.end(), None) for m in DIRECTIVE.finditer(text)]
+    if "|" in text or ">" in text:
+        end = 0
+        for m in SCALAR.finditer(text):
+            if m.start() < end:
+                continue  # a line of the block before
+            lines, end = [], m.end()
+            while end < len(text):
+                stop = text.find("\n", end) + 1 or len(text)
+                line = text[end:stop]
+                value = line.strip()
+                if value:
+                    start = end + line.index(value)
+                    if start - end <= len(m[1]):
+                        break
+                    if not re.search(r"\s", value):
+                        lines.append(Literal(value, start, start + len(value), False))
+                end = stop
+            if lines:
+                found.append((m.start(), m[2], m.end(), lines))
+    return sorted(found, key=lambda t: t[0])
+
+
+def pieces(value: str, start: int, bound: dict[str, Bound]) -> Iterator[Literal | Bound]:
+    """The literal parts of a quoted text with holes, and the bindings that fill them."""
+    at = 0
+    for m in HOLE.finditer(value):
+        if m.start() > at:
+            yield Literal(value[at : m.start()], start + at, start + m.start(), True)
+        if m[1] in bound:
+            yield bound[m[1]]
+        at = m.end()
+    if at < len(value):
+        yield Literal(value[at:], start + at, start + len(value), True)
 
 
 def name_literal_pairs(text: str) -> Iterator[tuple[str, Bound]]:
     """(name, what it is bound to) in text order."""
     bound: dict[str, Bound] = {}
-    for target in TARGET.finditer(text):
-        parts, at = [], target.end()
-        while term := TERM.match(text, at):
-            kind = term.lastindex or 0
-            value = term.group(kind) if kind else ""
-            if kind == 3 and value in bound:
-                parts.append(bound[value])
-            elif kind:
-                parts.append((value, term.start(kind), term.end(kind)))
-            at = term.end()
-            more = PLUS.match(text, at)
-            if not more:
+    read = 0  # where the bare words read so far end
+    for _, name, at, told in targets(text):
+        parts: list[Literal | Bound] = list(told or ())
+        while not told and (term := INNER.match(text, at) if at < read else TERM.match(text, at)):
+            kind, beside = term.lastindex or 0, None
+            at, value = term.end(), term[kind]
+            if kind in (0, 6):
+                read = max(read, at)
+                parts.append(bound[value] if value in bound else Literal(value, at - len(value), at, False))
+            else:
+                start = term.start(kind)
+                if kind == 2:
+                    start = at
+                    if (stop := text.find(value, at)) < 0:
+                        break
+                    at, value = stop + 3, text[start:stop]
+                if kind == 5 or "$" in term[1] or "f" in term[1].lower():
+                    parts += pieces(value, start, bound)
+                else:
+                    parts.append(Literal(value, start, start + len(value), True))
+                beside = BESIDE.match(text, at)
+            if not (more := PLUS.match(text, at) or beside):
                 break
             at = more.end()
         if parts:
-            name = target.group(1)
             # a mere other name for a binding shares it
             bound[name] = parts[0] if len(parts) == 1 and isinstance(parts[0], Bound) else Bound(parts)
             yield name, bound[name]
@@ -176,17 +263,15 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, Bound]]:
 
 def lexed_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
     """Spans that lexing adds to the base ones."""
-    if "=" not in text and ":" not in text:
-        return []
     starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     added = set()
     for name, found in name_literal_pairs(text):
         if not (worth := name_score(name)):
             continue
-        one = found.single()
-        if one and text[one[1] - 1 : one[1]] not in ('"', "'") and not (any(map(str.isdigit, one[0])) and any(map(str.isalpha, one[0]))):
-            continue  # an unquoted word of prose or a plain number
-        score = literal_score(found.profile())
+        seen = found.profile()
+        if found.bare and not (seen.classes & 1 and seen.classes & 6):
+            continue  # words of prose or a plain number
+        score = literal_score(seen)
         if score and worth + score >= least:
             for s, e in found.spans():
                 i = bisect_right(starts, s)

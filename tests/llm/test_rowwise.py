@@ -155,6 +155,52 @@ def test_secrets_lexing_precision_and_recall():
     assert right / sum(len(w) for _, w in PLANTED) >= 0.95 and right / max(1, sum(map(len, found))) >= 0.95
 
 
+#: One format a line: n is a name, v and w are values; what must be found follows the bar.
+FORMATS = (
+    '{n} = """{v}"""|v', "{n} = \'\'\'\n{v}\n\'\'\'|v", 'const {n}: string = "{v}"|v', "let {n}: &\'static str = \'{v}\';|v", "{n}: Final[str] = \'{v}\'|v", "const {n} = `{v}`;|v", "part = \'{w}\'\n{n} = `{v}${{part}}`|vw",
+    "p = \'{w}\'\n{n} = f\'{v}{{p}}\'|vw", '{n} = "{v}" "{w}"|vw', "{n} = r\'{v}\' \'{w}\'|vw", "<{n}>{v}</{n}>|v", '<{n} id="7">{v}</{n}>|v', '<add key="{n}" value="{v}" />|v', "ENV {n} {v}|v", "setenv {n} {v}|v",
+    "{n}: |\n  {v}\n  {w}\nnext: 1|vw", "a:\n  {n}: >-\n      {v}\n  b: c|v", 'put("{n}", "{v}")|v', "os.environ.setdefault(\'{n}\', \'{v}\')|v", '#define {n} "{v}"|v', "# define {n} {v}|v", 'spec.{n} = @"{v}"|v', "{n}={v}|v", '"{n}": "{v}",|v', "x = \'{v}\'; y = x\n{n} := y|v",
+)
+CLEAN = (
+    "{n} = settings.get_value", "{n}: see chapter", 'put("{n}", other)', "<{n}>unknown words</{n}>", "ENV {n} unset", "{n}: |\n  words of prose\n  and more\n", "{n}: string = other", 'const colour: string = "{v}"', "put(\'title\', \'{v}\')",
+    '<add key="theme" value="{v}" />', "#define WIDTH {v}", "<p>{v}</p>", "{n} = `${{env}}`", "{n} = \'${{VAULT}}\'", "text: |\n  {n} {v}\n",
+)
+
+
+def test_secrets_are_found_by_format():
+    import random
+
+    rng = random.Random(17)
+    names = ("signing_key", "dbPassphrase", "AUTH_KEY", "PrivateKey", "master_pwd", "clientCredential", "pass_phrase", "encryptionKey", "BEARER", "access-key")
+    value = lambda: "".join(rng.choices("abcdefghjkmnpqrsuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", k=rng.randint(6, 20))) + str(rng.randint(10, 99))
+    right = wrong = missed = 0
+    for form, want in [f.rsplit("|", 1) for f in FORMATS] + [(f, "") for f in CLEAN]:
+        own = 0
+        for name in names:
+            if "-" in name and ("ENV" in form or "env" in form or "define" in form):
+                name = name.replace("-", "_")
+            values = {"v": value(), "w": value()}
+            text = "before it\n" + form.format(n=name, **values) + "\nafter it"
+            found = {text[s:e].strip() for s, _, e in secrets.scan(text)[1]}
+            wanted = {values[x] for x in want}
+            own += len(found & wanted)
+            right, wrong, missed = right + len(found & wanted), wrong + len(found - wanted), missed + len(wanted - found)
+        assert own >= 8 * len(want), form
+    assert right / (right + missed) >= 0.95 and right / (right + wrong) >= 0.95
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    many = "a = 'Zx9$kL2q'\nb = " + " + ".join(["a"] * 20_000) + "\nsecret_b = " + " + ".join(["b"] * 20_000)
+    texts = [many, "a=b+" * 50_000, "a=/" * 50_000, "\n".join(f"{' ' * i}k: |" for i in range(700)), "b = " + " + ".join(["word"] * 20_000) + "\nsecret_x = b" * 20_000, "x = `a" * 50_000, 'k = """' * 50_001, "(\"k\", 'v'" * 30_000, "<a <b>" * 50_000]
+    for text in texts:
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 2, text[:20]
+    assert [many[s:e] for s, _, e in secrets.scan(many)[1]] == ["Zx9$kL2q"]
+
+
 def test_secrets_redaction(spark):
     df = cases.frame(spark, [(1, "x password=hunter22 y", "xx", "s"), (2, None, None, None)])
     rows = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
