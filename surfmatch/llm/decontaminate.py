@@ -3,9 +3,9 @@
 Benchmark items are indexed by the rolling hashes of their strings of ``least``
 words (an item of fewer words by its whole self). A document's strings of that
 length meet the index by binary search; items that share one are candidates. For a
-candidate whose shared strings could cover enough of it, the longest common strings of
-unmarked words are marked again and again, so that tiles never overlap on either
-side. An item whose words are covered to ``percent`` or more has leaked, in whatever
+candidate whose shared strings could cover enough of it, strings of unmarked words are
+hashed again in both for one length after the other, the longest first, and those whose
+words agree are marked, so that tiles never overlap on either side. An item whose words are covered to ``percent`` or more has leaked, in whatever
 order its pieces stand. Hashes choose candidates only; tiles compare the words.
 
 The index is sent to the executors in blocks of bounded size, one after the other,
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfmatch.llm.bytehash import LOWER, U, batches_of_bytes, mix, prefix, span, words
+from surfmatch.llm.bytehash import BASE, LOWER, U, batches_of_bytes, mix, powers, prefix, span, words
 from surfmatch.llm.common import pick, small_batches
 
 LEAST = 5
@@ -113,32 +113,90 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+class Unmarked:
+    """Words of a sequence as numbers, those that no tile has marked yet, and rolling hashes of the strings of these."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray):
+        self.words, self.free = words, free
+        self.sums = np.zeros(len(words) + 1, U)
+        np.cumsum(mix(words.astype(U) + U(1)) * powers(BASE, len(words))[: len(words)], out=self.sums[1:])
+
+    def strings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the strings of n unmarked words."""
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        place = np.flatnonzero(marked[n:] == marked[:-n])
+        return place, span(self.sums, place, place + n)
+
+    def is_free(self, place: int, n: int) -> bool:
+        """Whether a string free at first still is: tiles marked since are as long, so they reach one of its ends."""
+        return self.free[place] and self.free[place + n - 1]
+
+    def mark(self, place: int, n: int) -> None:
+        self.free[place : place + n] = False
+
+
+def shared_strings(text: Unmarked, item: Unmarked, n: int):
+    """(place, hash) of the unmarked strings of n words of a text whose hash the item has, in order of hash and place, and all of the item's."""
+    own, key = item.strings(n)
+    place, hashed = text.strings(n)
+    if not len(own) or not len(place):
+        return place[:0], hashed[:0], own, key
+    known = np.sort(key)
+    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashed), len(known) - 1)] == hashed)
+    place, hashed = place[hit], hashed[hit]
+    order = np.argsort(hashed, kind="stable")
+    return place[order], hashed[order], own, key
+
+
+def narrowed(text: Unmarked, item: Unmarked, n: int) -> Unmarked:
+    """The text without the words that no tile can take any more; one marked word stands for each gap."""
+    place = shared_strings(text, item, n)[0]
+    edge = np.zeros(len(text.words) + 1, int)
+    np.add.at(edge, place, 1)
+    np.add.at(edge, place + n, -1)
+    live = np.cumsum(edge)[:-1] > 0
+    kept = np.flatnonzero(live | np.concatenate([[False], live[:-1]]))
+    return Unmarked(text.words[kept], text.free[kept] & live[kept])
+
+
 def tiles_cover(text: np.ndarray, item: np.ndarray, n: int) -> int:
     """Words of an item that tiles of n words or more cover: the longest first, of equals the one first in the item, then in the text.
 
-    Common strings are found as running lengths along both sequences, one place of the
-    item at a time, so memory follows the text whatever repeats in it.
+    Each round hashes the unmarked strings of one length anew in both sequences, marks the
+    tiles of that length whose words agree, and goes on with the next shorter length that
+    still has a common string (found by halving: a common string holds shorter ones). A
+    round takes time in proportion to the text, and there are as many as tile lengths.
     """
-    text_free, item_free = text >= 0, np.ones(len(item), bool)
-
-    def lengths():
-        run = np.zeros(len(text) + 1, np.int32)
-        for p in range(len(item)):
-            if item_free[p]:
-                run[1:] = np.where((text == item[p]) & text_free, run[:-1] + 1, 0)
+    text_left, item_left = Unmarked(text, text >= 0), Unmarked(item, np.ones(len(item), bool))
+    longest = len(item)
+    while longest >= n:
+        text_left = narrowed(text_left, item_left, n)
+        low, high = n - 1, min(longest, len(text_left.words))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(shared_strings(text_left, item_left, middle)[0]):
+                low = middle
             else:
-                run[:] = 0
-            yield p, run[1:]
-
-    while (longest := max(int(run.max()) for _, run in lengths())) >= n:
-        for p, run in lengths():
-            if not item_free[p - longest + 1 : p + 1].all():
+                high = middle - 1
+        if (longest := low) < n:
+            break
+        place, hashed, own, key = shared_strings(text_left, item_left, longest)
+        upto: dict[int, int] = {}  # by first place of a hash: those before are marked
+        for p, lo, hi in zip(own.tolist(), np.searchsorted(hashed, key, "left").tolist(), np.searchsorted(hashed, key, "right").tolist()):
+            if lo == hi or not item_left.is_free(p, longest):
                 continue
-            for d in np.flatnonzero(run == longest):
-                if text_free[d - longest + 1 : d + 1].all():
-                    text_free[d - longest + 1 : d + 1] = item_free[p - longest + 1 : p + 1] = False
+            k = upto.get(lo, lo)
+            while k < hi and not text_left.is_free(place[k], longest):
+                k += 1
+            upto[lo] = k
+            wanted = item_left.words[p : p + longest]
+            for d in place[k:hi]:
+                if text_left.is_free(d, longest) and np.array_equal(text_left.words[d : d + longest], wanted):
+                    text_left.mark(d, longest)
+                    item_left.mark(p, longest)
                     break
-    return int((~item_free).sum())
+        longest -= 1
+    return int((~item_left.free).sum())
 
 
 def leaks(index: ItemIndex, texts: Texts, word: np.ndarray, at: np.ndarray, percent: int) -> dict[int, list[tuple[int | None, float]]]:

@@ -386,6 +386,40 @@ def test_tiling_matches_brute_force(spark):
     assert got == want and any(want.values())
 
 
+def test_tiles_of_random_words_match_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(400):
+        size, least = rng.choice([1, 2, 3, 8]), rng.randint(1, 5)
+        item = [rng.randrange(size) for _ in range(rng.randint(1, 40))]
+        text = [rng.randrange(-1, size) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            p, d = rng.randrange(len(item)), rng.randint(0, len(text))
+            text[d:d] = item[p : p + rng.randint(1, 20)]
+        plain = [x if x >= 0 else None for x in text]
+        assert decontaminate.tiles_cover(np.array(text, int), np.array(item), least) == plain_tiling(plain, item, least)
+
+
+def test_tiling_of_a_million_words():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    item, text = rng.integers(0, 300, 1000), rng.integers(-300, 300, 1_000_000)
+    cuts = [item[a : a + 50] for a in range(0, 1000, 50)]
+    for i, j in enumerate(rng.permutation(20)):  # all passages, in another order
+        text[i * 40_000 : i * 40_000 + 50] = cuts[j]
+    began = time.time()
+    assert decontaminate.tiles_cover(np.maximum(text, -1), item, 5) >= 1000
+    again = np.tile(item, 1000)  # the item itself a thousand times, cut short
+    assert decontaminate.tiles_cover(np.where(np.arange(1_000_000) % 61, again, -1), item, 5) >= 950
+    assert time.time() - began < 10
+
+
 def test_tiling_of_equal_words_takes_little_memory():
     import tracemalloc
 
