@@ -56,6 +56,54 @@ def test_html_of_other_templates():
     assert not wrong
 
 
+def run_of(n, word="lorem"):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
+#: Further templates, by block: a line begins with + for main text and - for the rest; N stands for a run of N words, [N] for a link of N words.
+HELD_OUT = (
+    "-<div class=topbar>[2] [1]</div>|<div class=page>|+<h1>6</h1>|+<p>55</p>|+<p>14</p>|-<p>[3]</p>|+<p>40</p>|</div>|-<div class=bottom>[1] [2]</div>",
+    "<nav>|-<a href=x>1</a>|</nav><article>|+<h2>4</h2>|+<p>24</p>|+<blockquote>13</blockquote>|+<p>70</p>|</article><section id=conversation>|-<h3>2</h3>|-<p>45</p>|-<p>16</p>|</section>",
+    "<main>|+<p>30</p>|+<ul><li>[18]</li>|+<li>[14]</li></ul>|+<p>22</p>|</main><footer>|-<p>8</p>|</footer>", "<div class=content>|+<p>25</p>|+<p>6 [6]</p>|+<p>31</p>|</div><div class=sidebar>|-<h4>2</h4>|-<p>19</p>|-<p>[4]</p>|</div>",
+    "<div id=main-content>|+<h1>5</h1>|+<p>3</p>|+<p>60</p>|+<table><tr><td>2</td>|+<td>3</td></tr></table>|</div><div id=related-links>|-<p>[5]</p>|-<p>[6]</p>|</div>",
+    "-<div>[1]</div>|-<div>[1]</div>|+<div>80</div>|+<div>22</div>|+<div>35</div>|-<div>[2]</div>", "<header>|-<div>3</div>|</header><article><header>|+<h1>7</h1>|</header>|+<p>48</p>|<figure>|+<figcaption>8</figcaption>|</figure>|+<p>33</p>|</article><aside>|-<p>27</p>|</aside>",
+    "<div class=article-body>|+<p>41</p>|-<div class=advertisement>7</div>|+<p>29</p>|-<div class=newsletter>12</div>|+<p>53</p>|</div>", "<div role=navigation>|-<p>[1]</p>|</div><div role=main>|+<h1>3</h1>|+<p>28</p>|+<p>4</p>|</div><div role=contentinfo>|-<p>9</p>|</div>",
+    "+<h1>8</h1>|+<p>36</p>|+<p>21</p>|+<p>17</p>|+<p>44</p>", "<article>|+<p>2</p>|+<p>1</p>|+<p>35</p>|-<form>Name 1</form>|+<p>16</p>|</article>", "<div class=post>|+<h2>5</h2>|+<p>62</p>|<div id=comments>|-<p>40</p>|-<p>12</p>|</div></div>",
+    "<ul class=menu>|-<li>[1]</li>|-<li>[2]</li>|-<li>[1]</li>|</ul><div class=text>|+<p>37</p>|+<p>[3] 20</p>|</div>", "<div class=cookie-notice>|-<p>This site uses cookies 6</p>|</div><main>|+<h1>4</h1>|+<p>26</p>|+<pre>9</pre>|+<p>11</p>|</main>",
+    "-<p>[2]</p>|+<h1>5</h1>|+<p>33</p>|+<p>12</p>|-<p>[3]</p>|-<p>[2]</p>", "<article class=story>|+<h1>6</h1>|+<p>90</p>|<div class=share-buttons>|-<p>[1] [1]</p>|</div>|+<p>18</p>|</article><div class=site-footer>|-<p>14</p>|</div>",
+    "<div class=entry-content>|+<h3>2</h3>|+<ol><li>5</li>|+<li>7</li>|+<li>4</li></ol>|+<p>30</p>|</div><div class=widget-area>|-<p>[3]</p>|-<p>[2]</p>|</div>", "<div class=breadcrumbs>|-<p>[1] [1] [2]</p>|</div><div class=story-text>|+<p>47</p>|+<p>23</p>|+<p>8</p>|</div><div class=pagination>|-<p>[1] [1]</p>|</div>",
+)
+
+
+def test_html_by_block_of_held_out_templates():
+    tree = html_extract.grow(html_extract.labelled_rows())
+    right = count = 0
+    for page in HELD_OUT:
+        serial = iter(range(1000))
+        page = re.sub(r"(?<=[>\s\[])(\d+)(?=[<\s\]])", lambda m: run_of(int(m[1]), f"w{next(serial)}x"), page)  # noqa: B023
+        page = re.sub(r"\[([^\]]*)\]", r"<a href=x>\1</a>", page)
+        lines = page.split("|")
+        kept = set(html_extract.main_text("".join(x.lstrip("+-") for x in lines), tree).split("\n"))
+        for line in lines:
+            if line[0] in "+-":
+                text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", "", line[1:])).strip()
+                right, count = right + ((text in kept) == (line[0] == "+")), count + 1
+    assert count > 90 and right / count >= 0.95
+
+
+@pytest.mark.parametrize("before", ["", "<p>" + run_of(40, "a") + "</p>", "<p>" + run_of(20, "a") + "</p>", "<h1>" + run_of(4, "a") + "</h1>", "<div><a>x y</a></div>"])
+@pytest.mark.parametrize("after", ["", "<p><a>one two three</a></p>", "<p>" + run_of(30, "b") + "</p>", "<div><a>x</a></div><div><a>y z</a></div>"])
+def test_html_longer_paragraphs_are_never_lost_where_shorter_ones_stay(before, after):
+    tree = html_extract.grow(html_extract.labelled_rows())
+    kept = [run_of(k) in html_extract.main_text(f"{before}<p>{run_of(k)}</p>{after}", tree).split("\n") for k in range(5, 61)]
+    assert kept == sorted(kept) and all(kept[7:])  # from 12 words on
+
+
+def test_html_cues_are_read_from_the_whole_block():
+    block, same = html_extract.blocks_of("<p>" + "word " * 64 + "cookies " * 64 + "</p>")[0], html_extract.blocks_of("<p>" + "cookies word " * 64 + "</p>")[0]
+    assert block.cue == same.cue == 0.5
+
+
 def test_html_tree_uses_neighbours():
     def used(tree):
         return {html_extract.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
