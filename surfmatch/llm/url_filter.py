@@ -44,22 +44,22 @@ def write_index(spark: SparkSession, rules) -> str:
     ends = np.cumsum([0] + [len(f"{r}\t{v}".encode()) + 1 for _, r, v in keyed]).astype("<u8")
     name = f"url-rules-{uuid.uuid4().hex}.bin"
     keys = np.array([k for k, _, _ in keyed], "<u8")
-    path = write_bytes(spark, name, np.array([len(keyed)], "<u8").tobytes() + keys.tobytes() + ends.tobytes() + blob)
+    lengths = np.array(sorted({len(r.partition("/")[2]) + 1 for r in rows}), "<u8")  # of "/" + path
+    head = np.array([len(keyed), len(lengths)], "<u8")
+    path = write_bytes(spark, name, b"".join(x.tobytes() for x in (head, keys, ends, lengths)) + blob)
     spark.sparkContext.addFile(path)
     return name
 
 
 class DigestIndex:
-    """The memory-mapped file: sorted digests, string offsets, strings."""
+    """The memory-mapped file: counts, sorted digests, string offsets, the lengths of the rules' paths, strings."""
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n = int(raw[:8].view("<u8")[0])
-        self.keys = raw[8 : 8 + 8 * n].view("<u8")
-        self.ends = raw[8 + 8 * n : 16 + 16 * n].view("<u8")
-        self.text = raw[16 + 16 * n :]
-        paths = [self.entry(i)[0].partition("/")[2] for i in range(n)]
-        self.lengths = sorted({len(p) + 1 for p in paths})  # of "/" + path
+        n, m = (int(x) for x in raw[:16].view("<u8"))
+        numbers = raw[16 : 16 + 8 * (2 * n + 1 + m)].view("<u8")
+        self.keys, self.ends, self.lengths = numbers[:n], numbers[n : 2 * n + 1], numbers[2 * n + 1 :].tolist()
+        self.text = raw[16 + numbers.nbytes :]
 
     def entry(self, i: int) -> tuple[str, str]:
         rule, _, verdict = bytes(self.text[int(self.ends[i]) : int(self.ends[i + 1]) - 1]).decode().rpartition("\t")

@@ -268,6 +268,20 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules_of_any_number(spark):
+    rules = [("block", f"h{i}.net/{'p' * (i % 40)}") for i in range(3000)] + [("allow", "net/")]
+    df = spark.createDataFrame([(i, f"http://a.h{i}.net/" + "p" * (i % 50)) for i in range(0, 4000, 7)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
+    want = {i: (f"h{i}.net/{'p' * (i % 40)}", "block") if i < 3000 and i % 50 >= i % 40 else ("net/", "allow") for i in range(0, 4000, 7)}
+    assert got == want
+
+
+def test_language_symbols_keep_marks_with_their_letters():
+    sym, _, letters = langid.symbols(["\u0915\u093f \u0e01\u0e35!", "e\u0301", "\u0301 \u093f", None])
+    assert letters.tolist() == [2, 1, 0, 0]
+    assert "".join(map(chr, sym)).split() == ["\u0915\u093f", "\u0e01\u0e35", "e\u0301", "\u0301", "\u093f"]
+
+
 def test_quality_counts_match_brute_force(spark):
     rows = cases.documents()
     rng_text = "a b c d e f a b c d e g a b c d e"
