@@ -47,13 +47,14 @@ def best_diagonal(cells: DataFrame) -> DataFrame:
 
 
 def training_pairs(cells: DataFrame, pairs: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
-    """Positives along the best diagonals of same-source pairs; of the other pairs' cells, ratio times as many, in seeded order."""
+    """Positives along the best diagonals of same-source pairs; of the other pairs' cells, ratio times as many, the first by a seeded digest."""
+    from surfmatch.operators.browsing import first_by_digest
     from surfmatch.operators.pairs import sampling_order
 
     good = best_diagonal(cells.join(pairs.where("label = 1").select("pair_id"), "pair_id", "left_semi"))
     most = int(ratio * good.count())
     other = cells.join(pairs.where("label = 0").select("pair_id"), "pair_id", "left_semi")
-    chosen = other.withColumn("order", sampling_order(seed, F.col("pair_id"), F.col("i"), F.col("j"))).orderBy("order").limit(most).drop("order")
+    chosen = first_by_digest(other, sampling_order(seed, F.col("pair_id"), F.col("i"), F.col("j")), most)
     return good.withColumn("label", F.lit(1)).union(chosen.withColumn("label", F.lit(0)))
 
 
