@@ -168,6 +168,14 @@ def lever_table(pairs: DataFrame, folds: DataFrame, levers: tuple[str, ...]) ->
     return out
 
 
+def beside(table: DataFrame, baseline: str, metrics_of: tuple[str, ...] = ("cllr", "cllr_min", "auc")) -> DataFrame:
+    """lever_table's rows of the other levers next to those of the baseline lever, on the folds that both have, with the gain of each metric (what is lower is better for all but auc)."""
+    own = table.where(F.col("lever") != baseline).select("lever", "fold", *metrics_of)
+    base = table.where(F.col("lever") == baseline).select("fold", *[F.col(m).alias(f"baseline_{m}") for m in metrics_of])
+    gain = {f"{m}_gain": (F.col(m) - F.col(f"baseline_{m}")) * (1 if m == "auc" else -1) for m in metrics_of}
+    return own.join(base, "fold").withColumns(gain)
+
+
 def coverage(submission: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id and problem: 'missing' or 'unknown', of a submission against the frozen pairs."""
     missing = pairs.select("pair_id").join(submission.select("pair_id"), "pair_id", "left_anti").withColumn("problem", F.lit("missing"))

@@ -208,6 +208,14 @@ def score_histogram(df: DataFrame, bins: int = 24) -> DataFrame:
     return rows.groupBy("bin").agg(F.sum(F.col("label") * F.col("n")).alias("km"), F.sum((1 - F.col("label")) * F.col("n")).alias("knm"))
 
 
+def histogram_markers(df: DataFrame, queries: DataFrame, bins: int = 24) -> DataFrame:
+    """queries(query_id, score) with the bin of score_histogram(df) that each falls in, the nearest one if it lies outside, and whether it lies inside; null scores and empty histograms give nulls."""
+    ends = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    s, lo, hi = F.col("score"), F.col("lo"), F.col("hi")
+    at = F.when(hi > lo, F.least(F.greatest(F.floor((s - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1))).when(s.isNotNull() & lo.isNotNull(), 0)
+    return queries.join(F.broadcast(ends)).select("query_id", "score", F.when(s.isNotNull(), at).cast("int").alias("bin"), s.between(lo, hi).alias("inside"))
+
+
 def km_knm_summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Number, mean and extremes of KM and KNM scores, and the difference of means."""
     s, n = F.col("score"), count_of(df)

@@ -1,4 +1,4 @@
-"""Registered queries that look through a catalog, and training pairs, each with the SQL that must give the same rows.
+"""Registered queries that look through a catalog, of training pairs and of references side by side, each with the SQL that must give the same rows.
 
 Line items stand for scans here: orders for bullets, customers for firearms, suppliers for instruments.
 """
@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surfmatch.operators import browsing, matrices, pairs
+from surfmatch.functions.reuse import reused
+from surfmatch.operators import browsing, folds, matrices, metrics, pairs, reports
 from surfmatch.plans import views as V
-from surfmatch.plans.queries import PAIRS, SQL_DIAGONAL, query
+from surfmatch.plans.queries import CLLR, PAIRS, PAIRS_LR, SQL_DIAGONAL, lr_pairs, query
 from surfmatch.plans.views import rounded, table
 
 SQL_SCANS = """scans AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS instrument_id, l_returnflag || '-' || l_linestatus || '.x3p' AS file_name, l_quantity, l_extendedprice,
@@ -122,3 +123,42 @@ def training_pairs(spark, sf):
     cells = V.cells(spark, sf)
     known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair_id"), F.expr("cast(o_orderkey % 4 = 0 as int)").alias("label"))
     return rounded(matrices.training_pairs(cells, known, 1.5, 9))
+
+
+# ---------------------------------------------------------------- references and scorers side by side
+
+
+@query(
+    "cross_modality_table",
+    f"""{PAIRS_LR}, h AS (SELECT (source_a % 2) || ':' || (source_b % 2) AS g, lr, label, lr AS score FROM l), {V.sql_levels('h', 'g')},
+    per AS (SELECT * FROM (SELECT g, {CLLR} AS cllr FROM h GROUP BY g HAVING min(label) = 0 AND max(label) = 1) JOIN {V.sql_cllr_min('h', 'g')} USING (g) JOIN {V.sql_auc('h', 'g')} USING (g))
+    SELECT split_part(g, ':', 1) AS ref_id, count(*) AS n_folds, round(avg(cllr), 6) AS cllr, round(stddev_pop(cllr), 6) + 0.0 AS cllr_std, round(avg(cllr_min), 6) AS cllr_min, round(stddev_pop(cllr_min), 6) + 0.0 AS cllr_min_std,
+      round(avg(auc), 6) AS auc, round(stddev_pop(auc), 6) + 0.0 AS auc_std, round(avg(cllr) - avg(cllr_min), 6) + 0.0 AS calibration_loss, true AS one_config FROM per GROUP BY 1""",
+)
+def cross_modality_table(spark, sf):
+    """Sources with even and odd numbers stand for references of two kinds of marks, their partners' parity for folds."""
+    held = reused(lr_pairs(spark, sf).select((F.col("source_a") % 2).cast("string").alias("ref_id"), (F.col("source_b") % 2).cast("string").alias("fold"), "lr", "label"))
+    references = held.select("ref_id").distinct().withColumn("config_hash", F.lit(reports.config_hash({"bound": 2})))
+    return rounded(reports.modality_table(references, held))
+
+
+@query(
+    "scorers_by_fold",
+    f"""{PAIRS}, {V.SQL_FOLDS}, x AS (SELECT 'score:' || fold AS g, label, score FROM frozen WHERE side = 'test' UNION ALL SELECT 'plain:' || fold, label, round(score - 0.3 * label, 3) FROM frozen WHERE side = 'test'),
+    per AS (SELECT split_part(g, ':', 1) AS lever, split_part(g, ':', 2)::INT AS fold, auc FROM {V.sql_auc('x', 'g')})
+    SELECT a.lever, a.fold, round(a.auc, 6) AS auc, round(b.auc, 6) AS baseline_auc, round(a.auc - b.auc, 6) + 0.0 AS auc_gain FROM per a JOIN per b ON a.fold = b.fold WHERE a.lever <> 'plain' AND b.lever = 'plain'""",
+)
+def scorers_by_fold(spark, sf):
+    rows = V.scored_pairs(spark, sf).withColumn("plain", F.round(F.col("score") - V.SHIFT * F.col("label"), 3))
+    found = folds.beside(folds.lever_table(rows, V.hash_folds(rows), ("score", "plain")), "plain", ("auc",))
+    return rounded(found)
+
+
+@query(
+    "score_markers",
+    f"""{PAIRS}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM pairs), q AS (SELECT event_id AS query_id, round(value / 100 - 0.5, 4) AS score FROM events)
+    SELECT query_id, round(score, 6) + 0.0 AS score, least(greatest(floor((score - lo) / (hi - lo) * 24), 0), 23)::INT AS bin, score BETWEEN lo AND hi AS inside FROM q, e""",
+)
+def score_markers(spark, sf):
+    asked = table(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.round(F.col("value") / 100 - 0.5, 4).alias("score"))
+    return rounded(metrics.histogram_markers(V.scored_pairs(spark, sf), asked))

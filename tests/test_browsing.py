@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from surfmatch.operators import browsing, matrices, metrics, pairs, reports
+from surfmatch.operators import browsing, folds, matrices, metrics, pairs, reports
 
 SCANS = "id long, file_name string, land_id long, case_id long, instrument_id long, dpi double"
 ROWS = [
@@ -96,3 +96,15 @@ def test_modality_table(spark):
     assert got["land"].cllr == pytest.approx(metrics.cllr(one).first()["cllr"])  # folds are alike
     mixed = reports.modality_table(same.withColumn("config_hash", F.col("ref_id")), held)
     assert not any(r.one_config for r in mixed.collect())
+
+
+def test_markers_and_scorers_beside_a_baseline(spark):
+    scores = spark.createDataFrame([(0.0, 0), (24.0, 1), (12.0, 1)], "score double, label int")
+    asked = spark.createDataFrame([(1, 0.0), (2, 24.0), (3, 23.9), (4, 1.0), (5, -3.0), (6, 99.0), (7, None)], "query_id long, score double")
+    got = {r.query_id: (r.bin, r.inside) for r in metrics.histogram_markers(scores, asked).collect()}
+    assert got == {1: (0, True), 2: (23, True), 3: (23, True), 4: (1, True), 5: (0, False), 6: (23, False), 7: (None, None)}
+    assert {r.bin for r in metrics.histogram_markers(scores.where("label = 0"), asked.where("score = 0")).collect()} == {0}
+    assert {r.bin for r in metrics.histogram_markers(scores.limit(0), asked).collect()} == {None}
+    table = spark.createDataFrame([("base", 0, 0.5, 0.9), ("base", 1, 0.4, 0.8), ("new", 0, 0.3, 0.95), ("new", 2, 0.1, 1.0)], "lever string, fold int, cllr double, auc double")
+    rows = folds.beside(table, "base", ("cllr", "auc")).collect()
+    assert [(r.lever, r.fold, round(r.cllr_gain, 9), round(r.auc_gain, 9)) for r in rows] == [("new", 0, 0.2, 0.05)]
