@@ -174,3 +174,21 @@ def test_manifests_and_sources(spark, tmp_path):
     (tmp_path / "m3.json").write_text(json.dumps({"name": "m3", "entity": "toolmark", "files": [{"name": "q", "url": "u"}]}))
     with pytest.raises(Exception, match="unknown entity"):
         readers.manifest(spark, str(tmp_path)).collect()
+
+
+def test_land_ccf_matrix_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from surfmatch.plans import comparisons  # noqa: F401 (it registers the query)
+    from surfmatch.plans.queries import QUERIES, SQL
+
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 3, rng.normal(size=64).tolist()) for i in range(13)]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(path)
+    own = QUERIES["land_ccf_matrix"](spark, f"file://{tmp_path}")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        asked = db.execute(SQL["land_ccf_matrix"])
+        names, want = [c[0] for c in asked.description], asked.fetchall()
+    assert own.columns == names
+    assert sorted(map(tuple, own.collect())) == sorted(want) and len(want) == 5 * 5 + 5 * 3
