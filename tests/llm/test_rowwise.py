@@ -379,6 +379,20 @@ def test_language_with_few_documents_is_learned_beside_a_large_one(spark):
     assert got == {small[0]: "small", 1000: "small"}
 
 
+def test_language_is_calibrated_on_all_training_documents(spark):
+    import random
+
+    rng = random.Random(8)
+    sound = {"p": "abcdé", "q": "cdefg"}
+    rows = [(i, " ".join("".join(rng.choices(sound[lang], k=rng.randint(2, 6))) for _ in range(26)), lang, "s") for i in range(32_000) for lang in "pq"[i % 2]]
+    docs = pick(cases.frame(spark, rows), "doc_id", "text", "lang")
+    model = langid.train(docs)
+    learned = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
+    bits = [(r.lang, r.bits["pq".index(r.lang)]) for r in langid.cross_entropies(learned, model, "lang").where("n_symbols >= 100").collect()]
+    own = {lang: [b for x, b in bits if x == lang] for lang in "pq"}
+    assert len(bits) > 20_000 and model["mean"] == pytest.approx([sum(own[x]) / len(own[x]) for x in "pq"], rel=1e-9)
+
+
 def test_language_bits_match_brute_force(spark):
     import math
     import random
