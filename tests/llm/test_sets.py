@@ -274,3 +274,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(texts) == {i for i in range(60)} | {102}
     assert "hunter" not in texts[102] and texts[5] == rows[5][1]
     assert {r.doc_id for r in docs.collect()} == set(texts)
+
+
+def test_pipeline_language_stage_is_calibrated_on_all_training_documents(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from surfmatch.llm import langid
+
+    rows = [(i, ("ab cab " if i % 2 else "xy zyx ") * 3, "pq"[i % 2], "s") for i in range(32_000)]
+    docs = pick(cases.frame(spark, rows), "doc_id", "text", "lang", "source", "n_chars")
+    read, inner = [], langid.cross_entropies
+
+    def counted(docs, model, *keep):
+        read.append(docs.count())
+        return inner(docs, model, *keep)
+
+    monkeypatch.setattr(langid, "cross_entropies", counted)
+    out = corpus_pipeline.language_stage(spark, docs, f"file://{tmp_path}")
+    assert read == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(32_000)), 32_000]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
