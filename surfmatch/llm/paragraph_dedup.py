@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surfmatch.llm.bytehash import BASE, INVERSE, LOWER, U, batches_of_bytes, mix, powers, prefix, shingles, span, words
-from surfmatch.llm.common import drop_table, materialize, pick, small_batches
+from surfmatch.llm.common import drop_table, materialize, pick, short_shuffles, small_batches
 from surfmatch.llm.minhash_dedup import band_keys, components_of, sketch, star_pairs
 from surfmatch.llm.suffix_dedup import beside
 from surfmatch.llm.windows import sliding_least
@@ -109,9 +109,14 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, b
     found = materialize(keyed.select("ref", "idx", "digest"), "places")
     drop_table(keyed)
     placed = banded.select(F.col("digest").alias("mid"), F.col("n").alias("n_shingles"), F.col("c").alias("copies"), F.explode("keys").alias("key"))
-    star = star_pairs(placed)
+    # keys are counted first, so that the shuffle of the counts is gone when the rows are moved; one kind of join at every size
+    several = materialize(placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "several")
+    placed = materialize(placed.join(several.hint("merge"), "key"), "buckets")
     classes = materialize(banded.select("digest", "at", "c"), "classes")
-    drop_table(banded)
+    for used in (several, banded):
+        drop_table(used)
+    star = star_pairs(placed)
+    drop_table(placed)
     wanted = star.select(F.col("mid").alias("digest")).union(star.select("hub")).distinct().join(classes, "digest").groupBy("at.ref").agg(F.collect_list(F.struct("at.idx", "digest")).alias("items"))
     wanted = materialize(wanted, "wanted")
     read = beside(docs.select("ref", "text"), wanted, "inner", most_rows, most_items).select(F.split("text", "\n").alias("lines"), F.explode("items").alias("x"))
@@ -125,10 +130,15 @@ def repeated_paragraphs(docs: DataFrame, min_words: int, k: int, percent: int, b
     marked = materialize(found.select("ref", "idx", "digest").join(of_class, "digest").select("ref", "idx", "component"), "marked")
     ids = docs.select("ref", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("by"))
     placed_ids = materialize(marked.join(ids.dropDuplicates(["ref"]), "ref"), "placed")
+    for used in (found, classes, wanted, labels, marked):
+        drop_table(used)
     # a table of its own: a join with a large component can then be split
     stays = materialize(placed_ids.groupBy("component").agg(F.min(F.struct("by", "idx", "ref")).alias("stays")), "stays")
     item = F.struct("idx", "component", F.nullif(F.col("stays.by"), F.lit((1 << 63) - 1)).alias("stays_in"), ((F.col("ref") == F.col("stays.ref")) & (F.col("idx") == F.col("stays.idx"))).alias("stays"))
-    return placed_ids.join(stays, "component").groupBy("ref").agg(F.array_sort(F.collect_set(item)).alias("repeated"))
+    out = materialize(placed_ids.join(stays, "component").groupBy("ref").agg(F.array_sort(F.collect_set(item)).alias("repeated")), "repeated")
+    for used in (placed_ids, stays):
+        drop_table(used)
+    return out
 
 
 def sampled(value: np.ndarray, row: np.ndarray, w: int) -> np.ndarray:
@@ -247,7 +257,10 @@ def repeated_passages(known: DataFrame, gone: DataFrame, shared: DataFrame, pass
     again = every.join(first, "hash").where(apart).groupBy("ref").agg(F.array_sort(F.collect_set("word")).alias("w"))
     begins = F.filter("w", lambda x, i: F.coalesce(x > F.get("w", i - 1) + passage, F.lit(True)))
     ends = F.transform(F.filter("w", lambda x, i: F.coalesce(F.get("w", i + 1) > x + passage, F.lit(True))), lambda x: x + passage)
-    return again.select("ref", F.arrays_zip(begins.alias("first"), ends.alias("end")).alias("runs"))
+    runs = materialize(again.select("ref", F.arrays_zip(begins.alias("first"), ends.alias("end")).alias("runs")), "runs")
+    for used in (lists, every, first):
+        drop_table(used)
+    return runs
 
 
 def stretches(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -282,16 +295,19 @@ def remove_paragraphs(
     the doc_id that keeps it), n_passages, passages (line, first word, words cut), kept_text and kept_sha256; one row per input row."""
     docs = pick(docs, "doc_id", "text")
     known = docs.withColumn("ref", F.xxhash64("doc_id", "text"))
-    repeated = materialize(repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items), "repeated")
-    places = F.transform(F.filter("repeated", lambda x: ~x["stays"]), lambda x: x["idx"])
-    gone = materialize(repeated.select("ref", places.alias("removed")).where(F.size("removed") > 0), "gone")
-    shared = shared_windows(known, gone, passage, most_rows, most_items)
-    runs = repeated_passages(known, gone, shared, passage, most_rows, most_items)
-    inner = passage - passage // 2
-    begun = F.filter("across", lambda x, i: F.coalesce(x > F.get("across", i - 1) + inner, F.lit(True)))
-    # all lists of a text in one row, so that texts are moved once at most
-    lists = shared.select("ref", F.size(begun).alias("n_shared")).join(repeated, "ref", "full").join(runs, "ref", "full")
-    lists = materialize(lists.select("ref", F.struct("n_shared", "repeated", "runs").alias("found")), "lists")
+    with short_shuffles(docs.sparkSession):
+        repeated = repeated_paragraphs(known, min_words, k, percent, bands, rows, most_rows, most_items)
+        places = F.transform(F.filter("repeated", lambda x: ~x["stays"]), lambda x: x["idx"])
+        gone = materialize(repeated.select("ref", places.alias("removed")).where(F.size("removed") > 0), "gone")
+        shared = shared_windows(known, gone, passage, most_rows, most_items)
+        runs = repeated_passages(known, gone, shared, passage, most_rows, most_items)
+        inner = passage - passage // 2
+        begun = F.filter("across", lambda x, i: F.coalesce(x > F.get("across", i - 1) + inner, F.lit(True)))
+        # all lists of a text in one row, so that texts are moved once at most
+        lists = shared.select("ref", F.size(begun).alias("n_shared")).join(repeated, "ref", "full").join(runs, "ref", "full")
+        lists = materialize(lists.select("ref", F.struct("n_shared", "repeated", "runs").alias("found")), "lists")
+        for used in (repeated, gone, shared, runs):
+            drop_table(used)
     # nearly every text has some, so all are moved, whatever their number
     joined = known.join(lists.hint("merge"), "ref", "left").select("doc_id", "text", "found.*").withColumn("removed", places)
     split = F.split(F.col("text"), "\n")

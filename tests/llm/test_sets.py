@@ -219,6 +219,25 @@ def test_repeated_paragraphs_match_brute_force(spark):
     assert paragraph_dedup.remove_paragraphs(cases.empty(spark)).count() == 0
 
 
+def test_paragraphs_leave_no_tables_or_shuffles_of_their_steps(spark):
+    import glob
+    import os
+
+    rng = random.Random(23)
+    lines = [cases.prose(rng, 60) for _ in range(30)]
+    docs = cases.frame(spark, [(i, "\n".join([*rng.sample(lines, 3), cases.prose(rng, 120)]), "xx", "s") for i in range(60)])
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    shuffles = lambda: {f for f in glob.glob(f"{local}/**/shuffle_*.data", recursive=True) if os.path.getsize(f)}
+    tables, files, setting = set(os.listdir(base)), shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    out = paragraph_dedup.remove_paragraphs(docs)
+    left = {x.split("-")[0] for x in set(os.listdir(base)) - tables}
+    assert "lists" in left and not left & {"paragraphs", "classes", "places", "buckets", "several", "members", "wanted", "marked", "placed", "stays", "gone", "repeated", "sampled", "shared", "every", "runs"}
+    assert len(shuffles() - files) < 20
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert out.count() == 60 and out.where("n_removed > 0").count() > 50
+
+
 def vocabulary():
     from surfmatch.llm.queries import vocabulary as path
 
