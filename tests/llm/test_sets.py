@@ -311,3 +311,42 @@ def test_pipeline_language_stage_is_calibrated_on_all_training_documents(spark,
     out = corpus_pipeline.language_stage(spark, docs, f"file://{tmp_path}")
     assert read == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(32_000)), 32_000]
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_language_stage_learns_from_all_labelled_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2][:40]
+    rows = [(i, text("abcdef", 30), "p", "s") for i in range(1000, 1200)]
+    # two languages of documents that operator 9 does not learn from: ids it holds out, and no id
+    rows += [(i, text("бвгджз", 30), "q", "s") for i in ids] + [(None, text("αβγδεζ", 30), "r", "s") for _ in range(40)]
+    rows += [(2000, text("бвгджз", 200), None, "s"), (2001, text("αβγδεζ", 200), None, "s"), (2002, text("अआइईउऊ", 200), None, "s")]
+    docs = pick(cases.frame(spark, rows), "doc_id", "text", "lang", "source", "n_chars")
+    out = corpus_pipeline.language_stage(spark, docs, f"file://{tmp_path}").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((i, t) for i, t, _, _ in rows if i != 2002)
+
+
+def test_pipeline_language_thresholds_come_from_short_documents_too(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    even = lambda n: "".join(rng.choices("qrstuvwxyz", k=n))
+    # a language of little surprise, and one of much surprise without any labelled text of 100 symbols
+    rows = [(i, "ab " * 50, "p", "s") for i in range(900)] + [(i, even(40), "q", "s") for i in range(1000, 1300)]
+    rows += [(2000, even(3000), None, "s"), (2001, "жшч" * 1000, None, "s")]
+    docs = pick(cases.frame(spark, rows), "doc_id", "text", "lang", "source", "n_chars")
+    out = corpus_pipeline.language_stage(spark, docs, f"file://{tmp_path}").collect()
+    assert sorted(r.doc_id for r in out) == [i for i, _, _, _ in rows if i != 2001]
+
+
+def test_pipeline_language_thresholds_are_weighted_sums_of_all_texts(spark):
+    from surfmatch.llm import langid
+
+    rows = [("p", 4, 5, [2.0, 9.0]), ("p", 90, 100, [4.0, 9.0]), ("p", 800, 900, [3.0, 9.0]), ("p", 0, 1, [50.0, 9.0])]
+    got = langid.thresholds(spark.createDataFrame(rows, "lang string, n_letters long, n_symbols long, bits array<double>"), ["p", "q"])
+    w = np.array([5 / 105, 100 / 200, 900 / 1000])
+    x = np.array([2.0, 4.0, 3.0])
+    mean = (w * x).sum() / w.sum()
+    assert np.allclose(got["mean"], [mean, mean]) and np.allclose(got["sd"], [((w * (x - mean) ** 2).sum() / w.sum()) ** 0.5, 0.25])
