@@ -1,10 +1,14 @@
 """Operators that judge each row for itself: 1, 2, 7, 8, 9, 10."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +286,40 @@ def test_language_symbols_keep_marks_with_their_letters():
     assert "".join(map(chr, sym)).split() == ["\u0915\u093f", "\u0e01\u0e35", "e\u0301", "\u0301", "\u093f"]
 
 
+def test_language_counts_hold_short_runs_at_once():
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randrange(40_000))) for _ in range(100)] + [None, "", "x" * 250_000]
+    langs = ["pq"[i % 7 > 5] for i in range(len(texts))]
+    batch = pa.record_batch([pa.array(langs), pa.array(texts)], ["lang", "text"])
+    tracemalloc.start()
+    got = Counter()
+    for part in langid.count_batches(iter([batch])):
+        for row in zip(*(c.to_pylist() for c in part.columns)):
+            got[row[:2]] += row[2]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter()
+    for lang, text in zip(langs, texts):
+        sym, begin, _ = langid.symbols([text])
+        want.update((lang, c) for c in langid.codes(sym, begin)[0].view(np.int64).tolist())
+    assert got == want
+    assert peak < 48e6  # 105 MB if the arrays of all two million characters are held
+
+
+def test_language_counts_come_in_parts_of_bounded_size():
+    rng = random.Random(24)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=50_000)) for _ in range(30)]
+    parts = list(langid.code_counts(texts, 100_000))
+    assert len(parts) > 3 and max(len(c) for c, _ in parts) < 200_000
+    got = Counter()
+    for code, n in parts:
+        assert (code[1:] > code[:-1]).all()
+        got.update(dict(zip(code.tolist(), n.tolist())))
+    sym, begin, _ = langid.symbols(texts)
+    assert got == Counter(langid.codes(sym, begin)[0].tolist())
+    assert list(langid.code_counts([])) == []
+
+
 def test_quality_counts_match_brute_force(spark):
     rows = cases.documents()
     rng_text = "a b c d e f a b c d e g a b c d e"
