@@ -101,8 +101,8 @@ def token_bytes(text: str | None, known: Pieces) -> bytes:
     return b"".join(out) + CLOSE_ID.to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
-    """pid (a number for the piece), doc_id, piece, start, length, ids_crc32 of every piece of docs(doc_id, text)."""
+def pieces(docs: DataFrame, path: str, capacity: int, forget: bool = False) -> DataFrame:
+    """pid (a number for the piece), doc_id, piece, start, length, ids_crc32 of every piece of docs(doc_id, text); forget: workers keep no word pieces beyond a task."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -123,6 +123,8 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                 [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        if forget:
+            known.clear()
 
     found = docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return found.select(F.monotonically_increasing_id().alias("pid"), "*")
@@ -205,9 +207,9 @@ def pack_round(items: DataFrame, level: int, capacity: int, slack: int, last: bo
     return items.select("length", "items").mapInArrow(run, BIN)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = 8, most: int = 200_000, fan_in: int = 8) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = 8, most: int = 200_000, fan_in: int = 8, forget: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = materialize(pieces(pick(docs, "doc_id", "text"), path, capacity), "pieces")
+    cut = materialize(pieces(pick(docs, "doc_id", "text"), path, capacity, forget), "pieces")
     items = cut.where(F.col("length") < capacity).select("length", F.array(F.struct("pid", "length")).alias("items"))
     n = items.count()
     parts = max(1, -(-n // most))

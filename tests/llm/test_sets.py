@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from surfmatch.llm import minhash_dedup, packing, paragraph_dedup, suffix_dedup
 from surfmatch.llm.common import pick
@@ -350,3 +351,18 @@ def test_pipeline_language_thresholds_are_weighted_sums_of_all_texts(spark):
     x = np.array([2.0, 4.0, 3.0])
     mean = (w * x).sum() / w.sum()
     assert np.allclose(got["mean"], [mean, mean]) and np.allclose(got["sd"], [((w * (x - mean) ** 2).sum() / w.sum()) ** 0.5, 0.25])
+
+
+def test_pipeline_packing_stage_leaves_no_word_pieces_in_workers(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = pick(cases.frame(spark, [(i, f"words like these and w{i}", "p", "s") for i in range(50)]), "doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.packing_stage(spark, docs, f"file://{tmp_path}").count() == 50
+
+    def held(batches):
+        from surfmatch.llm import packing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, packing._pieces.values()))] * batch.num_rows)], ["n"])
+
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(held, "n long").collect()} == {0}
