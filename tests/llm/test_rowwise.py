@@ -306,6 +306,13 @@ def test_language_counts_hold_short_runs_at_once():
     assert peak < 48e6  # 105 MB if the arrays of all two million characters are held
 
 
+def test_language_texts_are_scored_in_short_runs():
+    texts = ["some words here " * 60, None, ""] * 500 + ["x" * 250_000]
+    held = list(langid.runs(texts))
+    assert [t for run in held for t in run] == texts
+    assert all(sum(len(t or "") for t in run) <= 100_000 for run in held if len(run) > 1) and max(map(len, held)) > 100
+
+
 def test_language_counts_come_in_parts_of_bounded_size():
     rng = random.Random(24)
     texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=50_000)) for _ in range(30)]
