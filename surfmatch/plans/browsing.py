@@ -137,7 +137,7 @@ def training_pairs(spark, sf):
 )
 def cross_modality_table(spark, sf):
     """Sources with even and odd numbers stand for references of two kinds of marks, their partners' parity for folds."""
-    held = reused(lr_pairs(spark, sf).select((F.col("source_a") % 2).cast("string").alias("ref_id"), (F.col("source_b") % 2).cast("string").alias("fold"), "lr", "label"))
+    held = lr_counts(spark, sf, SOURCES).select((F.col("source_a") % 2).cast("string").alias("ref_id"), (F.col("source_b") % 2).cast("string").alias("fold"), "lr", "label", "n")
     references = held.select("ref_id").distinct().withColumn("config_hash", F.lit(reports.config_hash({"bound": 2})))
     return rounded(reports.modality_table(references, held))
 
