@@ -91,7 +91,8 @@ def test_operators_on_counts_equal_those_on_pairs(spark):
     alike(lambda df: bootstrap.calibration_ensemble(df.withColumn("cluster_id", F.concat("source_a", "source_b")), 3))
 
 
-COUNTED = """comparison_reports bootstrap_cllr calibration_intervals cross_modality_table fit_logistic flagship hardest_pairs head_to_head""".split()
+COUNTED = """comparison_reports bootstrap_cllr calibration_intervals cross_modality_table fit_logistic flagship hardest_pairs head_to_head
+lever_margins""".split()
 
 
 @pytest.mark.parametrize("name", COUNTED)
