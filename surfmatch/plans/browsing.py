@@ -105,10 +105,11 @@ SQL_HARD = "row_number() OVER (PARTITION BY source_a % 3, label ORDER BY CASE WH
 )
 def merged_hardest_pairs(spark, sf):
     """The hardest pairs of one run stored, those of the next run in place of equal ones."""
-    rows = V.scored_pairs(spark, sf).withColumn("study", F.expr("cast(source_a % 3 as long)"))
+    study = F.expr("cast(source_a % 3 as long)")
+    first, second = (V.hard_pairs(spark, sf, 10, lambda a, b, k=k: b % 5 != k).withColumn("study", study) for k in (0, 1))
     named = ("study", "label", "mark_a", "mark_b", "score", "rank")
-    old = pairs.hardest(rows.where("mark_b % 5 <> 0"), ("study",), 10).select(*named)
-    new = pairs.hardest(rows.where("mark_b % 5 <> 1"), ("study",), 10).withColumn("score", F.round(F.col("score") / 2, 6)).select(*named)
+    old = pairs.hardest(first, ("study",), 10).select(*named)
+    new = pairs.hardest(second, ("study",), 10).withColumn("score", F.round(F.col("score") / 2, 6)).select(*named)
     return rounded(browsing.merged(old, new, ("mark_a", "mark_b")))
 
 
