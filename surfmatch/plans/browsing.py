@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surfmatch.functions.reuse import reused
 from surfmatch.operators import browsing, folds, matrices, metrics, pairs, reports
 from surfmatch.plans import views as V
-from surfmatch.plans.queries import CLLR, PAIRS, PAIRS_LR, SOURCES, SQL_DIAGONAL, lr_counts, lr_pairs, query
+from surfmatch.plans.queries import CLLR, PAIRS, PAIRS_LR, SOURCES, SQL_DIAGONAL, lr_counts, query
 from surfmatch.plans.views import rounded, table
 
 SQL_SCANS = """scans AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS instrument_id, l_returnflag || '-' || l_linestatus || '.x3p' AS file_name, l_quantity, l_extendedprice,

@@ -94,7 +94,7 @@ def test_operators_on_counts_equal_those_on_pairs(spark):
 COUNTED = """comparison_reports bootstrap_cllr calibration_intervals cross_modality_table fit_logistic flagship hardest_pairs head_to_head
 lever_margins merged_hardest_pairs metric_auc metric_calibration_bins metric_cllr metric_ece metric_eer metric_margin
 disjoint_fusion submission_summary reference_provenance metric_lr_separation disjoint_validation metric_cllr_min submission_folds metric_tippett
-external_protocol fold_sources""".split()
+external_protocol fold_sources metric_misleading_rates""".split()
 
 
 @pytest.mark.parametrize("name", COUNTED)
