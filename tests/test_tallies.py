@@ -71,6 +71,9 @@ def test_pairs_bring_their_sources_along(spark):
     for block, tile in ((25, 1 << 20), (4000, 50)):
         found = pairs.labelled(pairs.score_blocks(tallies.sourced(m), pairs.dot_product, block, along=("source",), tile=tile), m)
         assert rows_of(found.withColumn("score", F.round("score", 6)), *named) == rows_of(want, *named)
+    finish = lambda v, a, b: tallies.rounded_scores(v, a, b, 0.3, 3)
+    found = pairs.labelled(pairs.score_blocks(tallies.sourced(m), pairs.dot_product, 25, along=("source",), finish=finish), m)
+    assert rows_of(found, *named) == rows_of(listed(m), *named)
     plan = pairs.labelled(pairs.score_blocks(m, pairs.dot_product, along=("source",)), m)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan.split("FlatMapGroupsInArrow")[0]
 
